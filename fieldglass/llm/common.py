@@ -30,22 +30,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def running_sum(df: DataFrame, keys: list[str], order: str, ties: list[str], value: str, into: str) -> DataFrame:
-    """Adds the sum of `value` over the rows of the same keys that come earlier by (order, ties).
+def running_sum(df: DataFrame, keys: list[str], order: str, ties: list[str], value: str, into: str, per_key: DataFrame | None = None) -> DataFrame:
+    """Adds `into`, the sum of `value` over the rows of the same keys that come earlier by (order, ties).
 
-    `order` is a lower-case hex digest. Its first three digits cut each key into 4,096 even parts: a window runs
-    inside a part, and another over the parts' sums, so a key with a third of all rows spreads over the cluster.
+    `keys` hold no nulls; `order` is a lower-case hex digest. Its first three digits cut each key into 4,096 even
+    parts: one window runs inside a part, another over the parts' sums, so a key with a third of all rows spreads
+    over the cluster. Columns of `per_key` (keys, ...) come along with the parts' sums, without a join by a hot key.
     """
     parted = df.withColumn("_part", F.substring(order, 1, 3))
-    sums = parted.groupBy(*keys, "_part").agg(F.sum(value).alias("_sum"))
     earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
+    sums = parted.groupBy(*keys, "_part").agg(F.sum(value).alias("_sum"))
+    sums = sums.select(*keys, "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
+    if per_key is not None:
+        sums = sums.join(per_key, keys)
     inside = W.partitionBy(*keys, "_part").orderBy(order, *ties).rowsBetween(W.unboundedPreceding, -1)
     parted = parted.withColumn("_inner", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    same = F.col("_part") == F.col("_p")
-    for i, k in enumerate(keys):
-        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return parted.join(sums, same).withColumn(into, F.col("_base") + F.col("_inner")).drop("_part", "_p", "_base", "_inner", "_sum", *[f"_k{i}" for i in range(len(keys))])
+    return parted.join(sums, [*keys, "_part"]).withColumn(into, F.col("_base") + F.col("_inner")).drop("_part", "_base", "_inner")
 
 
 def components(edges: DataFrame) -> DataFrame:
