@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import embeddings, mixing, sharding, simhash, urls
+from . import bpe, embeddings, mixing, quality, secrets, sharding, simhash, urls
 from .common import table
 
 
@@ -32,7 +33,24 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("doc.doc_id").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op2_embedding_near_dedup, op3_simhash_near_dedup, op4_mix_sources, op5_url_filter, op6_shards)}
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = quality.judge(docs, table(spark, sf_dir, "labels"))
+    base = [f"stats.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return rows.select("doc.doc_id", *base, "base_failed", "kept", F.round("score", 6).alias("score"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc.doc_id", "found.n_assign", "found.n_access", "found.n_hex", F.sha2(F.col("found.base"), 256).alias("base_sha256"), "found.spans")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return rows.select("doc.doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op2_embedding_near_dedup, op3_simhash_near_dedup, op4_mix_sources, op5_url_filter, op6_shards, op7_quality_rules, op8_secret_scan, op9_bpe)}
 
 ORACLES: dict[str, str] = {
     "op4_mix_sources": r"""
