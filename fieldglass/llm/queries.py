@@ -5,10 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, embeddings, mixing, quality, secrets, sharding, simhash, urls
+from . import bpe, embeddings, mixing, quality, secrets, sharding, simhash, toxicity, urls
 from .common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain: low quality first, then toxic. toxic is the verdict at a probability of 0.3."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    chain = ["low_quality", "toxic"]
+    rows = toxicity.score(docs, toxicity.train(docs, labels, chain), chain)
+    return rows.select("doc_id", *[F.round(f"p_{c}", 6).alias(f"p_{c}") for c in chain], (F.col("p_toxic") >= 0.3).alias("toxic"))
+
+
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -50,7 +59,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc.doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_embedding_near_dedup, op3_simhash_near_dedup, op4_mix_sources, op5_url_filter, op6_shards, op7_quality_rules, op8_secret_scan, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_near_dedup, op3_simhash_near_dedup, op4_mix_sources, op5_url_filter, op6_shards, op7_quality_rules, op8_secret_scan, op9_bpe)}
 
 ORACLES: dict[str, str] = {
     "op4_mix_sources": r"""
