@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 #: Labelled documents that the models are fitted on at most, by hash; every document is scored.
-TRAIN_ROWS = 20_000
-#: Words of a model at most (those that tell the category's documents apart best), folds, penalty, rounds.
-WORDS, FOLDS, PENALTY, ROUNDS = 4096, 3, 0.02, 400
+TRAIN_ROWS = 6_000
+#: Words of a model at most, folds, penalty, rounds.
+WORDS, FOLDS, PENALTY, ROUNDS = 2048, 3, 0.02, 200
 #: Bytes of the beginnings of words that count as words too.
 BEGINNINGS = (4, 5, 6, 7)
 #: ASCII letters to lower case, ASCII punctuation to spaces.
@@ -57,51 +57,77 @@ def log_odds(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def fit_linear(docs: list[np.ndarray], y: np.ndarray, earlier: np.ndarray, words: int = WORDS, penalty: float = PENALTY, rounds: int = ROUNDS) -> Linear:
-    """Logistic regression with an L1 penalty on the words, penalty / sqrt(rows), that picks them; then the picked ones
-    are fitted anew with a tenth of it, so that they aren't held down by what left out the others."""
-    picked = _fit(docs, y, earlier, words, penalty / np.sqrt(max(len(y), 1)), rounds)
-    if not len(picked.words):
-        return picked
-    few = [d[np.isin(d, picked.words, assume_unique=True)] for d in docs]
-    return _fit(few, y, earlier, words, penalty / 10 / np.sqrt(len(y)), rounds)
-
-
-def _fit(docs: list[np.ndarray], y: np.ndarray, earlier: np.ndarray, words: int, penalty: float, rounds: int) -> Linear:
-    """By accelerated proximal steps over the `words` words that tell the classes apart best."""
-    if not len(y) or y.min() == y.max():
-        return Linear(offset=40.0 if len(y) and y[0] else -40.0, chain=np.zeros(earlier.shape[1]))
-    n, rows = len(y), np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    names, column = np.unique(np.concatenate([*docs, np.zeros(0, np.uint32)]), return_inverse=True)
-    seen, hits = np.bincount(column, minlength=len(names)), np.bincount(column, y[rows], len(names))
-    share = y.mean()
-    strength = np.where(seen >= 3, (hits - seen * share) ** 2 / np.maximum(seen * share * (1 - share), 1e-9), 0)
-    best = np.sort(np.argsort(-strength, kind="stable")[:words])
-    place = np.full(len(names), -1)
-    place[best] = np.arange(len(best))
-    keep = place[column] >= 0
-    rows, column, k = rows[keep], place[column[keep]], len(best)
-    extra = log_odds(earlier)
-    w, v, b = np.zeros(k), np.zeros(extra.shape[1]), np.log(share / (1 - share))
-    # step from the largest curvature, by power iteration
+@dataclass
+class Sample:
+    """Which words stand in which documents: places in the sorted names, document by document."""
+
+    n: int
+    names: np.ndarray
+    rows: np.ndarray
+    column: np.ndarray
+
+    @classmethod
+    def of(cls, docs: list[np.ndarray]) -> Sample:
+        rows = np.repeat(np.arange(len(docs), dtype=np.int32), [len(d) for d in docs])
+        every = np.concatenate([*docs, np.zeros(0, np.uint32)])
+        names, seen = np.unique(every, return_counts=True)
+        names = names[seen >= 3]  # rarer ones say nothing
+        at = np.minimum(np.searchsorted(names, every), max(len(names) - 1, 0))
+        hit = names[at] == every if len(names) else np.zeros(len(every), bool)
+        return cls(len(docs), names, rows[hit], at[hit].astype(np.int32))
+
+    def only(self, columns: np.ndarray) -> Sample:
+        place = np.full(len(self.names), -1, np.int32)
+        place[columns] = np.arange(len(columns))
+        keep = place[self.column] >= 0
+        return Sample(self.n, self.names[columns], self.rows[keep], place[self.column[keep]])
+
+    def best(self, y: np.ndarray, use: np.ndarray, count: int) -> Sample:
+        """Only the `count` words that tell the classes apart best among the documents in use."""
+        size = len(self.names)
+        inside = use[self.rows] > 0
+        seen = np.bincount(self.column[inside], minlength=size)
+        hits = np.bincount(self.column[inside & (y[self.rows] > 0)], minlength=size)
+        share = (y * use).sum() / use.sum()
+        strength = np.where(seen >= 3, (hits - seen * share) ** 2 / np.maximum(seen * share * (1 - share), 1e-9), 0)
+        return self.only(np.sort(np.argsort(-strength, kind="stable")[:count]))
+
+
+def fit_linear(sample: Sample, y: np.ndarray, use: np.ndarray, earlier: np.ndarray, words: int = WORDS, penalty: float = PENALTY, rounds: int = ROUNDS) -> Linear:
+    """Logistic regression on the documents in use (0 or 1): an L1 penalty, penalty / sqrt(rows), picks words out of the `words` best;
+    then the picked ones are fitted anew with a tenth of it, so that they aren't held down by what left out the others."""
+    n = int(use.sum())
+    if not 0 < (ones := (y * use).sum()) < n:
+        return Linear(offset=40.0 if n and ones else -40.0, chain=np.zeros(earlier.shape[1]))
+    few = sample.best(y, use, words)
+    weights, _ = _descend(few, y, use, earlier, penalty / np.sqrt(n), rounds)
+    few = few.only(np.nonzero(weights[: len(few.names)])[0])
+    weights, k = _descend(few, y, use, earlier, penalty / 10 / np.sqrt(n), rounds)
+    return Linear(few.names, weights[:k], weights[k:-1], float(weights[-1]))
+
+
+def _descend(sample: Sample, y: np.ndarray, use: np.ndarray, earlier: np.ndarray, penalty: float, rounds: int) -> tuple[np.ndarray, int]:
+    """Accelerated proximal steps: weights of words, of the earlier categories, offset; and the number of words."""
+    n, k, extra = sample.n, len(sample.names), log_odds(earlier)
+    forth = lambda z: (np.bincount(sample.rows, z[:k][sample.column], n) + extra @ z[k:-1] + z[-1]) * use
+    back = lambda r: np.concatenate((np.bincount(sample.column, r[sample.rows], k), extra.T @ r, [r.sum()]))
     z = np.ones(k + extra.shape[1] + 1)
-    for _ in range(12):
-        out = np.bincount(rows, z[:k][column], n) + extra @ z[k:-1] + z[-1]
-        z = np.concatenate((np.bincount(column, out[rows], k), extra.T @ out, [out.sum()]))
+    for _ in range(12):  # the largest curvature bounds the step
+        z = back(forth(z))
         top = np.linalg.norm(z)
         z /= top
-    step = 4 * n / (1.1 * top)
-    at, momentum = np.concatenate((w, v, [b])), 1.0
+    size = use.sum()
+    step, share = 4 * size / (1.1 * top), (y * use).sum() / size
+    at, momentum = np.zeros(len(z)), 1.0
+    at[-1] = np.log(share / (1 - share))
     ahead = at.copy()
     for _ in range(rounds):
-        raw = np.bincount(rows, ahead[:k][column], n) + extra @ ahead[k:-1] + ahead[-1]
-        r = (1 / (1 + np.exp(-np.clip(raw, -40, 40))) - y) / n
-        new = ahead - step * np.concatenate((np.bincount(column, r[rows], k), extra.T @ r, [r.sum()]))
+        r = (1 / (1 + np.exp(-np.clip(forth(ahead), -40, 40))) - y) * use / size
+        new = ahead - step * back(r)
         new[:k] = np.sign(new[:k]) * np.maximum(np.abs(new[:k]) - step * penalty, 0)
         after = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         ahead, at, momentum = new + (momentum - 1) / after * (new - at), new, after
-    used = at[:k] != 0
-    return Linear(names[best][used], at[:k][used], at[k:-1], float(at[-1]))
+    return at, k
 
 
 def fit_chain(docs: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) -> list[Linear]:
@@ -110,15 +136,15 @@ def fit_chain(docs: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) ->
     For training those are out of fold: from models fitted without the document's fold, so that a later model
     doesn't learn to trust the earlier ones more than it can on new documents.
     """
-    models, earlier = [], np.zeros((len(docs), 0))
+    models, earlier, sample, everyone = [], np.zeros((len(docs), 0)), Sample.of(docs), np.ones(len(docs))
     for c in range(labels.shape[1]):
         y = labels[:, c]
-        models.append(fit_linear(docs, y, earlier))
+        models.append(fit_linear(sample, y, everyone, earlier))
         if c + 1 < labels.shape[1]:
             out = np.zeros(len(docs))
             for k in np.unique(folds):
-                inside, outside = np.nonzero(folds == k)[0], np.nonzero(folds != k)[0]
-                model = fit_linear([docs[i] for i in outside], y[outside], earlier[outside])
+                inside = np.nonzero(folds == k)[0]
+                model = fit_linear(sample, y, (folds != k).astype(float), earlier)
                 out[inside] = model.probability([docs[i] for i in inside], earlier[inside])
             earlier = np.column_stack((earlier, out))
     return models
