@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, embeddings, mixing, quality, secrets, sharding, simhash, toxicity, urls
+from . import bpe, brown, embeddings, mixing, quality, secrets, sharding, simhash, toxicity, urls
 from .common import table
 
 
@@ -59,7 +59,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc.doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_near_dedup, op3_simhash_near_dedup, op4_mix_sources, op5_url_filter, op6_shards, op7_quality_rules, op8_secret_scan, op9_bpe)}
+def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.learn_and_score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_near_dedup, op3_simhash_near_dedup, op4_mix_sources, op5_url_filter, op6_shards, op7_quality_rules, op8_secret_scan, op9_bpe, op10_brown_lm)}
 
 ORACLES: dict[str, str] = {
     "op4_mix_sources": r"""
