@@ -19,14 +19,17 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there, so that a lost executor costs nothing before it.
-
-    The folder is the session's spark.checkpoint.dir; only a session without one (tests) gets a temporary folder.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; only a session without one (tests) gets a temporary folder."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoint"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoint"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df to the shared checkpoint folder and goes on from there, so that a lost executor costs nothing before it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
