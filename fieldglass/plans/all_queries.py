@@ -1,6 +1,6 @@
 """Every query of the library, registered."""
 
-from . import league  # noqa: F401
+from . import league, markets  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
