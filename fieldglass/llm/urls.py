@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import LOWER, UPPER
 
 #: Labelled rows that the trees are fitted on at most, taken by hash; every page is judged.
 TRAIN_ROWS = 20_000
+#: Folds of the labelled rows: a row's suffix and domain rates come from the others.
+FOLDS = 5
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: Host words whose pages count as labelled block in the query, all others as labelled allow. Fixed values.
 BLOCK_WORDS = ("spam", "pills", "casino", "adult", "bets", "ads-track")
@@ -71,7 +73,21 @@ def lexical(pages: DataFrame) -> DataFrame:
 
 def _rates(labelled: DataFrame, by: str, prior: float) -> DataFrame:
     """Smoothed share of blocks and rows of each suffix; at most a row for each labelled row."""
-    return labelled.groupBy(by).agg(((F.sum("label") + 10 * prior) / (F.count("*") + 10)).alias(f"{by}_rate"), F.log1p(F.count("*")).alias(f"{by}_rows"))
+    return labelled.groupBy(by).agg(_rate(F.sum("label"), F.count("*"), prior).alias(f"{by}_rate"), F.log1p(F.count("*")).alias(f"{by}_rows"))
+
+
+def _rate(blocks: Column, rows: Column, prior: float) -> Column:
+    return (blocks + 10 * prior) / (rows + 10)
+
+
+def _out_of_fold(labelled: DataFrame, prior: float) -> DataFrame:
+    """The training rows with rates from the other folds, so that no row's own label is among its features."""
+    rows = labelled.withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(FOLDS)))
+    for by in ("suffix", "domain"):
+        whole, own = W.partitionBy(by), W.partitionBy(by, "fold")
+        n = F.count("*").over(whole) - F.count("*").over(own)
+        rows = rows.withColumns({f"{by}_rate": _rate(F.sum("label").over(whole) - F.sum("label").over(own), n, prior), f"{by}_rows": F.log1p(n)})
+    return rows
 
 
 def _with_rates(pages: DataFrame, suffixes: DataFrame, domains: DataFrame, prior: float) -> DataFrame:
@@ -97,7 +113,7 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: tuple = RULES, train_row
         prior = blocks / n
         suffixes, domains = _rates(sample, "suffix", prior), _rates(sample, "domain", prior)
         assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-        fit = assemble.transform(_with_rates(sample, suffixes, domains, prior)).select("features", "label")
+        fit = assemble.transform(_out_of_fold(sample, prior)).select("features", "label")
         model = GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.3, seed=11).fit(fit)
         scored = model.transform(assemble.transform(_with_rates(lexical(found), suffixes, domains, prior)))
         found = scored.withColumn("score", vector_to_array("probability")[1])
