@@ -82,10 +82,22 @@ class Lexicon:
 
 
 def lexicon(counts: DataFrame, held: int = HELD) -> Lexicon:
-    """Bounded by `held`, whatever the corpus."""
-    top = counts.where(F.col("form") >= 0).orderBy(F.desc("count"), "word").limit(held).select("word", "form", "count").toPandas()
+    """The words of the highest counts, `held` at most, whatever the corpus.
+
+    A histogram of counts in steps of a sixteenth of a doubling gives the least count at which they fit, so the driver
+    gets those words and no others; words of one step are in or out together.
+    """
+    words = counts.where(F.col("form") >= 0).withColumn("step", F.floor(16 * F.log2("count")))
+    least, room = 1 << 20, held
+    for step, n in words.groupBy("step").agg(F.count("*")).orderBy(F.desc("step")).collect():
+        if (room := room - n) < 0:
+            break
+        least = step
+    top = words.where(F.col("step") >= least).select("word", "form", "count").toPandas()
+    top["word"] = top["word"].map(bytes)
+    top = top.sort_values(["count", "word"], ascending=[False, True])
     ends = counts.where(F.col("form") < 0).agg(F.sum("count")).first()[0] or 0
-    words = [END, *map(bytes, top["word"])]
+    words = [END, *top["word"]]
     units = np.concatenate(([UNITS + FORMS], np.where(np.arange(len(top)) < UNITS, np.arange(len(top)), UNITS + top["form"].to_numpy(np.int64))))
     return Lexicon({w: i for i, w in enumerate(words)}, np.concatenate(([ends], top["count"].to_numpy(np.int64))), units)
 
