@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from math import factorial
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, Window as W, functions as F
+from pyspark.sql.functions import pandas_udf
 
 
 def poisson(rate: Column, k: int | Column) -> Column:
@@ -40,44 +43,41 @@ def proportional(price: Column, keys: list[str]) -> Column:
     return (1 / price) / F.sum(1 / price).over(W.partitionBy(*keys))
 
 
-def _bisect(low: float, high: float, excess, steps: int = 60) -> Column:
-    """The point at which `excess`, a falling function of it, crosses zero."""
+def _shin(q: np.ndarray, z: np.ndarray, total: np.ndarray) -> np.ndarray:
+    return (np.sqrt(z * z + 4 * (1 - z) * q * q / total) - z) / (2 * (1 - z))
 
-    def halve(s: Column, _: Column) -> Column:
-        middle = (s["lo"] + s["hi"]) / 2
-        up = excess(middle) > 0
-        return F.struct(F.when(up, middle).otherwise(s["lo"]).alias("lo"), F.when(up, s["hi"]).otherwise(middle).alias("hi"))
 
-    start = F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi"))
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)
-    return (end["lo"] + end["hi"]) / 2
+#: Per method: bounds of its one parameter, and fair probabilities from inverse prices, the parameter and their sum.
+_METHODS = {"power": (0.5, 10.0, lambda q, k, total: q**k), "shin": (0.0, 0.4, _shin)}
 
 
-def power_exponent(inverse: Column) -> Column:
-    """k with sum(inverse^k) = 1, for an array of inverse prices."""
-    return _bisect(0.5, 10.0, lambda k: F.aggregate(inverse, F.lit(0.0), lambda s, q: s + F.pow(q, k)) - 1)
+def devig(inverse: Column, method: str = "proportional", steps: int = 60) -> Column:
+    """Array of fair probabilities from an array of inverse prices.
 
+    "power" raises the inverse prices to one exponent, "shin" takes out a share of informed bettors; either parameter is
+    bisected until the probabilities add up to 1, for a batch of markets at once. Null arrays stay null.
+    """
+    if method == "proportional":
+        total = F.aggregate(inverse, F.lit(0.0), lambda s, q: s + q)
+        return F.transform(inverse, lambda q: q / total)
+    low, high, share = _METHODS[method]
 
-def _shin(q: Column, z: Column, total: Column) -> Column:
-    return (F.sqrt(z * z + 4 * (1 - z) * q * q / total) - z) / (2 * (1 - z))
+    @pandas_udf("array<double>")
+    def run(markets: pd.Series) -> pd.Series:
+        sizes = markets.map(lambda m: 0 if m is None else len(m)).to_numpy()
+        q = np.zeros((len(markets), max(1, sizes.max(initial=0))))
+        there = np.arange(q.shape[1]) < sizes[:, None]
+        q[there] = np.concatenate([np.asarray(m, float) for m in markets if m is not None] or [np.zeros(0)])
+        total = np.where(sizes > 0, q.sum(1), 1.0)[:, None]
+        lo, hi = np.full((len(q), 1), low), np.full((len(q), 1), high)
+        for _ in range(steps):
+            middle = (lo + hi) / 2
+            up = np.where(there, share(q, middle, total), 0).sum(1, keepdims=True) > 1
+            lo, hi = np.where(up, middle, lo), np.where(up, hi, middle)
+        p = share(q, (lo + hi) / 2, total)
+        return pd.Series([None if m is None else p[i, : sizes[i]] for i, m in enumerate(markets)])
 
-
-def shin_share(inverse: Column) -> Column:
-    """The share of informed bettors with which the market's fair probabilities add up to 1."""
-    total = F.aggregate(inverse, F.lit(0.0), lambda s, q: s + q)
-    return _bisect(0.0, 0.4, lambda z: F.aggregate(inverse, F.lit(0.0), lambda s, q: s + _shin(q, z, total)) - 1)
-
-
-def devig(inverse: Column, method: str = "proportional") -> Column:
-    """Array of fair probabilities from an array of inverse prices."""
-    if method == "power":
-        k = power_exponent(inverse)
-        return F.transform(inverse, lambda q: F.pow(q, k))
-    total = F.aggregate(inverse, F.lit(0.0), lambda s, q: s + q)
-    if method == "shin":
-        z = shin_share(inverse)
-        return F.transform(inverse, lambda q: _shin(q, z, total))
-    return F.transform(inverse, lambda q: q / total)
+    return run(inverse)
 
 
 def with_margin(p: Column, margin: Column | float) -> Column:

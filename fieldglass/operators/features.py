@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil, log
 
 import pandas as pd
@@ -12,26 +13,32 @@ def team_order(keys: tuple = ("team",)):
     return W.partitionBy(*keys).orderBy("match_date", "match_id")
 
 
-def ewm(value: str, span: int, order=None) -> Column:
-    """Exponentially weighted mean of the rows before (adjusted weights, gaps keep their place), null until max(1, span // 2) values.
+def ewm_features(rows: DataFrame, values: tuple = ("gf", "shots"), spans: tuple = (3, 5, 10), block: int = 64) -> DataFrame:
+    """Exponentially weighted means of the rows before (adjusted weights, gaps keep their place), null until max(1, span // 2) values.
 
-    Weights below 1e-16 are left out, so the frame is finite and nothing overflows on long histories.
+    A team's history is cut into blocks of rows: running sums inside a block, and the sums of the blocks before, each
+    weighted down by the block's length. So a row costs the same however long the history, and no power overflows.
+    Blocks whose weight is below 1e-16 are left out.
     """
-    order = order or team_order()
-    alpha = 2 / (span + 1)
-    far = ceil(log(1e-16) / log(1 - alpha))
-    values = F.collect_list(F.struct(F.col("i"), F.col(value).cast("double").alias("x"))).over(order.rowsBetween(-far, -1))
-    known = F.filter(values, lambda v: v["x"].isNotNull())
-    weight = lambda v: F.pow(F.lit(1 - alpha), F.col("i") - 1 - v["i"])
-    top = F.aggregate(known, F.lit(0.0), lambda s, v: s + v["x"] * weight(v))
-    bottom = F.aggregate(known, F.lit(0.0), lambda s, v: s + weight(v))
-    seen = F.count(value).over(order.rowsBetween(W.unboundedPreceding, -1))
-    return F.when((seen >= max(1, span // 2)) & (bottom > 0), top / bottom)
-
-
-def ewm_features(rows: DataFrame, values: tuple = ("gf", "shots"), spans: tuple = (3, 5, 10)) -> DataFrame:
-    numbered = rows.withColumn("i", F.row_number().over(team_order()))
-    return numbered.select("match_id", "team", *[F.round(ewm(v, s), 6).alias(f"{v}_ewm{s}") for v in values for s in spans])
+    numbered = rows.withColumn("i", F.row_number().over(team_order()) - 1)
+    numbered = numbered.withColumn("b", F.floor(F.col("i") / block)).withColumn("r", F.col("i") % block)
+    inside = W.partitionBy("team", "b").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("team").orderBy("b")
+    sums, carried, made = [], [], []
+    for v in values:
+        for s in spans:
+            d, name = (s - 1) / (s + 1), f"{v}_{s}"
+            up, at = F.pow(F.lit(d), -F.col("r")), F.pow(F.lit(d), F.col("r"))
+            parts = {f"{name}_x": F.col(v).cast("double") * up, f"{name}_w": F.when(F.col(v).isNotNull(), up)}
+            for k, part in parts.items():
+                sums.append((F.sum(part) * d ** (block - 1)).alias(k))
+                far = ceil(log(1e-16) / (block * log(d)))
+                carried.append(reduce(Column.__add__, [F.coalesce(F.lag(k, n).over(before), F.lit(0.0)) * d ** (block * (n - 1)) for n in range(1, far + 1)]).alias(f"{k}_c"))
+            x, w = (F.coalesce(F.sum(part).over(inside), F.lit(0.0)) / d * at + F.col(f"{k}_c") * at for k, part in parts.items())
+            enough = F.count(v).over(team_order().rowsBetween(W.unboundedPreceding, -1)) >= max(1, s // 2)
+            made.append(F.round(F.when(enough & (w > 0), x / w), 6).alias(f"{v}_ewm{s}"))
+    blocks = numbered.groupBy("team", "b").agg(*sums).select("team", "b", *carried)
+    return numbered.join(blocks, ["team", "b"]).select("match_id", "team", *made)
 
 
 def rest_days(rows: DataFrame, default: int = 7, cap: int = 30) -> DataFrame:

@@ -51,15 +51,28 @@ def rates(matches: DataFrame, strengths: DataFrame, home_edge: float = 1.1) -> D
     return j.select("match_id", clip(F.col("m") * F.col("ha") * F.col("ad") * home_edge).alias("home"), clip(F.col("m") * F.col("aa") * F.col("hd") / home_edge).alias("away"))
 
 
+def _pmf(expected: DataFrame, share: float, top: int, name: str) -> DataFrame:
+    """Adds {name}h0 .. and {name}a0 ..: chances of each number of goals of either side up to `top`."""
+    return expected.withColumns({f"{name}{side[0]}{k}": pr.poisson(F.col(side) * share, k) for side in ("home", "away") for k in range(top + 1)})
+
+
+def _total(columns) -> Column:
+    found = list(columns)
+    return reduce(Column.__add__, found) if found else F.lit(0.0)
+
+
 def grid(expected: DataFrame, rho: float = -0.05, top: int = 7) -> DataFrame:
     """Probability of each score up to `top` a side (match_id, i, j, p), low scores corrected, adding up to 1.
 
-    (top + 1)^2 rows a match, made in place: no join, no shuffle.
+    (top + 1)^2 rows a match, made in place from plain expressions: no join, no shuffle, all compiled.
     """
-    axis = F.sequence(F.lit(0), F.lit(top))
-    cells = F.flatten(F.transform(axis, lambda i: F.transform(axis, lambda j: F.struct(i.alias("i"), j.alias("j"), F.greatest(F.lit(0.0), pr.poisson(F.col("home"), i) * pr.poisson(F.col("away"), j) * pr.low_score_factor(i, j, F.col("home"), F.col("away"), F.lit(rho))).alias("p")))))
-    g = expected.withColumn("cells", cells).withColumn("total", F.aggregate("cells", F.lit(0.0), lambda s, c: s + c["p"]))
-    return g.select("match_id", "total", F.explode("cells").alias("c")).select("match_id", F.col("c.i").alias("i"), F.col("c.j").alias("j"), (F.col("c.p") / F.col("total")).alias("p"))
+    g, goals = _pmf(expected, 1.0, top, "_"), range(top + 1)
+    cell = lambda i, j: F.col(f"_h{i}") * F.col(f"_a{j}")
+    low = {(i, j): F.greatest(F.lit(0.0), cell(i, j) * pr.low_score_factor(F.lit(i), F.lit(j), F.col("home"), F.col("away"), F.lit(rho))) for i in (0, 1) for j in (0, 1)}
+    whole = _total(F.col(f"_h{i}") for i in goals) * _total(F.col(f"_a{j}") for j in goals) + _total(low[c] - cell(*c) for c in low)
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), low.get((i, j), cell(i, j)).alias("p")) for i in goals for j in goals])
+    g = g.withColumn("total", whole)
+    return g.select("match_id", "total", F.explode(cells).alias("c")).select("match_id", "c.i", "c.j", (F.col("c.p") / F.col("total")).alias("p"))
 
 
 def markets(scores: DataFrame) -> DataFrame:
@@ -73,19 +86,17 @@ def markets(scores: DataFrame) -> DataFrame:
 
 
 def half_time_full_time(expected: DataFrame, share: float = 0.45, top: int = 6) -> DataFrame:
-    """Joint result at half and full time: independent Poisson goals of the halves."""
-    axis = F.sequence(F.lit(0), F.lit(top))
-    cells = F.flatten(F.transform(axis, lambda i: F.transform(axis, lambda j: F.struct(i.alias("i"), j.alias("j"), (pr.poisson(F.col("home") * share, i) * pr.poisson(F.col("away") * share, j)).alias("p"), (pr.poisson(F.col("home") * (1 - share), i) * pr.poisson(F.col("away") * (1 - share), j)).alias("q")))))
-    r = lambda a, b: F.when(a > b, "H").when(a == b, "D").otherwise("A")
-    g = expected.withColumn("cells", cells)
-    first = g.select("match_id", "cells", F.explode("cells").alias("f"))
-    # of the second half only the goal difference matters
-    gaps = F.transform(F.sequence(F.lit(-top), F.lit(top)), lambda d: F.struct(d.alias("d"), F.aggregate("cells", F.lit(0.0), lambda s, c: s + F.when(c["i"] - c["j"] == d, c["q"]).otherwise(0.0)).alias("q")))
-    halves = first.groupBy("match_id", (F.col("f.i") - F.col("f.j")).alias("gap")).agg(F.sum("f.p").alias("p"))
-    second = g.select("match_id", F.explode(gaps).alias("s")).select("match_id", F.col("s.d").alias("d"), F.col("s.q").alias("q"))
-    both = halves.join(second, "match_id").withColumn("label", F.concat(r(F.col("gap"), F.lit(0)), F.lit("/"), r(F.col("gap") + F.col("d"), F.lit(0))))
-    out = both.groupBy("match_id", "label").agg(F.sum(F.col("p") * F.col("q")).alias("p"))
-    return out.withColumn("p", F.col("p") / F.sum("p").over(W.partitionBy("match_id")))
+    """Joint result at half and full time: independent Poisson goals of the halves. Nine rows a match, made in place."""
+    g = _pmf(_pmf(expected, share, top, "_f"), 1 - share, top, "_s")
+    gaps, goals = range(-top, top + 1), range(top + 1)
+    for half in "fs":  # chances of each lead after a half's own goals
+        g = g.withColumns({f"_{half}{d + top}": _total(F.col(f"_{half}h{i}") * F.col(f"_{half}a{i - d}") for i in goals if i - d in goals) for d in gaps})
+    sign = lambda x: "H" if x > 0 else "D" if x == 0 else "A"
+    joint = {f"{a}/{b}": _total(F.col(f"_f{d + top}") * _total(F.col(f"_s{e + top}") for e in gaps if sign(d + e) == b) for d in gaps if sign(d) == a) for a in "HDA" for b in "HDA"}
+    g = g.withColumns({f"_{k}": v for k, v in joint.items()})
+    labels = F.array(*[F.struct(F.lit(k).alias("label"), F.col(f"`_{k}`").alias("p")) for k in joint])
+    g = g.withColumn("total", _total(F.col(f"`_{k}`") for k in joint))
+    return g.select("match_id", "total", F.explode(labels).alias("x")).select("match_id", "x.label", (F.col("x.p") / F.col("total")).alias("p"))
 
 
 def values(chances: DataFrame, best: DataFrame, thresholds: dict[str, float], margin: DataFrame | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -20,24 +21,30 @@ def with_teams(bets: DataFrame, matches: DataFrame) -> DataFrame:
 def portfolio(bets: DataFrame, limits: dict[str, float] = LIMITS, card: str = "match_date") -> DataFrame:
     """Bets of a card (a day) in order of edge, each clipped to what its match, team, market, direction and the card have left.
 
-    Each stake depends on all before it, so a card is one group: it is bounded by one day's fixtures, and cards run side by
-    side. Bets that are clipped to nothing go.
+    Each stake depends on all before it on its card. Cards are dealt over the cluster and sorted there; a task holds the
+    running exposures of one card at a time and no card's rows. Bets that are clipped to nothing go.
     """
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        used, out = defaultdict(float), []
-        for b in frame.sort_values(["edge", "match_id", "outcome"], ascending=[False, True, True]).itertuples():
-            keys = [("total",), ("match", b.match_id), ("market", b.market), ("direction", b.outcome)]
-            if not pd.isna(b.team):
-                keys.append(("team", int(b.team)))
-            stake = min([b.stake, *[max(0.0, limits[k[0]] - used[k]) for k in keys]])
-            if stake > 0:
-                for k in keys:
-                    used[k] += stake
-                out.append((b.match_id, b.outcome, b.edge, b.stake, stake))
-        return pd.DataFrame(out, columns=["match_id", "outcome", "edge", "asked", "stake"])
-
-    return bets.groupBy(card).applyInPandas(run, "match_id long, outcome string, edge double, asked double, stake double")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, used = None, defaultdict(float)
+        for frame in frames:
+            out = []
+            for b in frame.itertuples():
+                if b.card != now:
+                    now, used = b.card, defaultdict(float)
+                keys = [("total",), ("match", b.match_id), ("market", b.market), ("direction", b.outcome)]
+                if not pd.isna(b.team):
+                    keys.append(("team", int(b.team)))
+                stake = min([b.stake, *[max(0.0, limits[k[0]] - used[k]) for k in keys]])
+                if stake > 0:
+                    for k in keys:
+                        used[k] += stake
+                    out.append((b.match_id, b.outcome, b.edge, b.stake, stake))
+            yield pd.DataFrame(out, columns=["match_id", "outcome", "edge", "asked", "stake"])
+
+    rows = bets.select(F.col(card).cast("string").alias("card"), "match_id", "market", "outcome", "team", "edge", "stake")
+    rows = rows.repartition("card").sortWithinPartitions("card", F.desc("edge"), "match_id", "outcome")
+    return rows.mapInPandas(run, "match_id long, outcome string, edge double, asked double, stake double")
 
 
 def single_cap(bets: DataFrame, keys: list[str], cap: float) -> DataFrame:

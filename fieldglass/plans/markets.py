@@ -23,8 +23,8 @@ def rates(s, d):
 
 
 RATES = """base as (select sum(fthg+ftag)/(2.0::double*count(*)) m from matches where fthg is not null),
-st as (select team, round((sum(gf)+6*any_value(m))/(count(*)+6)/any_value(m),6) at, round((sum(ga)+6*any_value(m))/(count(*)+6)/any_value(m),6) de from team_rows, base where gf is not null group by team),
-rates as (select match_id, greatest(0.2::double, least(4.0::double, m*h.at*a.de*1.1::double)) home, greatest(0.2::double, least(4.0::double, m*a.at*h.de/1.1::double)) away from matches join st h on h.team=home_id join st a on a.team=away_id, base),
+st as (select team, round((sum(gf)+6*any_value(m))/(count(*)+6)/any_value(m),6) att, round((sum(ga)+6*any_value(m))/(count(*)+6)/any_value(m),6) de from team_rows, base where gf is not null group by team),
+rates as (select match_id, greatest(0.2::double, least(4.0::double, m*h.att*a.de*1.1::double)) home, greatest(0.2::double, least(4.0::double, m*a.att*h.de/1.1::double)) away from matches join st h on h.team=home_id join st a on a.team=away_id, base),
 cells as (select match_id, i::int i, j::int j, greatest(0, exp(-home)*power(home,i)/factorial(i::int)*exp(-away)*power(away,j)/factorial(j::int)*case when i=0 and j=0 then 1+home*away*0.05::double when i=0 and j=1 then 1-home*0.05::double when i=1 and j=0 then 1-away*0.05::double when i=1 and j=1 then 1.05::double else 1 end) w from rates, range(8) a(i), range(8) b(j)),
 grid as (select match_id, i, j, w/sum(w) over (partition by match_id) p from cells)"""
 FAIR = """good as (select *, count(*) over (partition by match_id, book) n, (1/price)/sum(1/price) over (partition by match_id, book) p, sum(1/price) over (partition by match_id, book)-1 margin from prices where price>1), fair as (select * from good where n=3)"""
@@ -112,7 +112,7 @@ def x13(s, d):
 BETS = f"""{RATES}, win as (select match_id, sum(p) filter (i>j) h, sum(p) filter (i=j) d, sum(p) filter (i<j) a from grid group by 1), ch as (select match_id, unnest(['H','D','A']) outcome, unnest([h,d,a]) p from win),
 best as (select match_id, outcome, max(price) price, arg_max(book,price) book from prices group by 1,2),
 ed as (select *, p-fair edge, case outcome when 'H' then 0.03::double when 'D' then 0.04::double else 0.03::double end bar from (select *, (1/price)/sum(1/price) over (partition by match_id) fair from ch join best using (match_id, outcome))),
-st as (select *, case when price>1 and ((price-1)*p-(1-p))/(price-1)>0 and p*price-1>=0 then least(((price-1)*p-(1-p))/(price-1),0.05::double) end stake from ed where edge>=bar)"""
+staked as (select *, case when price>1 and ((price-1)*p-(1-p))/(price-1)>0 and p*price-1>=0 then least(((price-1)*p-(1-p))/(price-1),0.05::double) end stake from ed where edge>=bar)"""
 
 
 def bets(s, d):
@@ -122,7 +122,7 @@ def bets(s, d):
     return markets.values(chances, markets.best_prices(t.prices(m)), {"H": 0.03, "D": 0.04})
 
 
-@query("r2_value_bets", f"with {BETS} select match_id, outcome, round(price,6) price, round(edge,6) edge, round(stake,6) stake, case when edge>=2.5*bar then 'high' when edge>=1.5*bar then 'medium' else 'low' end tier from st where stake is not null")
+@query("r2_value_bets", f"with {BETS} select match_id, outcome, round(price,6) price, round(edge,6) edge, round(stake,6) stake, case when edge>=2.5*bar then 'high' when edge>=1.5*bar then 'medium' else 'low' end tier from staked where stake is not null")
 def r2(s, d):
     return r6(bets(s, d), "match_id", "outcome", "price", "edge", "stake", "tier")
 
@@ -155,7 +155,7 @@ def r5(s, d):
     return r6(risk.portfolio(risk.with_teams(bets(s, d), t.matches(s, d))))
 
 
-@query("r5_single_cap", f"""with {BETS}, k as (select match_id, outcome, stake, coalesce(sum(stake) over (partition by match_id order by edge desc, outcome rows between unbounded preceding and 1 preceding),0) prev from st where stake is not null)
+@query("r5_single_cap", f"""with {BETS}, k as (select match_id, outcome, stake, coalesce(sum(stake) over (partition by match_id order by edge desc, outcome rows between unbounded preceding and 1 preceding),0) prev from staked where stake is not null)
 select match_id, outcome, round(least(stake, greatest(0, 0.06::double-prev)),6) stake from k""")
 def r5b(s, d):
     return r6(risk.single_cap(bets(s, d), ["match_id"], 0.06))
@@ -163,7 +163,7 @@ def r5b(s, d):
 
 @query("w13_drawdown", """with r as (select match_date, match_id, exp(sum(ln(1+case when fthg>ftag then 0.02::double else -0.015::double end)) over (partition by home_id order by match_date, match_id)) bank, home_id from matches where fthg is not null),
 p as (select *, max(bank) over (partition by home_id order by match_date, match_id) peak from r)
-select home_id, match_id, round(greatest(peak,1)/1-bank/1,5) fall, round(1-bank/greatest(peak,1),5) drawdown, case when 1-bank/greatest(peak,1)>=0.3 then 'stop' when 1-bank/greatest(peak,1)>=0.2 then 'half' else 'normal' end status from p""")
+select home_id, match_id, round(greatest(peak,1)-bank,7) fall, round(1-bank/greatest(peak,1),7) drawdown, case when 1-bank/greatest(peak,1)>=0.3 then 'stop' when 1-bank/greatest(peak,1)>=0.2 then 'half' else 'normal' end status from p""")
 def w13(s, d):
     m = t.matches(s, d).where("fthg is not null").withColumn("gain", F.when(F.col("fthg") > F.col("ftag"), 0.02).otherwise(-0.015))
-    return risk.drawdown(m, ["home_id"], ["match_date", "match_id"]).select("home_id", "match_id", F.round(F.col("peak") - F.col("bank"), 5).alias("fall"), F.round("drawdown", 5).alias("drawdown"), "status")
+    return risk.drawdown(m, ["home_id"], ["match_date", "match_id"]).select("home_id", "match_id", F.round(F.col("peak") - F.col("bank"), 7).alias("fall"), F.round("drawdown", 7).alias("drawdown"), "status")

@@ -110,4 +110,4 @@ SQL = {
 
 def with_views(sql: str) -> str:
     """The SQL after the definitions of the views."""
-    return "with " + ",\n".join(f"{k} as ({v})" for k, v in SQL.items()) + (",\n" + sql[len("with ") :] if sql.startswith("with ") else "\n" + sql)
+    return "with recursive " + ",\n".join(f"{k} as ({v})" for k, v in SQL.items()) + (",\n" + sql.removeprefix("with ").removeprefix("recursive ") if sql.startswith("with ") else "\n" + sql)
