@@ -41,8 +41,8 @@ def moment(demand: Column, lean: Column) -> Column:
     return F.when(demand <= 0, F.lit(0.0)).otherwise(2 * demand / (b + F.sqrt(b * b + 4 * lean * demand)))
 
 
-def allot(docs: DataFrame, weights: tuple = WEIGHTS, leans: tuple = LEANS, repeats: int = REPEATS) -> DataFrame:
-    """A row for each row of docs: doc (struct of its columns), size, source_size, target, passes, taken, before, lean, position.
+def allot(docs: DataFrame, weights: tuple = WEIGHTS, leans: tuple = LEANS, repeats: int = REPEATS, keep: list[str] | None = None) -> DataFrame:
+    """A row for each row of docs: doc (struct of its columns, or of those in `keep`), size, source_size, target, passes, taken, before, lean, position.
 
     Documents of a source stand in the order of md5(doc_id). A source whose target is r times its size takes every
     document floor(r) times and then the first words in that order up to the rest, so its taken words are its target
@@ -50,7 +50,7 @@ def allot(docs: DataFrame, weights: tuple = WEIGHTS, leans: tuple = LEANS, repea
     which training first comes to the document; null if nothing of it is taken. A null text has size 0; null sources
     are a source of their own, the last; null ids stand in the order of an empty id; repeated rows each count.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("doc")).select("doc", F.col("doc.source").alias("source"), word_count(F.col("doc.text")).alias("size"), F.md5(F.coalesce(F.col("doc.doc_id").cast("string"), F.lit("")).cast("binary")).alias("digest"))
+    rows = docs.select(F.struct(*(docs.columns if keep is None else keep)).alias("doc"), "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("digest"))
     rows = rows.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
     sources = rows.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
     rows = running_sum(rows.drop("source"), ["key"], "digest", ["size"], "size", "before", targets(sources, weights, leans, repeats))

@@ -27,7 +27,7 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.allot(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    rows = mixing.allot(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), keep=["doc_id"])
     rows = rows.select(F.col("doc.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
     return rows.orderBy("position", "doc_id")
 
