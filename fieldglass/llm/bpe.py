@@ -137,24 +137,28 @@ class Coder:
             self.seen[mark] = True
         return found
 
-    def _holds(self, left: list[bytes], right: list[bytes], width: int) -> bool:
-        """Whether re-encoding `width` words on both sides of a join gives what the two sides give apart."""
-        key = b" ".join(left[-width:]), b" ".join(right[:width])
-        if (found := self.joins[key]) is None:
-            both, *apart = self._library([s.decode("utf-8", "replace") for s in (b" ".join(key), *key)])
-            found = self.joins[key] = 1 + (both == apart[0] + apart[1])
-        return found == 2
-
-    def encode(self, text: bytes, words: list[bytes] | None = None) -> tuple[bytes, str]:
+    def join(self, texts: list[list[bytes]], ends: list[list[int]]) -> None:
+        """Re-encodes the words on both sides of every join that isn't known yet, together: does it give what they give apart?"""
+        new = {(words[e - 1], words[e]) for words, cut in zip(texts, ends) for e in cut[:-1]}
+        new = [k for k in new if self.joins[k] is None]
+        for (a, b), both in zip(new, self._library([(a + b" " + b).decode("utf-8", "replace") for a, b in new])):
+            self.joins[a, b] = 1 + (array("I", both).tobytes() == self._piece(a)[0] + self._piece(b)[0])
+
+    def encode(self, text: bytes, words: list[bytes] | None = None, ends: list[int] | None = None) -> tuple[bytes, str]:
         """(ids as little-endian unsigned 32-bit integers, decoded text)."""
         if not self.by_piece:
             return self._by_joins(text.decode("utf-8", "replace"))
-        words = text.split() if words is None else words
+        if words is None or ends is None:
+            words = text.split()
+            ends = cuts(words)
+            self.join([words], [ends])
         out, held, start = [], [], 0
-        for end in cuts(words) if words else []:
+        for end in ends:
             chunk = words[start:end]
+            if not chunk:
+                continue
             made = self._chunk(chunk)
-            if held and not self._holds(held, chunk, 1):
+            if held and self.joins[held[-1], chunk[0]] != 2:
                 # encode both sides of the join anew as one
                 chunk = held + chunk
                 out.pop()
@@ -205,10 +209,14 @@ class Coder:
                 upto += 1
             group = texts[at:upto]
             words = self.learn(group) if self.by_piece else [None] * len(group)
-            for text, w in zip(group, words):
-                yield self.encode(text, w)
-                for memory in (self.chunks, self.joins, self.seen):
+            ends = [cuts(w) for w in words] if self.by_piece else words
+            if self.by_piece:
+                self.join(words, ends)
+            for text, w, cut in zip(group, words, ends):
+                yield self.encode(text, w, cut)
+                for memory in (self.chunks, self.seen):
                     memory.room()
+            self.joins.room()
             at = upto
 
 
