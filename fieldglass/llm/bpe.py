@@ -17,7 +17,9 @@ from pyspark.sql.functions import pandas_udf
 #: Mean words of a chunk, words of the rolling window, bounds of a chunk.
 MEAN, WINDOW, LEAST, MOST = 64, 4, 16, 256
 #: Entries of each generation of a worker's memory: pieces, chunks, joins.
-PIECES, CHUNKS, JOINS = 250_000, 12_000, 60_000
+PIECES, CHUNKS, JOINS = 120_000, 12_000, 60_000
+#: Bytes of texts that are encoded, and returned to Spark, together; a longer text stands alone.
+GROUP = 1 << 20
 
 
 class Recent(dict):
@@ -199,12 +201,12 @@ class Coder:
         ids = np.array([i for _, p in made for i in p], "<u4").tobytes()
         return ids, self._decoded(ids)
 
-    def encode_all(self, texts: list[bytes]) -> Iterator[tuple[bytes, str]]:
-        """Groups of texts, so that new pieces reach the library many at a time."""
+    def encode_all(self, texts: list[bytes]) -> Iterator[list[tuple[bytes, str]]]:
+        """Lists of results, one for each group of texts: new pieces reach the library many at a time, and only one group's results are held."""
         at = 0
         while at < len(texts):
             upto, size = at, 0
-            while upto < len(texts) and (upto == at or size < 1 << 18):
+            while upto < len(texts) and (upto == at or size < GROUP):
                 size += len(texts[upto])
                 upto += 1
             group = texts[at:upto]
@@ -212,11 +214,13 @@ class Coder:
             ends = [cuts(w) for w in words] if self.by_piece else words
             if self.by_piece:
                 self.join(words, ends)
+            made = []
             for text, w, cut in zip(group, words, ends):
-                yield self.encode(text, w, cut)
+                made.append(self.encode(text, w, cut))
                 for memory in (self.chunks, self.seen):
                     memory.room()
             self.joins.room()
+            yield made
             at = upto
 
 
@@ -232,8 +236,11 @@ def encoded(text: Column, path: str) -> Column:
     """
 
     @pandas_udf("ids binary, decoded string")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(list(coder(path).encode_all([t or b"" for t in texts])), columns=["ids", "decoded"])
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = coder(path)
+        for texts in batches:
+            for made in own.encode_all([t or b"" for t in texts]):
+                yield pd.DataFrame(made, columns=["ids", "decoded"])
 
     return run(text.cast("binary"))
 
