@@ -77,8 +77,12 @@ def appearances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as claims about a player: claim_id, ts, player_id, claim_type, value, tier."""
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("claim_id"), "ts", F.col("user_id").alias("player_id"), F.col("event_type").alias("claim_type"), "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    """Events as claims about a player: claim_id, ts, player_id, claim_type, value, k."""
+    return as_claims(table(spark, sf_dir, "events"))
+
+
+def as_claims(events: DataFrame) -> DataFrame:
+    return events.select(F.col("event_id").alias("claim_id"), "ts", F.col("user_id").alias("player_id"), F.col("event_type").alias("claim_type"), "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
 def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
