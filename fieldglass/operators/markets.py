@@ -61,14 +61,20 @@ def _total(columns) -> Column:
     return reduce(Column.__add__, found) if found else F.lit(0.0)
 
 
-def score_cells(expected: DataFrame, rho: float = -0.05, top: int = 7) -> DataFrame:
-    """Per match the scores' weights (cells: array of i, j, p; by i, then j) and their total."""
+def _cells(expected: DataFrame, rho: float, top: int) -> tuple[DataFrame, Column]:
+    """The rates with `total`, and an array of the scores' weights (i, j, p; by i, then j) that adds up to it."""
     g, goals = _pmf(expected, 1.0, top, "_"), range(top + 1)
     cell = lambda i, j: F.col(f"_h{i}") * F.col(f"_a{j}")
     low = {(i, j): F.greatest(F.lit(0.0), cell(i, j) * pr.low_score_factor(F.lit(i), F.lit(j), F.col("home"), F.col("away"), F.lit(rho))) for i in (0, 1) for j in (0, 1)}
     whole = _total(F.col(f"_h{i}") for i in goals) * _total(F.col(f"_a{j}") for j in goals) + _total(low[c] - cell(*c) for c in low)
     cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), low.get((i, j), cell(i, j)).alias("p")) for i in goals for j in goals])
-    return g.select("match_id", whole.alias("total"), cells.alias("cells"))
+    return g.withColumn("total", whole), cells
+
+
+def score_cells(expected: DataFrame, rho: float = -0.05, top: int = 7) -> DataFrame:
+    """Per match the weights of the scores (cells) and their total."""
+    g, cells = _cells(expected, rho, top)
+    return g.select("match_id", "total", cells.alias("cells"))
 
 
 def grid(expected: DataFrame, rho: float = -0.05, top: int = 7) -> DataFrame:
@@ -76,8 +82,9 @@ def grid(expected: DataFrame, rho: float = -0.05, top: int = 7) -> DataFrame:
 
     (top + 1)^2 rows a match, made in place from plain expressions: no join, no shuffle, all compiled.
     """
-    g = score_cells(expected, rho, top)
-    return g.select("match_id", "total", F.explode("cells").alias("c")).select("match_id", "c.i", "c.j", (F.col("c.p") / F.col("total")).alias("p"))
+    g, cells = _cells(expected, rho, top)
+    # the array stands inside explode: an array column would be copied into an inferred filter
+    return g.select("match_id", "total", F.explode(cells).alias("c")).select("match_id", "c.i", "c.j", (F.col("c.p") / F.col("total")).alias("p"))
 
 
 def markets(scores: DataFrame) -> DataFrame:
