@@ -12,7 +12,8 @@ def claims(spark: SparkSession, path: str, files: int | None = None) -> DataFram
     """The claims of Parquet files at `path` as a stream, `files` of them a batch at most; ts is an instant, as watermarks need."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     reader = reader.option("maxFilesPerTrigger", files) if files else reader
-    return as_claims(reader.parquet(path)).withColumn("ts", F.col("ts").cast("timestamp"))
+    # as a pattern: a stream's plain path has to be a folder, and `path` may be one file
+    return as_claims(reader.parquet(f"{path[:-1]}[{path[-1]}]")).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def unseen(log: DataFrame, key: str, ts: str, delay: str = "1 hour") -> DataFrame:
