@@ -40,10 +40,10 @@ def f37(s, d):
     return r6(markets.book_margins(P(s, d)))
 
 
-def _devigged(s, d, method):
-    inverse = P(s, d).where(F.col("book") == 0).groupBy("match_id").agg(*[F.max(F.when(F.col("outcome") == o, 1 / F.col("price"))).alias(o) for o in "HDA"])
+def _devigged(prices, method):
+    inverse = prices.groupBy("match_id", "book").agg(*[F.max(F.when(F.col("outcome") == o, 1 / F.col("price"))).alias(o) for o in "HDA"])
     fair = pr.devig(F.array("H", "D", "A"), method)
-    return inverse.select("match_id", fair.alias("f")).select("match_id", *[F.round(F.col("f")[i], 5).alias(f"p_{o}") for i, o in enumerate("hda")])
+    return inverse.select("match_id", "book", fair.alias("f")).select("match_id", "book", *[F.round(F.col("f")[i], 5).alias(f"p_{o}") for i, o in enumerate("hda")])
 
 
 def _bisection(low, high, excess):
@@ -53,7 +53,12 @@ b as (select match_id, h, d, a, {low}::double lo, {high}::double hi, 0 n from q
 
 @query("f35_devig_power", _bisection(0.5, 10.0, "power(h,(lo+hi)/2)+power(d,(lo+hi)/2)+power(a,(lo+hi)/2)-1") + " select match_id, round(power(h,(lo+hi)/2),5) p_h, round(power(d,(lo+hi)/2),5) p_d, round(power(a,(lo+hi)/2),5) p_a from b where n=60")
 def f35(s, d):
-    return _devigged(s, d, "power")
+    return _devigged(P(s, d).where("book = 0"), "power").drop("book")
+
+
+@query("f35_devig_power_books")
+def f35_books(s, d):
+    return _devigged(P(s, d), "power")
 
 
 _SHIN = "(sqrt({z}*{z}+4*(1-{z})*{q}*{q}/(h+d+a))-{z})/(2*(1-{z}))"
@@ -61,7 +66,12 @@ _SHIN = "(sqrt({z}*{z}+4*(1-{z})*{q}*{q}/(h+d+a))-{z})/(2*(1-{z}))"
 
 @query("f36_devig_shin", _bisection(0.0, 0.4, "+".join(_SHIN.format(z="((lo+hi)/2)", q=q) for q in "hda") + "-1") + " select match_id, " + ", ".join(f"round({_SHIN.format(z='((lo+hi)/2)', q=q)},5) p_{q}" for q in "hda") + " from b where n=60")
 def f36(s, d):
-    return _devigged(s, d, "shin")
+    return _devigged(P(s, d).where("book = 0"), "shin").drop("book")
+
+
+@query("f36_devig_shin_books")
+def f36_books(s, d):
+    return _devigged(P(s, d), "shin")
 
 
 @query("f38_apply_margin", f"with {FAIR} select match_id, outcome, round(1/(p*1.05::double),6) price from fair where book=0")
@@ -69,6 +79,11 @@ def f38(s, d):
     return markets.fair(P(s, d)).where(F.col("book") == 0).select("match_id", "outcome", F.round(pr.with_margin(F.col("p"), 0.05), 6).alias("price"))
 
 
+@query("f38_apply_margin_books", f"with {FAIR} select match_id, book, outcome, round(1/(p*1.05::double),6) price from fair")
+def f38_books(s, d):
+    return markets.fair(P(s, d)).select("match_id", "book", "outcome", F.round(pr.with_margin(F.col("p"), 0.05), 6).alias("price"))
+
+
 @query("a16_consensus", f"""with {FAIR}, per as (select match_id, outcome, median(p) q0, count(*) n from fair group by 1,2), q as (select *, q0/sum(q0) over (partition by match_id) q from per),
 dis as (select match_id, max(abs(ln(p/(1-p))-ln(q/(1-q)))) x from fair join q using (match_id, outcome) group by 1)
 select match_id, round(max(q) filter (outcome='H'),6) p_h, round(max(q) filter (outcome='D'),6) p_d, round(max(q) filter (outcome='A'),6) p_a, max(q.n) books, round(max(q.n)/(max(q.n)+2.0::double),6) weight, round(any_value(x),6) dispersion from q join dis using (match_id) group by match_id""")
@@ -93,6 +108,11 @@ def f32(s, d):
     return r6(markets.grid(rates(s, d)).where("i < 3 and j < 3"))
 
 
+@query("f32_scoreline_grid_whole", f"with {RATES} select match_id, i, j, round(p,6) p from grid")
+def f32_whole(s, d):
+    return r6(markets.grid(rates(s, d)))
+
+
 OF = lambda c: f"round(sum(case when {c} then p else 0 end),6)"
 
 
@@ -144,6 +164,13 @@ def f44(s, d):
     return rates(s, d).join(market, "match_id").select("match_id", F.round(pr.blend_log(F.col("home"), 3 * F.col("p"), 0.6), 6).alias("blended"))
 
 
+@query("f44_blend_log_books", f"with {RATES}, {FAIR}, side as (select match_id, book, outcome, p, case outcome when 'H' then home else away end rate from rates join fair using (match_id) where outcome<>'D') select match_id, book, outcome, round(rate*exp(0.6::double*greatest(-0.5::double, least(0.5::double, ln(3*p/rate)))),6) blended from side")
+def f44_books(s, d):
+    """Both sides' rates with every book; a draw has no rate of its own."""
+    j = rates(s, d).join(markets.fair(P(s, d)).where("outcome <> 'D'"), "match_id").withColumn("rate", F.when(F.col("outcome") == "H", F.col("home")).otherwise(F.col("away")))
+    return j.select("match_id", "book", "outcome", F.round(pr.blend_log(F.col("rate"), 3 * F.col("p"), 0.6), 6).alias("blended"))
+
+
 @query("f45_anytime_radius", """with g as (select home_id, count(*) n, stddev_samp(fthg-ftag) s from matches where fthg is not null group by 1) select home_id, round(s*sqrt(2*(n*0.01::double+1)/(n*n*0.01::double)*ln(sqrt(n*0.01::double+1)/0.05::double)),6) radius from g""")
 def f45(s, d):
     g = t.matches(s, d).where("fthg is not null").groupBy("home_id").agg(F.count("*").alias("n"), F.stddev_samp(F.col("fthg") - F.col("ftag")).alias("sd"))
