@@ -159,10 +159,23 @@ def transfers(owned: DataFrame, players: DataFrame, bank: int, per_club: int = 3
     """Per owned player the n best affordable replacements of its position whose club has room, not owned yet."""
     counts = owned.groupBy("team_id").agg(F.count("*").alias("held"))
     free = players.join(owned.select("player_id"), "player_id", "left_anti").join(F.broadcast(counts), "team_id", "left")
-    # replacements of a position rank once; an owned player then meets the positions' lists, never all pairs of players
     ins = free.select(F.col("player_id").alias("in_id"), "position", F.col("team_id").alias("in_team"), F.col("price").alias("in_price"), F.col("xp").alias("in_xp"), F.coalesce("held", F.lit(0)).alias("held"))
-    outs = owned.select(F.col("player_id").alias("out_id"), "position", F.col("team_id").alias("out_team"), F.col("price").alias("out_price"), F.col("xp").alias("out_xp"))
+    outs = owned.select(F.col("player_id").alias("out_id"), "position", F.col("team_id").alias("out_team"), (F.col("price") + bank).alias("limit"), F.col("xp").alias("out_xp"))
+    # the best of each club and price, then of each club up to each limit: an owned player meets n rows a club, not its whole position
+    cells = _best_by_points(ins, ["position", "in_team", "in_price"], n)
+    limits = outs.select("position", "limit").distinct()
+    within = cells.join(limits, "position").where(F.col("in_price") <= F.col("limit"))
+    best = _best_by_points(within, ["position", "in_team", "limit"], n)
     room = F.col("held") - F.when(F.col("in_team") == F.col("out_team"), 1).otherwise(0) < per_club
-    j = ins.join(F.broadcast(outs), "position").where((F.col("in_price") <= F.col("out_price") + bank) & room & (F.col("in_xp") > F.col("out_xp")))
+    j = outs.join(best, ["position", "limit"]).where(room & (F.col("in_xp") > F.col("out_xp")))
     j = j.withColumn("gain", F.round(F.col("in_xp") - F.col("out_xp"), 6))
     return top_in_group(j, ["out_id"], [F.desc("gain"), "in_id"], n).select("out_id", "in_id", "gain", F.col("rank").cast("long").alias("rank"))
+
+
+def _best_by_points(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """Of each group the n of most in_xp (equal ones by in_id), and those so close to the last that a rounded gain can be the same."""
+    ranked = W.partitionBy(*keys).orderBy(F.desc("in_xp"), "in_id")
+    last = F.nth_value("in_xp", n).over(ranked.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    equal = F.row_number().over(W.partitionBy(*keys, "in_xp").orderBy("in_id"))
+    kept = rows.withColumn("_last", last).withColumn("_equal", equal).where("_equal <= %d and (_last is null or in_xp >= _last - 2e-6)" % n)
+    return kept.drop("_last", "_equal")

@@ -1,9 +1,11 @@
-"""Queries over all books and cells against brute force."""
+"""Queries over all books and cells, and transfers, against brute force."""
 
 import math
+import random
 
 import pytest
 
+from fieldglass.operators import players
 from fieldglass.plans.all_queries import QUERIES
 from fieldglass.sources import tables as t
 
@@ -36,3 +38,27 @@ def test_whole_grid_adds_up(spark, small):
     for r in QUERIES["f32_scoreline_grid_whole"](spark, small).collect():
         sums.setdefault(r["match_id"], []).append(r["p"])
     assert sums and all(len(p) == 64 and sum(p) == pytest.approx(1, abs=1e-4) for p in sums.values())
+
+
+def squad(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["DEF", "MID"]), rng.randrange(6), rng.randrange(40, 60), rng.choice([rng.randrange(40) / 4, rng.random() * 10, 3 + rng.random() * 4e-6])) for i in range(900)]
+    return rows, rows[:12], spark.createDataFrame(rows, "player_id long, position string, team_id int, price int, xp double")
+
+
+def test_transfers_are_brute_force(spark):
+    rows, owned, df = squad(spark)
+    held = {c: sum(r[2] == c for r in owned) for c in range(6)}
+    want = []
+    for o in owned:
+        found = [(-round(i[4] - o[4], 6), i[0]) for i in rows[12:] if i[1] == o[1] and i[3] <= o[3] + 2 and i[4] > o[4] and held[i[2]] - (i[2] == o[2]) < 3]
+        want += [(o[0], i, pytest.approx(-g), k + 1) for k, (g, i) in enumerate(sorted(found)[:3])]
+    got = players.transfers(df.where("player_id < 12"), df, 2).orderBy("out_id", "rank").collect()
+    assert want and list(map(tuple, got)) == want
+
+
+def test_transfers_join_on_more_than_the_position(spark):
+    """An owned player meets the best of each club within its limit: 6 clubs of 3 rows and near ties, not its whole position."""
+    _, _, df = squad(spark)
+    plan = players.transfers(df.where("player_id < 12"), df, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert any("out_xp" in line and "limit" in line for line in plan.splitlines() if line.lstrip("+- :").startswith("Join Inner"))
