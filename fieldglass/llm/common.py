@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -20,10 +21,13 @@ def word_count(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only a session without one (tests) gets a temporary folder."""
+    """The session's checkpoint folder: the one set on it, or spark.checkpoint.dir. A local session without any gets a temporary folder; a cluster must name one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoint"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp("-checkpoint"))
     return context.getCheckpointDir()
 
 
@@ -33,6 +37,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As cut(), as a Parquet table of its own: what reads it takes only the columns it needs."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def running_sum(df: DataFrame, keys: list[str], order: str, ties: list[str], value: str, into: str, per_key: DataFrame | None = None) -> DataFrame:
     """Adds `into`, the sum of `value` over the rows of the same keys that come earlier by (order, ties).
 

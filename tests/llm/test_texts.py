@@ -204,18 +204,68 @@ def test_language_model_odd_rows(spark):
     assert brown.learn_and_score(odd(spark).limit(0)).collect() == []
 
 
-def test_probabilities_add_up(spark):
-    """All known words and one unknown in each class: given any class before, they sum to 1."""
-    text = "the cat sat on the mat and the dog sat on the log while the cat ran"
-    model, counts = brown.train(spark.createDataFrame([(text.encode(),), (b"a dog ran on",)], "t binary"))
-    n = model.known.counts
-    classes = model.classes[model.known.units]
-    # transitions hold log10 P(class | class before); divisor the log10 of (count of class + ALPHA (words + 1))
-    for before in range(len(model.divisor)):
-        p = 10.0 ** model.transitions[before]
-        assert p.sum() == pytest.approx(1, abs=1e-9)
-    for c in set(classes.tolist()):
-        assert ((n[classes == c] + brown.ALPHA).sum() + brown.ALPHA) / 10 ** model.divisor[c] == pytest.approx(1, abs=1e-9)
+def trained(spark, texts, **sizes):
+    rows = spark.createDataFrame([(i, t.encode(), i % 5 == 4) for i, t in enumerate(texts)], "id long, t binary, out boolean")
+    counts = brown.stored(brown.word_counts(rows.where("not out").select("t")))
+    known = brown.lexicon(counts, sizes["held"])
+    coded = brown.stored(brown.encoded(rows, spark.sparkContext.broadcast(known)))
+    return coded, *brown.train(coded, counts, known, sizes["core"])
+
+
+TALES = [" ".join(np.random.default_rng(i).choice("the a cat dog bird sat ran flew on over mat log tree red big old and or".split(), 40)) + f" rare{i % 7} only{i} twice{i // 2} gone{i}" for i in range(40)]
+
+
+@pytest.mark.parametrize("held, core", [(1 << 18, 10), (12, 6), (1, 1)])
+def test_probabilities_add_up(spark, held, core):
+    """Of all words and one unknown: given any class before, they sum to 1; counts and transitions are those of a plain count."""
+    _, model, others, _, _ = trained(spark, TALES, held=held, core=core)
+    assert np.allclose((10.0**model.transitions).sum(1), 1)
+    words = {w: (int(n), int(c)) for w, n, c in zip(model.known.words, model.known.counts, model.classes)}
+    words |= {bytes(r["word"]): (r["count"], r["class"]) for r in others.collect()}
+    learnt = [t.lower().encode().split() + [brown.END] for i, t in enumerate(TALES) if i % 5 != 4]
+    assert {w: n for w, (n, _) in words.items()} == Counter(w for ws in learnt for w in ws)
+    total = sum((n + brown.ALPHA) / 10 ** model.divisor[c] for n, c in words.values()) + brown.ALPHA / 10 ** model.divisor[model.unseen]
+    assert total == pytest.approx(len({c for _, c in words.values()}))
+    table = np.zeros((brown.CLASSES, brown.CLASSES))
+    for ws in learnt:
+        for a, b in zip([brown.END, *ws], ws):
+            table[words[a][1], words[b][1]] += 1
+    share = (table.sum(0) + 1) / (table.sum() + brown.CLASSES)
+    assert np.allclose(10.0**model.transitions, (table + brown.BETA * share) / (table.sum(1, keepdims=True) + brown.BETA))
+
+
+@pytest.mark.parametrize("held, core", [(1 << 18, 10), (12, 6), (1, 1)])
+def test_scores_are_those_of_a_plain_class_model(spark, held, core):
+    coded, model, others, loose, double = trained(spark, TALES, held=held, core=core)
+    words = {w: (int(n), int(c)) for w, n, c in zip(model.known.words, model.known.counts, model.classes)} | {bytes(r["word"]): (r["count"], r["class"]) for r in others.collect()}
+    rows = brown.score(coded, model, others, loose, double).collect()
+    assert len(rows) == len(TALES)
+    for r in rows:
+        at, want = brown.CLASSES - 1, 0.0
+        for w in TALES[r["id"]].lower().encode().split() + [brown.END]:
+            n, c = words.get(w, (0, model.unseen))
+            want += model.transitions[at, c] + math.log10(n + brown.ALPHA) - model.divisor[c]
+            at = c
+        assert r["score"] == pytest.approx(want, rel=1e-9)
+
+
+def test_choice_is_the_gain_of_each_class():
+    rng = np.random.default_rng(1)
+    k = brown.CLASSES
+    table = rng.integers(0, 50, (k, k)).astype(float)
+    codes, n = rng.integers(0, 2 * k, 30), rng.integers(1, 9, 30).astype(float)
+    starts = np.array([0, 7, 8, 20])
+    phi = lambda x: x * math.log(x) if x else 0.0
+    after, before = table + brown.BETA * table.sum(0) / table.sum(), table.T + brown.BETA * table.sum(1) / table.sum()
+    for a, b, got in zip(starts, [*starts[1:], 30], brown.choose(codes, n, starts, table)):
+        gains = []
+        for c in range(k - 1):
+            gain = 0.0
+            for lines, first in ((after[c], 0), (before[c], k)):
+                own = [(d - first, m) for d, m in zip(codes[a:b], n[a:b]) if first <= d < first + k]
+                gain += sum(phi(lines[d] + m) - phi(lines[d]) for d, m in own) - phi(lines.sum() + sum(m for _, m in own)) + phi(lines.sum())
+            gains.append(gain)
+        assert gains[got] == pytest.approx(max(gains))
 
 
 # --- toxicity
