@@ -21,6 +21,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 CHECKED = {"github": re.compile(r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"), "npm": re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")}
 JWT = re.compile(r"(eyJ[A-Za-z0-9_-]{8,})\.(eyJ[A-Za-z0-9_-]{8,})\.[A-Za-z0-9_-]{8,}")
+JWT_PART = re.compile(r"[A-Za-z0-9_-]*")
+#: Characters of a web token's header at most.
+HEADER = 8192
 #: Keyword, in lower case, to the kinds whose patterns start there. Fixed values.
 KEYWORDS = {
     "password": "assign", "passwd": "assign", "secret": "assign", "token": "assign", "apikey": "assign", "api_key": "assign",
@@ -49,9 +52,12 @@ def automaton() -> ahocorasick.Automaton:
 
 
 def _valid_header(part: str) -> bool:
+    """Whether a token's first part is a JSON header that names its algorithm; no real one is longer than HEADER."""
+    if len(part) > HEADER:
+        return False
     try:
         return "alg" in json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
-    except (ValueError, TypeError):
+    except (ValueError, TypeError, RecursionError):
         return False
 
 
@@ -77,6 +83,8 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
                 continue
             m = (ASSIGN if kind == "assign" else ACCESS if kind == "access" else JWT if kind == "jwt" else CHECKED[kind]).match(text, at)
             if not m:
+                if kind == "jwt":  # what follows this part fails any other start in it as well
+                    free = JWT_PART.match(text, at).end()
                 continue
             free = m.end()
             if kind == "assign":
@@ -113,14 +121,20 @@ def scanned(text: Column) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """A row for each row of docs: doc (struct of its columns) and found (counts and spans). A null text counts as empty."""
+    """A row for each row of docs: doc (struct of its columns) and found (counts and spans).
+
+    Null and empty texts have no spans; a text of any length is scanned once, in time that grows with its length; of
+    spans that start together the kinds' order decides; repeated rows each get their row; an empty table gives an
+    empty result; columns of docs named found or doc stay apart inside the struct.
+    """
     return docs.select(F.struct(*docs.columns).alias("doc"), scanned(F.col("text")).alias("found"))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every span replaced by `mark`, overlapping spans by one; n_chars follows where a text changes. No row goes.
 
-    Null texts stay null.
+    Null texts stay null and empty ones empty; repeated rows each stay; an empty table gives an empty result; other
+    columns are passed on whatever their names.
     """
 
     @pandas_udf("string")
