@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import components, cut
+from .common import components, cut, first_rows
 
 BITS = 64
 #: Shingles whose hashes are held at once; longer texts are summed block by block.
@@ -113,6 +113,31 @@ def links(fps: DataFrame, distance: int = 4, heavy: int = 4096) -> DataFrame:
     return found.unionByName(star)
 
 
+#: Groups of more fingerprints than this, and fingerprints of more rows, are looked up from every task instead of by a shuffle.
+CROWDED = 1024
+
+
+def _components(marked: DataFrame, distance: int, first) -> DataFrame:
+    """(fp, component) of the fingerprints in marked (fp, ...): component is the least value of the aggregate `first` in the group."""
+    least = cut(marked.groupBy("fp").agg(first.alias("least")))
+    roots = components(links(least.select("fp"), distance)).withColumnsRenamed({"node": "fp"})
+    joined = cut(least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    whole = joined.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("n"))
+    return _looked_up(joined, whole, "root").select("fp", "component")
+
+
+def _looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows joined with table (key, ..., n: how many of rows have the key). Keys of more than CROWDED rows are at most a
+    CROWDED-th as many as rows; where their table is small, which is checked, they are broadcast, so that no task gets a hot key."""
+    table = cut(table)
+    hot = table.where(F.col("n") > CROWDED)
+    if not 0 < hot.count() <= 100_000:
+        return rows.join(table.drop("n"), key)
+    keys = F.broadcast(hot.select(key))
+    cold = rows.join(keys, key, "left_anti").join(table.drop("n"), key)
+    return cold.unionByName(rows.join(F.broadcast(hot.drop("n")), key).select(cold.columns))
+
+
 def groups(docs: DataFrame, words: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id_col, fingerprint (16 hex digits), component_id (the least id it is linked to).
 
@@ -120,22 +145,22 @@ def groups(docs: DataFrame, words: int = 4, distance: int = 4, id_col: str = "do
     row. component_id passes over null ids. An empty table gives an empty result; other columns of docs are not read.
     """
     marked = cut(fingerprints(docs, words, id_col, text_col))
-    least = cut(marked.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = components(links(least.select("fp"), distance)).withColumnsRenamed({"node": "fp"})
-    joined = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    first = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.join(first, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = _components(marked, distance, F.min("id"))
+    copies = marked.groupBy("fp").agg(F.count("*").alias("n"))
+    out = _looked_up(marked, named.join(copies, "fp"), "fp")
+    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def dedup(docs: DataFrame, words: int = 5, distance: int = 4) -> DataFrame:
-    """docs without the near copies: of each group the row of least doc_id stays, whole and unchanged.
+    """docs without the near copies: of each group the row of least (doc_id, xxhash64(text)) stays, whole and unchanged.
 
-    Of rows that repeat that doc_id one stays, by the text's hash. Rows without doc_id are kept as they are: there is no id to
-    keep them by.
+    Rows go by their own text, so rows that repeat a doc_id with unlike texts all stay; of rows with equal doc_id and
+    text one stays, the first by its columns. Null and empty texts are copies of each other. Rows without doc_id are
+    kept as they are: there is no id to keep them by. An empty table gives an empty result; other columns are passed on.
     """
-    kept = groups(docs.where("doc_id is not null"), words, distance).where("doc_id = component_id").select("doc_id").distinct()
-    spare = [c for c in docs.columns if c != "doc_id"]
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    twice = named.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    return named.join(twice, "doc_id", "left_anti").unionByName(named.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).unionByName(docs.where("doc_id is null")).select("doc_id", *spare)
+    there = docs.where("doc_id is not null")
+    slim = there.select(F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")).alias("row"), "text")
+    marked = cut(fingerprints(slim, words, "row", "text"))
+    kept = _components(marked, distance, F.min("id")).select("component.id", "component.h").distinct()
+    repeated = cut(marked.groupBy("id.id", "id.h").agg(F.count("*").alias("n")).where("n > 1").select("id", "h"))
+    return first_rows(there, cut(kept), repeated).unionByName(docs.where("doc_id is null"))

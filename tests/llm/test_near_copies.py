@@ -62,6 +62,23 @@ def test_simhash_odd_rows(spark):
     assert got.count(None) == 1 and got.count(1) == 1 and 2 not in got and 5 not in got
 
 
+def test_dedup_tells_rows_of_one_id_apart(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(200)) for c in "ab")
+    rows = [(1, a, "s"), (1, b, "s"), (2, a, "s"), (3, b, "t"), (3, b, "s"), (4, None, "s"), (5, "", "s"), (5, " ", "s")]
+    got = simhash.dedup(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, a, "s"), (1, b, "s"), (4, None, "s")], key=str)
+    assert simhash.dedup(got.limit(0)).collect() == []
+
+
+def test_crowded_groups_are_looked_up(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    docs = [(i, " ".join(rng.choice(list("abcdefgh"), 12))) for i in range(60)] + [(100 + i, "one text for many") for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = sorted(map(tuple, simhash.groups(df).collect()))
+    monkeypatch.setattr(simhash, "CROWDED", 3)
+    assert sorted(map(tuple, simhash.groups(df).collect())) == want == expected_groups(docs)
+
+
 @pytest.mark.parametrize("heavy", [4096, 3])
 def test_links_lose_nothing(spark, heavy):
     rng = np.random.default_rng(3)
@@ -105,6 +122,16 @@ def test_embedding_query_is_brute_force(spark, medium):
     assert sorted(map(tuple, QUERIES["op2_embedding_near_dedup"](spark, medium).collect())) == plain_links(rows)
 
 
+def test_several_blocks_in_a_cell(spark, monkeypatch):
+    """Blocks of eight rows: every pair of blocks of a cell meets once."""
+    monkeypatch.setattr(embeddings, "BLOCK", 8)
+    rng, rows = np.random.default_rng(9), []
+    for centre in rng.normal(size=(4, 6)):
+        rows += [(len(rows) + k, (centre + 0.3 * rng.normal(size=6)).astype(np.float32).tolist(), int(rng.integers(2))) for k in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert sorted(map(tuple, embeddings.near_duplicates(df).collect())) == plain_links(rows)
+
+
 def test_embedding_dense_and_odd_rows(spark):
     rng = np.random.default_rng(5)
     rows, base = [], rng.normal(size=8)
