@@ -68,7 +68,7 @@ QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_near_dedup, op3_s
 ORACLES: dict[str, str] = {
     "op4_mix_sources": r"""
 with rows as (
-  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, md5(coalesce(doc_id::varchar, '')) as digest from documents),
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, md5(coalesce(doc_id::varchar, md5(coalesce(text, '')))) as digest from documents),
 sources as (select source, sum(size)::bigint as source_size from rows group by source),
 ranked as (select *, row_number() over (order by source nulls last) as r from sources),
 weighted as (select *, (r - 1) % 3 + 1.0::double as weight, ((r - 1) % 3 - 1) * 0.5::double as lean, 3.0::double * source_size as cap from ranked),
@@ -76,14 +76,15 @@ leveled as (
   select *, (sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, r rows between unbounded preceding and 1 preceding), 0))
     / sum(weight) over (order by cap / weight, r rows between current row and unbounded following) as level from weighted),
 topped as (select *, max(case when level * weight <= cap then level end) over () as reached from leveled),
-aims as (select source, source_size, lean, case when level * weight > cap then cap else least(cap, reached * weight) end as target from topped),
+aimed as (select source, source_size, lean, case when level * weight > cap then cap else least(cap, reached * weight) end as target from topped),
+aims as (select *, sum(target * lean) over () / sum(target) over () as tilt from aimed),
 placed as (
-  select doc_id, size, source_size, target, lean, coalesce(sum(size) over (partition by rows.source order by digest, size rows between unbounded preceding and 1 preceding), 0) as before
+  select doc_id, size, source_size, target, lean, tilt, coalesce(sum(size) over (partition by rows.source order by digest, size rows between unbounded preceding and 1 preceding), 0) as before
   from rows join aims on rows.source is not distinct from aims.source),
 passed as (select *, case when source_size > 0 then floor(target / source_size) else 0 end as passes from placed),
-done as (select *, (passes * size + greatest(0, least(size, round(target - passes * source_size) - before)))::bigint as taken, before / target as demand from passed)
-select doc_id, size, source_size, target, taken,
-  case when taken > 0 then round(case when demand <= 0 then 0 else 2 * demand / ((1 - lean) + sqrt((1 - lean) * (1 - lean) + 4 * lean * demand)) end, 6) end as position
-from done
+done as (select *, (passes * size + greatest(0, least(size, round(target - passes * source_size) - before)))::bigint as taken, before / target as demand from passed),
+timed as (select *, case when demand <= 0 then 0 else 2 * demand / ((1 - lean) + sqrt((1 - lean) * (1 - lean) + 4 * lean * demand)) end as t from done)
+select doc_id, size, source_size, target, taken, case when taken > 0 then round(t + tilt * (t * t - t), 6) end as position
+from timed
 """,
 }

@@ -1,5 +1,6 @@
 """Mixing, URL filters, sharding and the pipeline."""
 
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,9 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fieldglass.llm import mixing, quality, sharding, simhash, urls
+from fieldglass.llm import mixing, quality, sharding, urls
 from fieldglass.llm.common import running_sum, table
 from fieldglass.llm.queries import ORACLES, QUERIES
+from tests.llm.test_shingles import expected_roots
 
 ODD = [(1, None, None), (2, "", "b"), (3, "one two", None), (4, "a b c " * 30_000, "a"), (4, "a b c " * 30_000, "a"), (None, "x y", "c"), (5, "w", ""), (6, "q r s", "z")]
 
@@ -81,6 +83,22 @@ def test_curriculum(spark, lean):
     assert all(r["t"] + lean * (r["t"] ** 2 - r["t"]) == pytest.approx(r["d"], abs=1e-12) for r in rows)
 
 
+def test_equal_spans_of_position_hold_equal_words_and_the_scheduled_shares(spark):
+    """Thousands of one-word documents of three sources: words a tenth of the run, and each source's share of them."""
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.lit("w").alias("text"), F.element_at(F.array(*map(F.lit, "abc")), (F.col("id") % 3 + 1).cast("int")).alias("source"))
+    rows = mixing.mix(docs).select("source").collect()
+    leans, goal = dict(zip("abc", mixing.LEANS)), plain_targets({s: 3000 for s in "abc"})
+    tilt = sum(goal[s] * leans[s] for s in goal) / 9000
+    assert len(rows) == 9000
+    for tenth in range(10):
+        part = Counter(r["source"] for r in rows[tenth * len(rows) // 10 : (tenth + 1) * len(rows) // 10])
+        p = (tenth + 0.5) / 10
+        t = p if abs(tilt) < 1e-12 else (tilt - 1 + math.sqrt((1 - tilt) ** 2 + 4 * tilt * p)) / (2 * tilt)
+        weight = {s: goal[s] * (1 + leans[s] * (2 * t - 1)) for s in goal}
+        for s in goal:
+            assert part[s] / sum(part.values()) == pytest.approx(weight[s] / sum(weight.values()), abs=0.03)
+
+
 def test_order_follows_the_curriculum(spark, medium):
     docs = table(spark, medium, "documents")
     rows = mixing.mix(docs, weights=(1,), leans=(-0.9, 0.9)).select("source").rdd.map(lambda r: r[0]).collect()
@@ -101,7 +119,7 @@ def test_running_sum(spark):
 # --- URLs
 
 
-def plain_url(url):
+def plain_url(url, rules=urls.RULES):
     rest = (url or "").partition("://")[2]
     at = min([i for i in (rest.find(c) for c in "/?#") if i >= 0], default=len(rest))
     host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:at])
@@ -109,13 +127,35 @@ def plain_url(url):
     cut = min([i for i in (path.find(c) for c in "?#") if i >= 0], default=len(path))
     path = path[:cut]
     best = None
-    for verdict, rule in urls.RULES:
+    for verdict, rule in rules:
         name, _, tail = rule.partition("/")
-        if (host == name or host.endswith("." + name)) and path.startswith("/" + tail) and (best is None or len(rule) > len(best[0])):
+        if (host == name or host.endswith("." + name)) and path.startswith("/" + tail) and (best is None or (len(rule), rule) > (len(best[0]), best[0])):
             best = rule, verdict
     return host, path, best
 
 
+def test_ten_thousand_rules_are_brute_force(spark):
+    rng = np.random.default_rng(8)
+    word = lambda n, of="abc": "".join(rng.choice(list(of), n))
+    rules = {f"{'.'.join(word(rng.integers(1, 3)) for _ in range(rng.integers(1, 3)))}/{word(rng.integers(0, 7), 'ab/')}": "block" if rng.random() < 0.5 else "allow" for _ in range(60_000)}
+    rules = [(v, r) for r, v in list(rules.items())[:10_000]]
+    assert len(rules) == 10_000
+    pages = [(i, f"http://{'.'.join(word(rng.integers(1, 3)) for _ in range(rng.integers(1, 5)))}/{word(rng.integers(0, 12), 'ab/')}?q") for i in range(300)] + [(300, None), (301, "x"), (302, "http://"), (303, "http://a..b/"), (304, "http://a..b/")]
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    sites = df.select("page_id", urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path"))
+    rows = urls.ruled(sites, rules).collect()
+    assert len(rows) == len(pages)
+    texts, met = dict(pages), 0
+    for r in rows:
+        *_, best = plain_url(texts[r["page_id"]], rules)
+        assert (r["rule"], r["ruled"]) == (best or (None, None))
+        met += best is not None
+    assert met > 100
+    few = rules[:150]
+    both = [sorted(map(tuple, f(sites, few).collect()), key=str) for f in (urls._in_plan, urls._joined)]
+    assert both[0] == both[1]
+
+
 def check_urls(rows, pages):
     assert len(rows) == len(pages)
     for r in rows:
@@ -215,8 +255,9 @@ def test_pipeline_stages(spark, medium, stages):
     (docs, judged), (_, single), (_, clean), (_, mixed), (_, tokens) = stages
     verdict = quality.judge(docs, table(spark, medium, "labels")).where("kept").select("doc.doc_id")
     assert sorted(judged.select("doc_id").collect()) == sorted(verdict.collect())
-    groups = simhash.groups(judged, 5).collect()
-    assert sorted(r[0] for r in single.select("doc_id").collect()) == sorted({r["component_id"] for r in groups})
+    rows = sorted((r["doc_id"], r["text"]) for r in judged.collect())
+    groups = expected_roots([text for _, text in rows])
+    assert sorted(r[0] for r in single.select("doc_id").collect()) == [i for k, (i, _) in enumerate(rows) if groups[k] == k]
     assert clean.count() == single.count()
     before, after = Counter(), Counter()
     for r in clean.collect():

@@ -1,8 +1,11 @@
 """Quality rules, secrets, tokens, language model and toxicity against brute force and held-out rows."""
 
+import base64
 import hashlib
+import json
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -290,3 +293,58 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.score(odd(spark).limit(0), models, ["a", "b"]).collect() == []
     none = toxicity.train(odd(spark), labels.limit(0), ["a", "b"])
     assert all(r["p_a"] < 0.01 for r in toxicity.score(odd(spark), none, ["a", "b"]).collect())
+
+
+# --- secrets that once broke the scan
+
+
+def test_nested_header_and_long_runs_of_starts():
+
+    deep = base64.urlsafe_b64encode(b'{"a":' + b"[" * 60_000).decode().rstrip("=")
+    assert secrets.spans(f"{deep}.{deep}.abcdefgh123") == []
+    shallow = base64.urlsafe_b64encode(b'{"a":' + b"[" * 5_000).decode().rstrip("=")
+    assert secrets.spans(f"{shallow}.{shallow}.abcdefgh123") == []
+    start = time.time()
+    secrets.spans("eyJ" * 350_000)
+    secrets.spans("eyJ" * 100_000 + "." + "eyJ" * 100_000)
+    secrets.spans("eyJab." * 150_000)
+    assert time.time() - start < 3
+
+
+def plain_checked(text):
+    """The method's own spans, from patterns over the whole text without prefilter."""
+    found = []
+    for kind, pattern in (("github", r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"), ("npm", r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")):
+        for m in re.finditer(pattern, text):
+            n, digits = zlib.crc32(m[1].encode()), ""
+            while len(digits) < 6:
+                digits = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"[n % 62] + digits
+                n //= 62
+            if digits == m[2]:
+                found.append((m.start(), m.end(), kind))
+    for m in re.finditer(r"(eyJ[A-Za-z0-9_-]{8,})\.(eyJ[A-Za-z0-9_-]{8,})\.[A-Za-z0-9_-]{8,}", text):
+        try:
+            if "alg" in json.loads(base64.urlsafe_b64decode(m[1] + "=" * (-len(m[1]) % 4))):
+                found.append((m.start(), m.end(), "jwt"))
+        except ValueError:
+            pass
+    return sorted(found)
+
+
+def test_checked_spans_are_those_of_whole_patterns():
+    rng = np.random.default_rng(6)
+    letters = list("abcXYZ019")
+    part = lambda o: base64.urlsafe_b64encode(json.dumps(o).encode()).decode().rstrip("=")
+    for _ in range(200):
+        pieces = []
+        for _ in range(12):
+            body = "".join(rng.choice(letters, 30))
+            kind = rng.integers(7)
+            if kind < 2:
+                pieces.append(("ghp_", "npm_")[kind] + body + (secrets.checksum(body) if rng.random() < 0.6 else "".join(rng.choice(letters, 6))))
+            elif kind < 5:
+                pieces.append(".".join([part({"alg": "HS256"} if rng.random() < 0.6 else {"x": "abcdefgh"}), part({"sub": body}), body][: rng.integers(1, 4)]))
+            else:
+                pieces.append(str(rng.choice(["eyJ", ".", "-", " ", "word ", "ghp_", "İ"])))
+        text = str(rng.choice([" ", "", "."])).join(pieces)
+        assert [s for s in secrets.spans(text) if s[2] in ("github", "npm", "jwt")] == plain_checked(text)
