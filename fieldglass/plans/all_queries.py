@@ -1,6 +1,6 @@
 """Every query of the library, registered."""
 
-from . import evaluation, league, logs, markets, players, simulation, streams  # noqa: F401
+from . import evaluation, ingest, league, logs, markets, players, simulation, streams  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
