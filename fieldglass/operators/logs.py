@@ -153,3 +153,17 @@ def link(texts: DataFrame, names: DataFrame, id_col: str, text_col: str) -> Data
     alone = names.select(fold(F.col("name")).alias("word"), "entity").groupBy("word").agg(F.min("entity").alias("entity"), F.countDistinct("entity").alias("n")).where("n = 1")
     words = texts.select(id_col, F.explode(F.array_distinct(F.split(fold(F.col(text_col)), "[^a-z0-9]+"))).alias("word"))
     return words.join(alone, "word").groupBy(id_col).agg(F.sort_array(F.collect_set("entity")).alias("entities"))
+
+
+def validated(claims: DataFrame, now: Column, kinds: list[str], least: float = 0, most: float = 100) -> DataFrame:
+    """claims with `reason`, why a claim does not count: from the future, value out of range, type unknown; null if it counts."""
+    value = F.col("value")
+    reason = F.when(F.col("ts") > now, "from the future").when(value.isNull() | ~value.between(least, most), "out of range").when(~F.col("claim_type").isin(kinds), "unknown type")
+    return claims.withColumn("reason", reason)
+
+
+def with_exits(resolved: DataFrame, exits: DataFrame) -> DataFrame:
+    """Resolutions in which players who have left for good are 0 whatever else is claimed; `gone` tells which."""
+    left = exits.select("player_id", F.lit(True).alias("gone")).distinct()
+    gone = F.coalesce("gone", F.lit(False))
+    return resolved.join(left, "player_id", "left").withColumn("value", F.when(gone, 0).otherwise(F.col("value"))).withColumn("gone", gone)
