@@ -1,6 +1,6 @@
 """Every query of the library, registered."""
 
-from . import evaluation, ingest, league, ledger, logs, markets, players, simulation, streams, text  # noqa: F401
+from . import backtest, evaluation, ingest, league, ledger, logs, markets, players, simulation, streams, text  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
