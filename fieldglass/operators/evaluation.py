@@ -74,23 +74,33 @@ def tail_reliability(rows: DataFrame, points: list[int], predicted: str = "p_ge_
     return long.groupBy(F.col("t.at").alias("at")).agg(F.round(F.avg("t.p"), 6).alias("predicted"), F.round(F.avg((F.col("y") >= F.col("t.at")).cast("double")), 6).alias("actual"))
 
 
-def average_rank(value: str, into: str, df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rank from 1 in each group; ties share their mean rank."""
-    w = W.partitionBy(*keys)
-    return df.withColumn(into, F.rank().over(w.orderBy(value)) + (F.count("*").over(w.partitionBy(*keys, value)) - 1) / 2)
+def average_ranks(rows: DataFrame, value: str, into: str, keys: list[str]) -> DataFrame:
+    """(keys, value, into): rank from 1 of each value in its group, ties at their mean rank, by a running sum over the values' counts."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0)) - F.col("_c")
+    return counts.select(*keys, value, (before + (F.col("_c") + 1) / 2).alias(into))
 
 
 def correlations(rows: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
-    """Pearson and Spearman correlation by group."""
-    ranked = average_rank(b, "_rb", average_rank(a, "_ra", rows, keys), keys)
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.corr(a, b), 6).alias("pearson"), F.round(F.corr("_ra", "_rb"), 6).alias("spearman"))
+    """Pearson and Spearman correlation by group, of rows with both values; pairs of values and their counts are ranked, not rows."""
+    rows = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    plain = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.corr(a, b), 6).alias("pearson"))
+    pairs = rows.groupBy(*keys, a, b).agg(F.count("*").alias("_n"))
+    for value, into in ((a, "_ra"), (b, "_rb")):
+        pairs = pairs.join(average_ranks(rows, value, into, keys), [*keys, value])
+    # ranks of a group have the mean (n + 1) / 2
+    ranked = pairs.join(plain.select(*keys, ((F.col("n") + 1) / 2).alias("_m")), keys)
+    x, y = F.col("_ra") - F.col("_m"), F.col("_rb") - F.col("_m")
+    sums = ranked.groupBy(*keys).agg(*[F.sum(F.col("_n") * c).alias(name) for name, c in (("_xy", x * y), ("_xx", x * x), ("_yy", y * y))])
+    whole = F.sqrt("_xx") * F.sqrt("_yy")
+    return plain.join(sums, keys).select(*keys, "n", "pearson", F.round(F.when(whole > 0, F.col("_xy") / whole), 6).alias("spearman"))
 
 
 def top_overlap(rows: DataFrame, a: str, b: str, key: str, n: int, groups: list[str]) -> DataFrame:
-    """How many of the n highest by `a` are among the n highest by `b`."""
-    w = W.partitionBy(*groups)
-    both = rows.withColumn("_a", F.row_number().over(w.orderBy(F.desc(a), key))).withColumn("_b", F.row_number().over(w.orderBy(F.desc(b), key)))
-    return both.groupBy(*groups).agg(F.count(F.when((F.col("_a") <= n) & (F.col("_b") <= n), 1)).alias("shared"))
+    """How many of the n highest by `a` are among the n highest by `b`: two limits per group, which cut before the shuffle, and a join of what is left."""
+    first = lambda value: rows.withColumn("_k", F.row_number().over(W.partitionBy(*groups).orderBy(F.desc(value), key))).where(F.col("_k") <= n).select(*groups, key)
+    shared = first(a).join(first(b).withColumn("_in", F.lit(1)), [*groups, key], "left")
+    return shared.groupBy(*groups).agg(F.count("_in").alias("shared"))
 
 
 def paired(rows: DataFrame, block: str, a: str, b: str) -> DataFrame:

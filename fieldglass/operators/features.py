@@ -8,6 +8,8 @@ from math import ceil, log
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .quantiles import quantile
+
 
 def team_order(keys: tuple = ("team",)):
     return W.partitionBy(*keys).orderBy("match_date", "match_id")
@@ -150,5 +152,5 @@ def holdout(matches: DataFrame) -> DataFrame:
 
 def impute(df: DataFrame, column: str, train: Column) -> DataFrame:
     """Nulls become the training rows' median."""
-    middle = df.where(train).agg(F.percentile(column, F.lit(0.5)).alias("_median"))
+    middle = quantile(df.where(train), column, 0.5, "_median")
     return df.crossJoin(F.broadcast(middle)).withColumn(column, F.coalesce(F.col(column).cast("double"), "_median")).drop("_median")

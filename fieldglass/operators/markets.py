@@ -27,13 +27,16 @@ def consensus(prices: DataFrame, few: int = 3) -> DataFrame:
 
     weight is n / (n + 2); dispersion the largest distance in log odds of any book from it, 0.2 at least with few books.
     """
-    p = fair(prices).withColumn("margin", F.sum(1 / F.col("price")).over(W.partitionBy("match_id", "book")) - 1)
-    per = p.groupBy("match_id", "outcome").agg(F.median("p").alias("middle"), F.count("*").alias("n"), F.min_by("p", F.struct("margin", "book")).alias("tightest"))
-    per = per.withColumn("raw", F.when(F.col("n") < few, F.col("tightest")).otherwise(F.col("middle")))
-    per = per.withColumn("q", F.col("raw") / F.sum("raw").over(W.partitionBy("match_id")))
-    spread = p.join(per.select("match_id", "outcome", "q"), ["match_id", "outcome"]).groupBy("match_id").agg(F.max(F.abs(pr.logit(F.col("p")) - pr.logit(F.col("q")))).alias("dispersion"))
-    wide = per.groupBy("match_id").agg(*[F.max(F.when(F.col("outcome") == o, F.col("q"))).alias(f"p_{o.lower()}") for o in "HDA"], F.max("n").alias("books"))
-    return wide.join(spread, "match_id").select("match_id", *[f"p_{o}" for o in "hda"], "books", (F.col("books") / (F.col("books") + 2)).alias("weight"), F.when(F.col("books") < few, F.greatest("dispersion", F.lit(0.2))).otherwise(F.col("dispersion")).alias("dispersion"))
+    # dealt out by match once: every window and sum below keeps to that
+    p = fair(prices.repartition("match_id")).withColumn("margin", F.sum(1 / F.col("price")).over(W.partitionBy("match_id", "book")) - 1)
+    leg = W.partitionBy("match_id", "outcome")
+    p = p.withColumns({"n": F.count("*").over(leg), "middle": F.median("p").over(leg), "tightest": F.min_by("p", F.struct("margin", "book")).over(leg)})
+    p = p.withColumn("raw", F.when(F.col("n") < few, F.col("tightest")).otherwise(F.col("middle")))
+    # each leg's value stands in n rows
+    p = p.withColumn("q", F.col("raw") / F.sum(F.col("raw") / F.col("n")).over(W.partitionBy("match_id")))
+    far = F.max(F.abs(pr.logit(F.col("p")) - pr.logit(F.col("q"))))
+    wide = p.groupBy("match_id").agg(*[F.max(F.when(F.col("outcome") == o, F.col("q"))).alias(f"p_{o.lower()}") for o in "HDA"], F.max("n").alias("books"), far.alias("dispersion"))
+    return wide.select("match_id", *[f"p_{o}" for o in "hda"], "books", (F.col("books") / (F.col("books") + 2)).alias("weight"), F.when(F.col("books") < few, F.greatest("dispersion", F.lit(0.2))).otherwise(F.col("dispersion")).alias("dispersion"))
 
 
 def best_prices(prices: DataFrame) -> DataFrame:
@@ -97,6 +100,23 @@ def markets(scores: DataFrame) -> DataFrame:
     )
 
 
+def exact_markets(expected: DataFrame, rho: float = -0.05, top: int = 7) -> DataFrame:
+    """What markets() makes of grid(), from the chances of either side's goals in the row itself: no rows a score, no shuffle."""
+    g, cells = _cells(expected, rho, top)
+    goals = range(top + 1)
+    h, a = [F.col(f"_h{i}") for i in goals], [F.col(f"_a{j}") for j in goals]
+    extra = {(i, j): F.greatest(F.lit(0.0), h[i] * a[j] * pr.low_score_factor(F.lit(i), F.lit(j), F.col("home"), F.col("away"), F.lit(rho))) - h[i] * a[j] for i in (0, 1) for j in (0, 1)}
+    of = lambda plain, rule: (plain + _total(x for c, x in extra.items() if rule(*c))) / F.col("total")
+    lead = lambda x, y, by: _total(x[i] * _total(y[: i - by + 1]) for i in goals if i >= by)
+    under = {n: of(_total(h[i] * a[k - i] for k in range(n + 1) for i in range(k + 1)), lambda i, j, n=n: i + j <= n) for n in (1, 2, 3)}
+    likeliest = F.array_max(F.transform(cells, lambda c: F.struct(c["p"].alias("p"), (-c["i"]).alias("i"), (-c["j"]).alias("j"))))
+    return g.select(
+        "match_id", of(lead(h, a, 1), lambda i, j: i > j).alias("home_win"), of(_total(h[i] * a[i] for i in goals), lambda i, j: i == j).alias("draw"), of(lead(a, h, 1), lambda i, j: i < j).alias("away_win"),
+        *[(1 - p).alias(f"over_{n}_5") for n, p in under.items()], of(_total(h[1:]) * _total(a[1:]), lambda i, j: i > 0 and j > 0).alias("btts"), of(_total(h) * a[0], lambda i, j: j == 0).alias("home_clean_sheet"),
+        of(h[0] * _total(a), lambda i, j: i == 0).alias("away_clean_sheet"), of(lead(h, a, 2), lambda i, j: False).alias("handicap_home"), F.concat_ws("-", -likeliest["i"], -likeliest["j"]).alias("likeliest"),
+    )
+
+
 def half_time_full_time(expected: DataFrame, share: float = 0.45, top: int = 6) -> DataFrame:
     """Joint result at half and full time: independent Poisson goals of the halves. Nine rows a match, made in place."""
     g = _pmf(_pmf(expected, share, top, "_f"), 1 - share, top, "_s")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .league import shrunk
+from .quantiles import quantile
 
 #: Points by position. Fixed values of the game's rules.
 GOAL = {"GKP": 10, "DEF": 6, "MID": 5, "FWD": 4}
@@ -76,7 +77,7 @@ def bookings(rows: DataFrame, at: float = 0.75) -> DataFrame:
     """Cards for 90 minutes, the chance of one, and whether the rate is in the top quarter of players with minutes."""
     per = rows.groupBy("player_id").agg(F.sum("minutes").alias("m"), F.sum(F.col("yellow") + F.col("red")).alias("cards")).where("m > 0")
     per = per.withColumn("rate", 90 * F.col("cards") / F.col("m"))
-    bar = per.agg(F.percentile("rate", F.lit(at)).alias("bar"))
+    bar = quantile(per, "rate", at, "bar")
     return per.crossJoin(F.broadcast(bar)).select("player_id", F.round("rate", 6).alias("rate"), F.round(F.least(F.lit(0.95), 1 - F.exp(-F.col("rate"))), 6).alias("chance"), (F.col("rate") >= F.col("bar")).alias("magnet"))
 
 
@@ -102,7 +103,8 @@ def bonus_buckets(rows: DataFrame) -> DataFrame:
 
 def ownership(players: DataFrame) -> DataFrame:
     """Share of managers that hold a player: selected over a fifteenth of all selections, 1 at most."""
-    return players.select("player_id", F.round(F.least(F.lit(1.0), F.col("selected_by") / (F.sum("selected_by").over(W.partitionBy()) / 15)), 6).alias("share"))
+    whole = players.agg((F.sum("selected_by") / 15).alias("_whole"))
+    return players.crossJoin(F.broadcast(whole)).select("player_id", F.round(F.least(F.lit(1.0), F.col("selected_by") / F.col("_whole")), 6).alias("share"))
 
 
 def universe(players: DataFrame, owned: float = 0.5) -> DataFrame:
@@ -155,6 +157,26 @@ def twins(players: DataFrame, near: float = 0.05, apart: float = 1.5) -> DataFra
     return j.select("position", "a", "b", F.round(F.abs(F.col("sa") - F.col("sb")), 6).alias("gap"))
 
 
+def best_twins(players: DataFrame, near: float = 0.05, apart: float = 1.5) -> DataFrame:
+    """Per position the one pair of nearly equal expected points whose spreads differ most (then the least ids).
+
+    The best pair of two cells is that of one's least and the other's greatest spread within reach, so only the extremes
+    of each exact xp are held against each other: at most two rows for each value, not all pairs.
+    """
+    w = W.partitionBy("position", "xp")
+    low, high = F.row_number().over(w.orderBy("sd", "player_id")) == 1, F.row_number().over(w.orderBy(F.desc("sd"), "player_id")) == 1
+    ends = players.select("player_id", "position", "xp", "sd", low.alias("_low"), high.alias("_high")).where("_low or _high")
+    # one timeline a position: the extremes of spread within `near` behind each row
+    back = f"over (partition by position order by cast(xp as double) range between cast({near + 1e-12} as double) preceding and current row)"
+    least, most = F.expr(f"min(struct(sd, player_id)) {back}"), F.expr(f"max(struct(sd, -player_id as turned)) {back}")
+    met = ends.withColumns({"_least": least, "_most": most})
+    pair = lambda other, gap: F.struct(gap.alias("gap"), (-F.least("player_id", other)).alias("a"), (-F.greatest("player_id", other)).alias("b"))
+    first = pair(F.col("_least")["player_id"], F.col("sd") - F.col("_least")["sd"])
+    second = pair(-F.col("_most")["turned"], F.col("_most")["sd"] - F.col("sd"))
+    best = met.groupBy("position").agg(F.max(F.greatest(first, second)).alias("best")).where(F.col("best.gap") >= apart)
+    return best.select("position", (-F.col("best.a")).alias("a"), (-F.col("best.b")).alias("b"), F.round("best.gap", 6).alias("gap"))
+
+
 def transfers(owned: DataFrame, players: DataFrame, bank: int, per_club: int = 3, n: int = 3) -> DataFrame:
     """Per owned player the n best affordable replacements of its position whose club has room, not owned yet."""
     counts = owned.groupBy("team_id").agg(F.count("*").alias("held"))

@@ -8,14 +8,17 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-#: Shares of the bank at most: of a match, team, market, all, one direction; of bets that contain each other half a bet's cap.
+#: Shares of the bank at most: of a match, team, market, all, one direction; bets of one match that contain each other, such as
+#: over 2.5 and over 1.5 goals, share half a bet's cap.
 LIMITS = {"match": 0.15, "team": 0.30, "market": 0.40, "total": 0.20, "direction": 0.10, "nested": 0.025}
 
 
 def with_teams(bets: DataFrame, matches: DataFrame) -> DataFrame:
     m = matches.select("match_id", "home_id", "away_id", "match_date")
     team = F.when(F.col("outcome") == "H", F.col("home_id")).when(F.col("outcome") == "A", F.col("away_id"))
-    return bets.join(m, "match_id").withColumn("team", team).withColumn("market", F.lit("1x2"))
+    goals = F.col("outcome").rlike("^(over|under) ")
+    nest = F.when(goals, F.concat_ws(":", F.col("match_id").cast("string"), F.split("outcome", " ")[0]))
+    return bets.join(m, "match_id").withColumn("team", team).withColumn("market", F.when(goals, "goals").otherwise("1x2")).withColumn("nest", nest)
 
 
 def portfolio(bets: DataFrame, limits: dict[str, float] = LIMITS, card: str = "match_date") -> DataFrame:
@@ -35,6 +38,8 @@ def portfolio(bets: DataFrame, limits: dict[str, float] = LIMITS, card: str = "m
                 keys = [("total",), ("match", b.match_id), ("market", b.market), ("direction", b.outcome)]
                 if not pd.isna(b.team):
                     keys.append(("team", int(b.team)))
+                if b.nest:
+                    keys.append(("nested", b.nest))
                 stake = min([b.stake, *[max(0.0, limits[k[0]] - used[k]) for k in keys]])
                 if stake > 0:
                     for k in keys:
@@ -42,7 +47,8 @@ def portfolio(bets: DataFrame, limits: dict[str, float] = LIMITS, card: str = "m
                     out.append((b.match_id, b.outcome, b.edge, b.stake, stake))
             yield pd.DataFrame(out, columns=["match_id", "outcome", "edge", "asked", "stake"])
 
-    rows = bets.select(F.col(card).cast("string").alias("card"), "match_id", "market", "outcome", "team", "edge", "stake")
+    nest = F.col("nest") if "nest" in bets.columns else F.lit(None).cast("string")
+    rows = bets.select(F.col(card).cast("string").alias("card"), "match_id", "market", "outcome", "team", "edge", "stake", nest.alias("nest"))
     rows = rows.repartition("card").sortWithinPartitions("card", F.desc("edge"), "match_id", "outcome")
     return rows.mapInPandas(run, "match_id long, outcome string, edge double, asked double, stake double")
 

@@ -24,7 +24,7 @@ def a20(s, d):
 @query("e3_ranked_score", f"""with {RATES}, w as (select match_id, sum(p) filter (i>j) h, sum(p) filter (i=j) d from grid group by 1)
 select match_id, round((power(h-(fthg>ftag)::int,2)+power(h+d-(fthg>=ftag)::int,2))/2,6) rps from w join matches using (match_id) where fthg is not null""")
 def e3(s, d):
-    w = markets.markets(markets.grid(rates(s, d))).join(t.matches(s, d).where("fthg is not null"), "match_id")
+    w = markets.exact_markets(rates(s, d)).join(t.matches(s, d).where("fthg is not null"), "match_id")
     outcome = F.when(F.col("fthg") > F.col("ftag"), 0).when(F.col("fthg") == F.col("ftag"), 1).otherwise(2)
     return w.select("match_id", F.round(ev.ranked_score([F.col("home_win"), F.col("draw"), F.col("away_win")], outcome), 6).alias("rps"))
 

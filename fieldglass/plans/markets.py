@@ -118,7 +118,12 @@ OF = lambda c: f"round(sum(case when {c} then p else 0 end),6)"
 
 @query("x12_markets_from_grid", f"""with {RATES} select match_id, {OF('i>j')} home_win, {OF('i=j')} draw, {OF('i<j')} away_win, {OF('i+j>1')} over_1_5, {OF('i+j>2')} over_2_5, {OF('i+j>3')} over_3_5, {OF('i>0 and j>0')} btts, {OF('j=0')} home_clean_sheet, {OF('i=0')} away_clean_sheet, {OF('i-j>=2')} handicap_home, arg_max(i||'-'||j, p) likeliest from grid group by match_id""")
 def x12(s, d):
-    return r6(markets.markets(markets.grid(rates(s, d))))
+    return r6(markets.exact_markets(rates(s, d)))
+
+
+@query("x12_markets_by_grid_rows", f"with {RATES} select match_id, round(sum(p) filter (i>j),6) home_win, round(sum(p) filter (i=j),6) draw, round(sum(p) filter (i+j>2),6) over_2_5 from grid group by 1")
+def x12_rows(s, d):
+    return r6(markets.markets(markets.grid(rates(s, d))), "match_id", "home_win", "draw", "over_2_5")
 
 
 @query("x13_half_time_full_time", f"""with {RATES}, g as (select match_id, i::int i, j::int j, exp(-.45::double*home)*power(.45::double*home,i)/factorial(i::int)*exp(-.45::double*away)*power(.45::double*away,j)/factorial(j::int) p, exp(-.55::double*home)*power(.55::double*home,i)/factorial(i::int)*exp(-.55::double*away)*power(.55::double*away,j)/factorial(j::int) q from rates, range(7) a(i), range(7) b(j)),
@@ -137,7 +142,7 @@ staked as (select *, case when price>1 and ((price-1)*p-(1-p))/(price-1)>0 and p
 
 def bets(s, d):
     m = t.matches(s, d)
-    w = markets.markets(markets.grid(rates(s, d)))
+    w = markets.exact_markets(rates(s, d))
     chances = w.select("match_id", F.col("home_win").alias("H"), F.col("draw").alias("D"), F.col("away_win").alias("A")).unpivot("match_id", ["H", "D", "A"], "outcome", "p")
     return markets.values(chances, markets.best_prices(t.prices(m)), {"H": 0.03, "D": 0.04})
 
@@ -154,7 +159,7 @@ def f39(s, d):
 
 @query("f41_entropy", f"with {RATES}, w as (select match_id, sum(p) filter (i>j) h, sum(p) filter (i=j) d, sum(p) filter (i<j) a from grid group by 1) select match_id, round(-h*ln(h)-d*ln(d)-a*ln(a),6) entropy from w")
 def f41(s, d):
-    w = markets.markets(markets.grid(rates(s, d)))
+    w = markets.exact_markets(rates(s, d))
     return w.select("match_id", F.round(pr.entropy([F.col("home_win"), F.col("draw"), F.col("away_win")]), 6).alias("entropy"))
 
 
@@ -179,7 +184,20 @@ def f45(s, d):
 
 @query("r5_portfolio_limits")
 def r5(s, d):
-    return r6(risk.portfolio(risk.with_teams(bets(s, d), t.matches(s, d))))
+    """No SQL: each stake depends on all before it on its card and on six exposures at once; a plain loop over every card is in the tests."""
+    return r6(risk.portfolio(all_bets(s, d)))
+
+
+def all_bets(s, d):
+    """1X2 and goal bets with teams and nests."""
+    m = t.matches(s, d)
+    w = markets.exact_markets(rates(s, d))
+    sides = {"over 1.5": F.col("over_1_5"), "over 2.5": F.col("over_2_5"), "under 3.5": 1 - F.col("over_3_5"), "under 2.5": 1 - F.col("over_2_5")}
+    over = w.select("match_id", F.inline(F.array(*[F.struct(F.lit(k).alias("outcome"), p.alias("p")) for k, p in sides.items()])))
+    price = 1 / (F.col("p") * 0.9) + (F.col("match_id") * 7 + F.length("outcome")) % 10 / 50.0
+    goals = over.withColumn("price", price).withColumn("edge", F.col("p") - 1 / F.col("price")).withColumn("stake", pr.kelly(F.col("p"), F.col("price"))).where("edge >= 0.03 and stake is not null")
+    one = bets(s, d).select("match_id", "outcome", "edge", "stake")
+    return risk.with_teams(one.unionByName(goals.select("match_id", "outcome", "edge", "stake")), m)
 
 
 @query("r5_single_cap", f"""with {BETS}, k as (select match_id, outcome, stake, coalesce(sum(stake) over (partition by match_id order by edge desc, outcome rows between unbounded preceding and 1 preceding),0) prev from staked where stake is not null)

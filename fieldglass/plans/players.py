@@ -119,6 +119,11 @@ def with_spread(s, d):
     return t.players(s, d).withColumn("sd", F.col("minutes") / 500.0)
 
 
+@query("j18_best_twins", "with s as (select player_id, position, xp, minutes/500.0::double sd from players) select a.position, arg_max(a.player_id, struct_pack(g:=abs(a.sd-b.sd), a:=-a.player_id, b:=-b.player_id)) a, arg_max(b.player_id, struct_pack(g:=abs(a.sd-b.sd), a:=-a.player_id, b:=-b.player_id)) b, round(max(abs(a.sd-b.sd)),6) gap from s a join s b on a.position=b.position and a.player_id<b.player_id and abs(a.xp-b.xp)<=0.05 where abs(a.sd-b.sd)>=1.5 group by a.position")
+def j18_best(s, d):
+    return pl.best_twins(with_spread(s, d))
+
+
 @query("j18_twins", "select a.position, a.player_id a, b.player_id b, round(abs(a.minutes/500.0::double-b.minutes/500.0::double),6) gap from players a join players b on a.position=b.position and a.player_id<b.player_id and abs(a.xp-b.xp)<=0.05 and abs(a.minutes/500.0::double-b.minutes/500.0::double)>=1.5")
 def j18(s, d):
     return pl.twins(with_spread(s, d))

@@ -34,8 +34,8 @@ def con(small):
 def test_query_matches_sql(spark, small, con, name):
     df = QUERIES[name](spark, small)
     rows, cols = df.collect(), sorted(df.columns)
+    assert rows, "a query without rows shows nothing"
     if name not in ORACLES:
-        assert rows
         return
     found = con.execute(ORACLES[name])
     names = [c[0] for c in found.description]
