@@ -54,10 +54,10 @@ def e15(s, d):
     return rows.withColumn("forecast", F.round("forecast", 6))
 
 
-@query("e16_walk_forward", """with s as (select team, cast(date_trunc('month', match_date) as date) as month, sum(gf) g, count(gf) n from team_rows group by 1,2) select team, month, coalesce(sum(n) over w,0)::bigint n, round((coalesce(sum(g) over w,0)+6*1.371713::double)/(coalesce(sum(n) over w,0)+6),6) as forecast from s window w as (partition by team order by month rows between unbounded preceding and 1 preceding)""")
+@query("e16_walk_forward", """with s as (select team, cast(date_trunc('month', match_date) as date) as month, sum(gf) g, count(gf) n from team_rows group by 1,2) select team, month, coalesce(sum(n) over w,0)::bigint n, round((coalesce(sum(g) over w,0)+6*1.37171317::double)/(coalesce(sum(n) over w,0)+6),6) as forecast from s window w as (partition by team order by month rows between unbounded preceding and 1 preceding)""")
 def e16(s, d):
     rows = t.team_rows(t.matches(s, d)).withColumn("month", F.trunc("match_date", "month"))
-    return bt.walk_forward(rows, "team", "month", "gf", 1.371713).withColumn("forecast", F.round("forecast", 6))
+    return bt.walk_forward(rows, "team", "month", "gf", 1.37171317).withColumn("forecast", F.round("forecast", 6))
 
 
 @query("e18_replay", f"""with {SETTLED}, r as (select case when row_id%50=0 then 'missing' when row_id%41=0 then 'one off' when row_id%37=0 then 'higher' when row_id%31=0 then 'lower' else 'exact' end as "class" from scored) select "class", count(*) n, round(count(*)/sum(count(*)) over (),6) as "share" from r group by 1""")
