@@ -257,6 +257,10 @@ def decode(ids: Column, path: str) -> Column:
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """A row for each row of docs: doc (struct of its columns), ids, decoded. Repeated rows are encoded each."""
+    """A row for each row of docs: doc (struct of its columns), ids, decoded.
+
+    Null and empty texts have no ids and decode to nothing; texts of any length are encoded whole; repeated rows are
+    encoded each; an empty table gives an empty result; columns of docs named ids or decoded stay apart inside the struct.
+    """
     rows = docs.select(F.struct(*docs.columns).alias("doc"), encoded(F.col("text"), path).alias("made"))
     return rows.select("doc", "made.ids", "made.decoded")

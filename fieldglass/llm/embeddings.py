@@ -115,7 +115,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     found. Vectors that are null, zero, of a null label or hold a null or non-finite component link with nothing
     (their own component); vectors of different lengths do not link. Equal vectors of a label are compared once
     and counted by their number. Vectors within half the link's angle of their centroid are linked with each other without a
-    product, which keeps a dense group linear. Null ids keep a row with no links.
+    product, which keeps a dense group linear. Null ids keep a row with no links. An empty table gives an empty result;
+    other columns of vectors are not read.
     """
     usable = cut(_usable(vectors).where("vec_id is not null").groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).withColumn("size", F.size("embedding")))
     total = usable.count()

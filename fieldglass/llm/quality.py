@@ -115,7 +115,9 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFra
     """A row for each row of docs: doc (struct of its columns), stats, base_failed, score, kept.
 
     kept is false if a base rule fails (fewer than 20 words, more than 30 % repeated), else whether the trees' score
-    reaches `threshold`. Null and empty texts have no words and fail; repeated rows are judged each.
+    reaches `threshold`. Null and empty texts have no words and fail; texts of any length are measured whole; repeated rows are
+    judged each; without labels of both kinds the base rules alone decide; an empty table gives an empty result; columns of
+    docs with the names of results stay apart inside the struct.
     """
     forest = train(docs, labels)
     rows = docs.select(F.struct(*docs.columns).alias("doc"), measured(F.col("text")).alias("stats"))

@@ -63,9 +63,65 @@ def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.learn_and_score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_near_dedup, op3_simhash_near_dedup, op4_mix_sources, op5_url_filter, op6_shards, op7_quality_rules, op8_secret_scan, op9_bpe, op10_brown_lm)}
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule columns of op5_url_filter, from the same operator, for SQL to check."""
+    return op5_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op7_quality_rules, from the same operator, for SQL to check."""
+    return op7_quality_rules(spark, sf_dir).drop("kept", "score")
+
+
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of op8_secret_scan, from the same operator, for SQL to check."""
+    return op8_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_near_dedup, op3_simhash_near_dedup, op4_mix_sources, op5_url_filter, op6_shards, op7_quality_rules, op8_secret_scan, op9_bpe, op10_brown_lm, url_rules, quality_base, secret_base)}
 
 ORACLES: dict[str, str] = {
+    "op2_embedding_near_dedup": """
+with recursive good as (
+  select vec_id, label, embedding::double[] as e from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs as (select a.vec_id as a, b.vec_id as b from good a join good b on a.label = b.label and a.vec_id < b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.93),
+links as (select a, b from pairs union all select b, a from pairs),
+reach as (select vec_id as v, vec_id as r from embeddings union select reach.v, links.b from reach join links on links.a = reach.r),
+parts as (select v, min(r) as component_id from reach group by v),
+counts as (select a, count(*) as n from links group by a)
+select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept from embeddings join parts on v = vec_id left join counts on a = vec_id
+""",
+    "url_rules": """
+with cut as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+hosts as (select page_id, rest, regexp_extract(rest, '^[^/?#]*') as raw from cut),
+sites as (select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(substr(rest, len(raw) + 1), '^[^?#]*') as path from hosts),
+rules as (select unnest(['com/', 'example.com/en/', 'www.example.com/en/', 'net/es/', 'net/fr/']) as rule),
+fits as (
+  select page_id, arg_max(rule, len(rule)) as rule from sites join rules on (host = split_part(rule, '/', 1) or ends_with(host, '.' || split_part(rule, '/', 1))) and starts_with(path, substr(rule, instr(rule, '/'))) group by page_id)
+select page_id, host, path, rule from sites left join fits using (page_id)
+""",
+    "quality_base": r"""
+with words as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+lines as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from words),
+starts as (select doc_id, unnest(range(1, len(w) - 6)) as s, w from words),
+windows as (select doc_id, s, array_to_string(w[s:s + 7], ' ') as x from starts),
+twice as (select doc_id, s, count(*) over (partition by doc_id, x) as n from windows),
+covered as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(s, s + 8)) as p from twice where n > 1) group by doc_id),
+base as (
+  select doc_id, len(w)::bigint as n_words, len(array_to_string(w, ''))::bigint as word_chars, (len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+    (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(covered.n, 0)::bigint as n_repeat_words
+  from words join lines using (doc_id) left join covered using (doc_id))
+select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from base
+""",
+    "secret_base": r"""
+with t as (select doc_id, coalesce(text, '') as text from documents)
+select doc_id,
+  len(list_filter(regexp_extract_all(text, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: len(x) >= 8))::bigint as n_assign,
+  len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda x: len(x) >= 16))::bigint as n_access,
+  len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda x: len(x) >= 32))::bigint as n_hex
+from t
+""",
     "op4_mix_sources": r"""
 with rows as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, md5(coalesce(doc_id::varchar, md5(coalesce(text, '')))) as digest from documents),

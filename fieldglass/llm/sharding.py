@@ -61,7 +61,7 @@ def shard(docs: DataFrame, shards: int = 24, layout: tuple[int, int, int] = LAYO
     doc_id and the number of shards decide the shard; with one more (grown_shard) rows move only into the new one.
     slot counts a shard's rows from 0 without gaps, in the order of md5(doc_id), then size and checksum; of equal
     rows either may come first. A null text counts as empty; rows without id share a shard; repeated rows each
-    have a slot. Nothing but numbers is shuffled if the caller selects no text.
+    have a slot; an empty table gives an empty result. Nothing but numbers is shuffled if the caller selects no text.
     """
     rows = docs.select(F.struct(*docs.columns).alias("doc")).withColumn("key", F.col("doc.doc_id"))
     rows = descend(descend(rows, "key", tree(shards, layout), "shard"), "key", tree(shards + 1, layout), "grown_shard")

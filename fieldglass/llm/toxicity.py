@@ -177,7 +177,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], train_rows:
 def score(docs: DataFrame, models: list[Linear], categories: list[str]) -> DataFrame:
     """doc_id and a probability p_<category> of each row of docs, over whole texts.
 
-    Null and empty texts have no words and get the offsets' probabilities; repeated rows are scored each.
+    Null and empty texts have no words and get the offsets' probabilities; texts of any length are read whole; repeated
+    rows are scored each; an empty table gives an empty result; other columns of docs are not read.
     """
 
     @pandas_udf(", ".join(f"p_{c} double" for c in categories))
