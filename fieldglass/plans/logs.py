@@ -50,11 +50,10 @@ def j17(s, d):
     return logs.during(goals, spans, ["team_id"], "at", "start", "end").select("row_id", "span_id")
 
 
-@query("j13_l2_unseen", f"with {CLAIMS} select claim_id from cl where claim_id%3=0 and claim_id not in (select claim_id from cl where claim_id%2=0)")
+@query("j13_l2_unseen", f"with {CLAIMS} select claim_id from cl where claim_id not in (select claim_id from cl where ts<'2024-01-15')")
 def j13(s, d):
     c = claims(s, d)
-    new = c.where("claim_id % 3 = 0")
-    return logs.unseen(new.unionByName(new), c.where("claim_id % 2 = 0"), "claim_id").select("claim_id")
+    return logs.unseen(c.unionByName(c), c.where("ts < timestamp_ntz'2024-01-15'"), "claim_id").select("claim_id")
 
 
 def snapshots(s, d):

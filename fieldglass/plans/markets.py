@@ -47,40 +47,25 @@ def _devigged(prices, method):
 
 
 def _bisection(low, high, excess):
-    return f"""with recursive q as (select match_id, max(1/price) filter (outcome='H') h, max(1/price) filter (outcome='D') d, max(1/price) filter (outcome='A') a from prices where book=0 group by 1),
-b as (select match_id, h, d, a, {low}::double lo, {high}::double hi, 0 n from q union all select match_id, h, d, a, case when {excess}>0 then (lo+hi)/2 else lo end, case when {excess}>0 then hi else (lo+hi)/2 end, n+1 from b where n<60)"""
+    return f"""with recursive q as (select match_id, book, max(1/price) filter (outcome='H') h, max(1/price) filter (outcome='D') d, max(1/price) filter (outcome='A') a from prices group by 1,2),
+b as (select match_id, book, h, d, a, {low}::double lo, {high}::double hi, 0 n from q union all select match_id, book, h, d, a, case when {excess}>0 then (lo+hi)/2 else lo end, case when {excess}>0 then hi else (lo+hi)/2 end, n+1 from b where n<60)"""
 
 
-@query("f35_devig_power", _bisection(0.5, 10.0, "power(h,(lo+hi)/2)+power(d,(lo+hi)/2)+power(a,(lo+hi)/2)-1") + " select match_id, round(power(h,(lo+hi)/2),5) p_h, round(power(d,(lo+hi)/2),5) p_d, round(power(a,(lo+hi)/2),5) p_a from b where n=60")
+@query("f35_devig_power", _bisection(0.5, 10.0, "power(h,(lo+hi)/2)+power(d,(lo+hi)/2)+power(a,(lo+hi)/2)-1") + " select match_id, book, round(power(h,(lo+hi)/2),5) p_h, round(power(d,(lo+hi)/2),5) p_d, round(power(a,(lo+hi)/2),5) p_a from b where n=60")
 def f35(s, d):
-    return _devigged(P(s, d).where("book = 0"), "power").drop("book")
-
-
-@query("f35_devig_power_books")
-def f35_books(s, d):
     return _devigged(P(s, d), "power")
 
 
 _SHIN = "(sqrt({z}*{z}+4*(1-{z})*{q}*{q}/(h+d+a))-{z})/(2*(1-{z}))"
 
 
-@query("f36_devig_shin", _bisection(0.0, 0.4, "+".join(_SHIN.format(z="((lo+hi)/2)", q=q) for q in "hda") + "-1") + " select match_id, " + ", ".join(f"round({_SHIN.format(z='((lo+hi)/2)', q=q)},5) p_{q}" for q in "hda") + " from b where n=60")
+@query("f36_devig_shin", _bisection(0.0, 0.4, "+".join(_SHIN.format(z="((lo+hi)/2)", q=q) for q in "hda") + "-1") + " select match_id, book, " + ", ".join(f"round({_SHIN.format(z='((lo+hi)/2)', q=q)},5) p_{q}" for q in "hda") + " from b where n=60")
 def f36(s, d):
-    return _devigged(P(s, d).where("book = 0"), "shin").drop("book")
-
-
-@query("f36_devig_shin_books")
-def f36_books(s, d):
     return _devigged(P(s, d), "shin")
 
 
-@query("f38_apply_margin", f"with {FAIR} select match_id, outcome, round(1/(p*1.05::double),6) price from fair where book=0")
+@query("f38_apply_margin", f"with {FAIR} select match_id, book, outcome, round(1/(p*1.05::double),6) price from fair")
 def f38(s, d):
-    return markets.fair(P(s, d)).where(F.col("book") == 0).select("match_id", "outcome", F.round(pr.with_margin(F.col("p"), 0.05), 6).alias("price"))
-
-
-@query("f38_apply_margin_books", f"with {FAIR} select match_id, book, outcome, round(1/(p*1.05::double),6) price from fair")
-def f38_books(s, d):
     return markets.fair(P(s, d)).select("match_id", "book", "outcome", F.round(pr.with_margin(F.col("p"), 0.05), 6).alias("price"))
 
 
@@ -103,13 +88,8 @@ def a18(s, d):
     return r6(markets.best_prices(P(s, d)).withColumn("book", F.col("book").cast("int")))
 
 
-@query("f32_scoreline_grid", f"with {RATES} select match_id, i, j, round(p,6) p from grid where i<3 and j<3")
+@query("f32_scoreline_grid", f"with {RATES} select match_id, i, j, round(p,6) p from grid")
 def f32(s, d):
-    return r6(markets.grid(rates(s, d)).where("i < 3 and j < 3"))
-
-
-@query("f32_scoreline_grid_whole", f"with {RATES} select match_id, i, j, round(p,6) p from grid")
-def f32_whole(s, d):
     return r6(markets.grid(rates(s, d)))
 
 
@@ -163,14 +143,8 @@ def f41(s, d):
     return w.select("match_id", F.round(pr.entropy([F.col("home_win"), F.col("draw"), F.col("away_win")]), 6).alias("entropy"))
 
 
-@query("f44_blend_log", f"with {RATES}, {FAIR} select match_id, round(home*exp(0.6::double*greatest(-0.5::double, least(0.5::double, ln(3*p/home)))),6) blended from rates join fair using (match_id) where book=0 and outcome='H'")
+@query("f44_blend_log", f"with {RATES}, {FAIR}, side as (select match_id, book, outcome, p, case outcome when 'H' then home else away end rate from rates join fair using (match_id) where outcome<>'D') select match_id, book, outcome, round(rate*exp(0.6::double*greatest(-0.5::double, least(0.5::double, ln(3*p/rate)))),6) blended from side")
 def f44(s, d):
-    market = markets.fair(P(s, d)).where("book = 0 and outcome = 'H'").select("match_id", "p")
-    return rates(s, d).join(market, "match_id").select("match_id", F.round(pr.blend_log(F.col("home"), 3 * F.col("p"), 0.6), 6).alias("blended"))
-
-
-@query("f44_blend_log_books", f"with {RATES}, {FAIR}, side as (select match_id, book, outcome, p, case outcome when 'H' then home else away end rate from rates join fair using (match_id) where outcome<>'D') select match_id, book, outcome, round(rate*exp(0.6::double*greatest(-0.5::double, least(0.5::double, ln(3*p/rate)))),6) blended from side")
-def f44_books(s, d):
     """Both sides' rates with every book; a draw has no rate of its own."""
     j = rates(s, d).join(markets.fair(P(s, d)).where("outcome <> 'D'"), "match_id").withColumn("rate", F.when(F.col("outcome") == "H", F.col("home")).otherwise(F.col("away")))
     return j.select("match_id", "book", "outcome", F.round(pr.blend_log(F.col("rate"), 3 * F.col("p"), 0.6), 6).alias("blended"))

@@ -1,6 +1,6 @@
 """Queries on players and their appearances."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from fieldglass.operators import players as pl
 from fieldglass.sources import tables as t
@@ -129,9 +129,10 @@ def j18(s, d):
     return pl.twins(with_spread(s, d))
 
 
-@query("j19_transfers", """with o as (select * from players where player_id%97=0), h as (select team_id, count(*) held from o group by 1),
-j as (select o.player_id out_id, i.player_id in_id, round(i.xp-o.xp,6) gain from o join (select p.*, coalesce(held,0) held from players p left join h using (team_id) where p.player_id%97<>0) i on i.position=o.position and i.price<=o.price+5 and i.xp>o.xp and i.held-(i.team_id=o.team_id)::int<3),
+@query("j19_transfers", """with o as (select * from players qualify row_number() over (partition by team_id order by xp, player_id)<=2), h as (select team_id, count(*) held from o group by 1),
+j as (select o.player_id out_id, i.player_id in_id, round(i.xp-o.xp,6) gain from o join (select p.*, coalesce(held,0) held from players p left join h using (team_id) where p.player_id not in (select player_id from o)) i on i.position=o.position and i.price<=o.price+5 and i.xp>o.xp and i.held-(i.team_id=o.team_id)::int<3),
 r as (select *, row_number() over (partition by out_id order by gain desc, in_id) as rank from j) select * from r where rank<=3""")
 def j19(s, d):
     p = t.players(s, d)
-    return pl.transfers(p.where("player_id % 97 = 0"), p, 5)
+    owned = p.withColumn("n", F.row_number().over(W.partitionBy("team_id").orderBy("xp", "player_id"))).where("n <= 2").drop("n")
+    return pl.transfers(owned, p, 5)

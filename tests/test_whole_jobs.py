@@ -21,7 +21,7 @@ def shin(x, z, total):
     return (math.sqrt(z * z + 4 * (1 - z) * x * x / total) - z) / (2 * (1 - z))
 
 
-@pytest.mark.parametrize("name, terms, lo, hi", [("f35_devig_power_books", lambda x, k, total: x**k, 0.5, 10.0), ("f36_devig_shin_books", shin, 0.0, 0.4)])
+@pytest.mark.parametrize("name, terms, lo, hi", [("f35_devig_power", lambda x, k, total: x**k, 0.5, 10.0), ("f36_devig_shin", shin, 0.0, 0.4)])
 def test_every_book_is_devigged(spark, small, name, terms, lo, hi):
     priced = {}
     for r in t.prices(t.matches(spark, small)).collect():
@@ -35,7 +35,7 @@ def test_every_book_is_devigged(spark, small, name, terms, lo, hi):
 
 def test_whole_grid_adds_up(spark, small):
     sums = {}
-    for r in QUERIES["f32_scoreline_grid_whole"](spark, small).collect():
+    for r in QUERIES["f32_scoreline_grid"](spark, small).collect():
         sums.setdefault(r["match_id"], []).append(r["p"])
     assert sums and all(len(p) == 64 and sum(p) == pytest.approx(1, abs=1e-4) for p in sums.values())
 
