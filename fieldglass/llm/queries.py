@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, brown, embeddings, mixing, quality, secrets, sharding, simhash, toxicity, urls
+from . import bpe, brown, decontaminate, embeddings, mixing, phrases, quality, secrets, sharding, simhash, toxicity, urls, whitening
 from .common import table
 
 
@@ -63,6 +63,20 @@ def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.learn_and_score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontaminate.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return rows.select("row.vec_id", "component", "n", F.expr("try_cast(deviation as long)").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule columns of op5_url_filter, from the same operator, for SQL to check."""
     return op5_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule")
@@ -78,7 +92,12 @@ def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_near_dedup, op3_simhash_near_dedup, op4_mix_sources, op5_url_filter, op6_shards, op7_quality_rules, op8_secret_scan, op9_bpe, op10_brown_lm, url_rules, quality_base, secret_base)}
+def whitening_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact columns of op12_whiten, from the same operator, for SQL to check."""
+    return op12_whiten(spark, sf_dir).select("vec_id", "component", "n", "deviation")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_near_dedup, op3_simhash_near_dedup, op4_mix_sources, op5_url_filter, op6_shards, op7_quality_rules, op8_secret_scan, op9_bpe, op10_brown_lm, op11_decontaminate, op12_whiten, op13_phrases, url_rules, quality_base, secret_base, whitening_base)}
 
 ORACLES: dict[str, str] = {
     "op2_embedding_near_dedup": """
@@ -142,5 +161,47 @@ done as (select *, (passes * size + greatest(0, least(size, round(target - passe
 timed as (select *, case when demand <= 0 then 0 else 2 * demand / ((1 - lean) + sqrt((1 - lean) * (1 - lean) + 4 * lean * demand)) end as t from done)
 select doc_id, size, source_size, target, taken, case when taken > 0 then round(t + tilt * (t * t - t), 6) end as position
 from timed
+""",
+    "op11_decontaminate": r"""
+with docs as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+items as (select coalesce(item_id::varchar, '') as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+starts as (select item, w, least(10, len(w)) as size, unnest(range(1, len(w) - least(10, len(w)) + 2)) as s from items where len(w) > 0),
+windows as (select distinct item, size, array_to_string(w[s:s + size - 1], ' ') as x from starts),
+places as (select r, w, size, unnest(range(1, len(w) - size + 2)) as s from docs, (select distinct size from windows) where len(w) >= size),
+hits as (select r, s, size, item from (select r, s, size, array_to_string(w[s:s + size - 1], ' ') as x from places) join windows using (size, x)),
+covered as (select r, count(distinct p)::bigint as n_hit from (select r, unnest(range(s, s + size)) as p from hits) group by r),
+met as (select r, list_sort(list(distinct item)) as items from hits group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(len(items), 0)::bigint as n_items, sha256(coalesce(array_to_string(items, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs left join covered using (r) left join met using (r)
+""",
+    "whitening_base": """
+with good as (select vec_id, list_transform(embedding, lambda c: floor(256 * c::double)::bigint) as x from embeddings where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+fit as (select distinct x from good),
+entries as (select len(x) as d, unnest(x) as v, unnest(range(1, len(x) + 1)) as i from fit),
+sums as (select d, i, sum(v)::hugeint as s, count(*)::hugeint as n from entries group by d, i),
+rows as (select row_number() over () as r, vec_id, x from good),
+apart as (select r, vec_id, len(x) as d, unnest(x) as v, unnest(range(1, len(x) + 1)) as i from rows),
+done as (select r, vec_id, d, any_value(n)::bigint as n, sum((n * v - s) * (n * v - s))::bigint as deviation from apart join sums using (d, i) group by r, vec_id, d)
+select vec_id, component::integer as component, n, deviation from done, range(1, 5) as k(component) where component <= d
+""",
+    "op13_phrases": r"""
+with pieces as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+cut as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+placed as (select lang, w, unnest(range(1, len(w) + 1)) as s from cut),
+f1 as (select lang, w[s] as p, count(*)::hugeint as f from placed group by all),
+f2 as (select lang, w[s] || ' ' || w[s + 1] as p, count(*)::hugeint as f from placed where s < len(w) group by all having f >= 10),
+f3 as (select lang, w[s] || ' ' || w[s + 1] || ' ' || w[s + 2] as p, count(*)::hugeint as f from placed where s + 1 < len(w) group by all having f >= 10),
+totals as (select lang, sum(f)::bigint as n from f1 group by lang),
+long as (select lang, p, f, string_split(p, ' ') as w from f3),
+cuts as (
+  select f2.lang, f2.p, f2.f as a, 1 as k, x.f as l, y.f as r from f2 join f1 x on x.lang = f2.lang and x.p = split_part(f2.p, ' ', 1) join f1 y on y.lang = f2.lang and y.p = split_part(f2.p, ' ', 2)
+  union all select long.lang, long.p, long.f, 1, x.f, y.f from long join f1 x on x.lang = long.lang and x.p = w[1] join f2 y on y.lang = long.lang and y.p = w[2] || ' ' || w[3]
+  union all select long.lang, long.p, long.f, 2, x.f, y.f from long join f2 x on x.lang = long.lang and x.p = w[1] || ' ' || w[2] join f1 y on y.lang = long.lang and y.p = w[3]),
+scores as (select *, a * a * 1000000 // (l * r) as score, row_number() over (partition by lang, p order by a * a * 1000000 // (l * r), k) as c from cuts),
+inner_ as (select lang, w[1] || ' ' || w[2] as p, f from long union all select lang, w[2] || ' ' || w[3] as p, f from long),
+most as (select lang, p, max(f) as f from inner_ group by lang, p),
+left_ as (select scores.* from scores left join most using (lang, p) where c = 1 and (most.f is null or 100 * most.f < 50 * a)),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, p) as rank from left_)
+select lang, rank::bigint as rank, p as phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score from ranked join totals using (lang) where rank <= 2000
 """,
 }
