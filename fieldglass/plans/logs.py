@@ -42,12 +42,13 @@ def j8(s, d):
     return logs.within(a, b, ["player_id"], "ta", "tb", 2).select("a", "b")
 
 
-@query("j17_during", """with g as (select row_id, team_id, minutes at_ from appearances where goals>0), s as (select row_id span_id, team_id, minutes%45 a, minutes%45+saves b from appearances where red=1) select row_id, span_id from g join s on g.team_id=s.team_id and at_ between a and b""")
+@query("j17_during", """with g as (select distinct l_orderkey match_id, l_quantity::int at_ from lineitem where l_returnflag='R'), s as (select distinct l_orderkey match_id, l_quantity::int start, l_quantity::int+l_linenumber as "end" from lineitem where l_returnflag='A') select match_id, at_ as "at", start, "end" from g join s using (match_id) where at_ between start and "end\"""")
 def j17(s, d):
-    a = t.appearances(s, d)
-    goals = a.where("goals > 0").select("row_id", "team_id", F.col("minutes").alias("at"))
-    spans = a.where("red = 1").select(F.col("row_id").alias("span_id"), "team_id", (F.col("minutes") % 45).alias("start"), (F.col("minutes") % 45 + F.col("saves")).alias("end"))
-    return logs.during(goals, spans, ["team_id"], "at", "start", "end").select("row_id", "span_id")
+    """Minutes of a match's goals inside its spells a man short: lines of one order."""
+    line = t.table(s, d, "lineitem").withColumn("match_id", F.col("l_orderkey"))
+    goals = line.where("l_returnflag = 'R'").select("match_id", F.col("l_quantity").cast("int").alias("at")).distinct()
+    spells = line.where("l_returnflag = 'A'").select("match_id", F.col("l_quantity").cast("int").alias("start"), (F.col("l_quantity").cast("int") + F.col("l_linenumber")).alias("end")).distinct()
+    return logs.during(goals, spells, ["match_id"], "at", "start", "end").select("match_id", "at", "start", "end")
 
 
 @query("j13_l2_unseen", f"with {CLAIMS} select claim_id from cl where claim_id not in (select claim_id from cl where ts<'2024-01-15')")

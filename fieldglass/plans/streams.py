@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from fieldglass.sources.scratch import scratch
-from fieldglass.streaming import logs
+from fieldglass.streaming import feeds, logs
 
 from .registry import query
 
@@ -32,3 +32,24 @@ def sessions(s, d):
 def l1(s, d):
     rows = claims(s, d).select("claim_id", "player_id", "ts", (F.col("k") % 5 % 3).alias("tier"))
     return logs.changes(rows, "player_id", "tier", ["ts", "claim_id"], scratch(s, "l1_k2_stream_changes")).select("claim_id")
+
+
+@query("l9_stream_feeds", """with p as (select player_id::varchar feed, epoch_us(ts) us, epoch_us(ts)//1000 at_, claim_id, claim_type, row_number() over (partition by player_id order by ts, claim_id) n from claims),
+mark as (select epoch_us(max(ts))//1000-7200000 m from claims),
+ready as (select * from p, mark where at_<m),
+fold as (
+  select feed, 1::bigint n, at_, claim_id, case when claim_type='error' then 'failed' else 'fetched' end as status, at_ attempt, (claim_type='error')::int failures, case when claim_type='error' then -1 else at_ end success, false told, null::bigint silent, 0 silent_failures from ready where n=1
+  union all
+  select feed, n, at_, claim_id, case when skip then 'skipped_interval' when claim_type='error' then 'failed' else 'fetched' end, case when skip then attempt else at_ end, case when skip then failures when claim_type='error' then failures+1 else 0 end, case when skip or claim_type='error' then success else at_ end,
+    case when skip or claim_type='error' then told or due is not null else false end, due, failures
+  from (select r.feed, r.n, r.at_, r.claim_id, r.claim_type, f.attempt, f.failures, f.success, f.told, r.at_-f.attempt<21600000 skip, case when f.success>=0 and not f.told and f.success+86400000<=r.at_ then f.success+86400000 end due from fold f join ready r on r.feed=f.feed and r.n=f.n+1)),
+ends as (select feed, success+86400000 due, failures from fold, mark qualify n=max(n) over (partition by feed) and success>=0 and not told and success+86400000<m)
+select feed, at_ as at_ms, claim_id as poll_id, status, failures, status='failed' and failures>=2 as escalate from fold
+union all select feed, silent, null, 'silent', silent_failures, true from fold where silent is not null
+union all select feed, due, null, 'silent', failures, true from ends""")
+def l9_stream_feeds(s, d):
+    """Events as polls of as many feeds as users: six hours between attempts, two failures are told, a day without success is silence."""
+    polls = claims(s, d).select(F.col("player_id").cast("string").alias("feed"), F.col("ts").alias("at"), F.col("claim_id").alias("poll_id"), F.when(F.col("claim_type") == "error", "failed").otherwise("fetched").alias("outcome"))
+    rules = feeds.Rules(interval=6 * 3_600_000, escalate=2, silent=86_400_000)
+    out = feeds.replay(feeds.outcomes(polls, rules), scratch(s, "l9_stream_feeds"))
+    return out.select("feed", F.unix_millis("at").alias("at_ms"), "poll_id", "status", "failures", "escalate")
