@@ -90,11 +90,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def first_rows(docs: DataFrame, kept: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Rows of docs (doc_id not null) whose (doc_id, xxhash64(text)) is among kept (id, h); of those in `repeated` one each, the first by its columns."""
-    kept, repeated = (x.select(F.col("id").alias("_id"), F.col("h").alias("_h")) for x in (kept, repeated))
-    at = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_h"))
-    named = docs.join(kept, at, "left_semi")
-    if repeated.isEmpty():
-        return named
-    many = named.join(repeated, at, "left_semi").groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")], "doc_id")).alias("first"))
-    return named.join(repeated, at, "left_anti").unionByName(many.select("first.*").select(docs.columns))
+    """Rows of docs (doc_id not null) whose (doc_id, xxhash64(text)) is among kept (id, h); of those in `repeated` one each, the first as JSON.
+
+    Columns of docs stay inside a struct, so they may have any name and type.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    at = lambda keys: (F.col("row.doc_id") == keys["id"]) & (F.xxhash64("row.text") == keys["h"])
+    named = rows.join(kept, at(kept), "left_semi")
+    if not repeated.isEmpty():
+        many = named.join(repeated, at(repeated), "left_semi").groupBy(F.col("row.doc_id"), F.xxhash64("row.text")).agg(F.min_by("row", F.to_json("row")).alias("row"))
+        named = named.join(repeated, at(repeated), "left_anti").unionByName(many.select("row"))
+    return named.select("row.*")

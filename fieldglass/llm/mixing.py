@@ -82,8 +82,12 @@ def allot(docs: DataFrame, weights: tuple = WEIGHTS, leans: tuple = LEANS, repea
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, leans: tuple = LEANS, repeats: int = REPEATS) -> DataFrame:
     """The mixed corpus in training order: docs' columns, a row for each time a document is trained on.
 
-    Documents stay whole, repeated rows are trained on each: the one in which a source's target falls is in if at least half of it is taken. Sorting is
-    by ranges of position, so the parts of the output follow the curriculum.
+    Documents stay whole: the one in which a source's target falls is in if at least half of it is taken. Null and
+    empty texts have no words and go; null sources are one source; rows without id stand in the order of their text;
+    repeated rows are trained on each; columns of docs keep their names, whatever they are; an empty table gives an
+    empty result. Sorting is by ranges of position, so the parts of the output follow the curriculum. Texts are
+    shuffled twice: with the running sum of their source, and into ranges. Slim rows would need a join back, which
+    is no shuffle less, as rows have no key of their own.
     """
     rows = allot(docs, weights, leans, repeats)
     times = F.col("passes") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)

@@ -60,8 +60,10 @@ def shard(docs: DataFrame, shards: int = 24, layout: tuple[int, int, int] = LAYO
 
     doc_id and the number of shards decide the shard; with one more (grown_shard) rows move only into the new one.
     slot counts a shard's rows from 0 without gaps, in the order of md5(doc_id), then size and checksum; of equal
-    rows either may come first. A null text counts as empty; rows without id share a shard; repeated rows each
-    have a slot; an empty table gives an empty result. Nothing but numbers is shuffled if the caller selects no text.
+    rows either may come first. A null text counts as empty; rows without id share a shard and stand there in
+    the order of their checksums' digests, so they spread over the window's parts; repeated rows each have a slot; texts of
+    any length are only measured and summed; columns of docs keep to the struct, whatever their names; an empty table
+    gives an empty result. Nothing but numbers is shuffled if the caller selects no text.
     """
     rows = docs.select(F.struct(*docs.columns).alias("doc")).withColumn("key", F.col("doc.doc_id"))
     rows = descend(descend(rows, "key", tree(shards, layout), "shard"), "key", tree(shards + 1, layout), "grown_shard")
@@ -72,7 +74,7 @@ def shard(docs: DataFrame, shards: int = 24, layout: tuple[int, int, int] = LAYO
         F.crc32(text.cast("binary")).alias("text_crc32"),
         "shard",
         "grown_shard",
-        F.md5(F.coalesce(F.col("key").cast("string"), F.lit("")).cast("binary")).alias("digest"),
+        F.md5(F.coalesce(F.col("key").cast("string"), F.concat(F.lit("text "), F.crc32(text.cast("binary")))).cast("binary")).alias("digest"),
         F.lit(1).alias("one"),
     )
     return running_sum(rows, ["shard"], "digest", ["size", "text_crc32"], "one", "slot").withColumn("slot", F.col("slot").cast("long")).drop("one", "digest")

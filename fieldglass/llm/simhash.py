@@ -142,7 +142,8 @@ def groups(docs: DataFrame, words: int = 4, distance: int = 4, id_col: str = "do
     """One row for each row of docs: id_col, fingerprint (16 hex digits), component_id (the least id it is linked to).
 
     Null and empty texts share the fingerprint zero and so are linked. Repeated ids and repeated rows each keep a
-    row. component_id passes over null ids. An empty table gives an empty result; other columns of docs are not read.
+    row. component_id passes over null ids. Texts of any length are read whole, block by block. An empty table gives
+    an empty result; other columns of docs are not read.
     """
     marked = cut(fingerprints(docs, words, id_col, text_col))
     named = _components(marked, distance, F.min("id"))
@@ -155,8 +156,9 @@ def dedup(docs: DataFrame, words: int = 5, distance: int = 4) -> DataFrame:
     """docs without the near copies: of each group the row of least (doc_id, xxhash64(text)) stays, whole and unchanged.
 
     Rows go by their own text, so rows that repeat a doc_id with unlike texts all stay; of rows with equal doc_id and
-    text one stays, the first by its columns. Null and empty texts are copies of each other. Rows without doc_id are
-    kept as they are: there is no id to keep them by. An empty table gives an empty result; other columns are passed on.
+    text one stays, the first as JSON. Null and empty texts are copies of each other. Rows without doc_id are
+    kept as they are: there is no id to keep them by. An empty table gives an empty result; other columns are passed
+    on, whatever their names and types.
     """
     there = docs.where("doc_id is not null")
     slim = there.select(F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")).alias("row"), "text")
