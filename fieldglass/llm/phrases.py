@@ -15,8 +15,8 @@ from .common import stored
 
 #: Lower-cases A-Z; what ends a piece becomes a full stop.
 LOWERED = bytes(b + 32 if 65 <= b <= 90 else 46 if b in b".,;:!?\n\v\f\r" else b for b in range(256))
-#: Distinct words counted, or whose numbers are remembered, in a worker before it starts afresh.
-FLUSH = 400_000
+#: Distinct words counted, and words whose numbers are remembered, in a worker before it starts afresh.
+FLUSH, REMEMBERED = 200_000, 100_000
 #: Words, and bytes of text, taken at once.
 STEP, TEXT = 1 << 20, 8 << 20
 #: Bits of a filter for each group it holds, and at most (16 MB).
@@ -198,7 +198,7 @@ def occurrences(docs: DataFrame, salt: bytes, frequent) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _portions(batches, 1, TEXT):
-            if len(seen) > FLUSH:
+            if len(seen) > REMEMBERED:
                 seen.clear()
             stop, sizes, parts = number(b".", salt), [], []
             for text in batch.column(1):
@@ -246,14 +246,12 @@ def group_counts(relation: DataFrame, length: int) -> DataFrame:
                     key, most = np.unique(key, return_inverse=True)[1], len(key) + 1
                 key, most = key * len(values) + place[at + k], most * max(len(values), 1)
             _, first, counts = np.unique(key, return_index=True, return_counts=True)
-            listed = _groups(word, at[first], length)
-            offsets = pa.array(np.arange(len(first) + 1) * length, pa.int32())
-            g = pa.ListArray.from_arrays(offsets, pa.array(listed.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(code[first])), g, pa.array(counts)], ["lang", "g", "f"])
-
-    counted = relation.mapInArrow(run, "lang string, g array<bigint>, f long")
-    flat = counted.groupBy("lang", *[F.col("g")[k].alias(f"g{k}") for k in range(length)]).agg(F.sum("f").alias("f"))
-    return flat.select("lang", F.array(*[f"g{k}" for k in range(length)]).alias("g"), "f")
+            parts = [pa.array(word[at[first] + k]) for k in range(length)]
+            yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(code[first])), *parts, pa.array(counts)], ["lang", *names, "f"])
+
+    names = [f"g{k}" for k in range(length)]
+    counted = relation.mapInArrow(run, f"lang string, {', '.join(f'{n} bigint' for n in names)}, f long")
+    return counted.groupBy("lang", *names).agg(F.sum("f").alias("f")).select("lang", F.array(*names).alias("g"), "f")
 
 
 def scored(lengths: dict[int, DataFrame]) -> DataFrame:
