@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+
 from pyspark.ml.regression import GeneralizedLinearRegression, IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -143,14 +143,6 @@ def isotonic(rows: DataFrame, p: str = "p", y: str = "y", least: int = 50) -> Da
     return model.transform(rows)
 
 
-def stacked(rows: DataFrame, models: list[str], y: str) -> DataFrame:
-    """rows with p_0, p_1, p_2: a multinomial fit of outcomes on the models' out-of-fold chances."""
-    at = VectorAssembler(inputCols=models, outputCol="_x").transform(rows)
-    model = LogisticRegression(featuresCol="_x", labelCol=y, family="multinomial", regParam=0.01).fit(at.where(F.col(y).isNotNull()))
-    p = vector_to_array("probability")
-    return model.transform(at).withColumns({f"p_{k}": p[k] for k in range(3)}).drop("_x", "rawPrediction", "probability", "prediction")
-
-
 def goal_regression(rows: DataFrame, features: list[str], y: str) -> DataFrame:
     """rows with `rate`: a Poisson regression of goals on features, fitted where y is known."""
     at = VectorAssembler(inputCols=features, outputCol="_x").transform(rows)

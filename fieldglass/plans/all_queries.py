@@ -1,6 +1,6 @@
 """Every query of the library, registered."""
 
-from . import backtest, evaluation, ingest, league, ledger, logs, markets, models, players, resolution, simulation, streams, text, views  # noqa: F401
+from . import backtest, evaluation, fitted, ingest, league, ledger, logs, markets, models, players, resolution, simulation, streams, text, views  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -93,12 +93,6 @@ def labelled(s, d):
     return book_forecasts(s, d).join(m.select("match_id", F.when(F.col("fthg") > F.col("ftag"), 0).when(F.col("fthg") == F.col("ftag"), 1).otherwise(2).alias("y"), "fthg", "home_id", "away_id"), "match_id")
 
 
-@query("m13_stacked")
-def m13(s, d):
-    out = rm.stacked(labelled(s, d), ["p_h", "p_d"], "y")
-    return out.select("match_id", *[F.round(f"p_{k}", 5).alias(f"p_{k}") for k in range(3)])
-
-
 @query("m5_goal_regression")
 def m5(s, d):
     return rm.goal_regression(labelled(s, d), ["p_h", "p_a"], "fthg").select("match_id", F.round("rate", 5).alias("rate"))
