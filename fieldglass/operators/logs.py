@@ -125,11 +125,6 @@ def round_robin(rows: DataFrame, source: str, order: list, cap: int) -> DataFram
     return ranked.where(F.col("_turn") <= cap).orderBy("_turn", source).limit(cap).drop("_turn")
 
 
-def fold(text: Column) -> Column:
-    """Lower case without the accents of Latin letters."""
-    return F.translate(F.lower(F.trim(text)), "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿšžčćđłńğışß", "aaaaaaceeeeiiiinoooooouuuuyyszccdlngiss")
-
-
 def strip_html(html: Column) -> Column:
     """Text without tags, with the five common entities, white space collapsed."""
     text = F.regexp_replace(html, "<[^>]*>", " ")
@@ -148,13 +143,6 @@ def snowflake_time(number: Column, epoch_ms: int = 1288834974657) -> Column:
     return F.shiftright(number, 22) + epoch_ms
 
 
-def link(texts: DataFrame, names: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Entities named in texts: equality join of the texts' folded words with names (name, entity); a name of two entities links none."""
-    alone = names.select(fold(F.col("name")).alias("word"), "entity").groupBy("word").agg(F.min("entity").alias("entity"), F.countDistinct("entity").alias("n")).where("n = 1")
-    words = texts.select(id_col, F.explode(F.array_distinct(F.split(fold(F.col(text_col)), "[^a-z0-9]+"))).alias("word"))
-    return words.join(alone, "word").groupBy(id_col).agg(F.sort_array(F.collect_set("entity")).alias("entities"))
-
-
 def validated(claims: DataFrame, now: Column, kinds: list[str], least: float = 0, most: float = 100) -> DataFrame:
     """claims with `reason`, why a claim does not count: from the future, value out of range, type unknown; null if it counts."""
     value = F.col("value")

@@ -143,21 +143,6 @@ def t6(s, d):
     return pl.top_in_group(t.appearances(s, d), ["season", "round"], [F.desc("goals"), F.desc("assists"), "player_id", "row_id"], 5).select("season", "round", "player_id", "row_id")
 
 
-@query("f1_fold", "select distinct w as word, case w when 'Ünïted' then 'united' when 'CITY' then 'city' else 'sao' end as folded from (select unnest(['Ünïted','CITY','São']) w from matches)")
-def f1(s, d):
-    word = F.explode(F.array(F.lit("Ünïted"), F.lit("CITY"), F.lit("São")))
-    return t.matches(s, d).select(word.alias("word")).distinct().select("word", logs.fold(F.col("word")).alias("folded"))
-
-
 @query("f15_digests", "select match_id, substr(sha256('{\"home_id\":'||home_id||',\"away_id\":'||away_id||'}'),1,16) as digest from matches")
 def f15(s, d):
     return t.matches(s, d).select("match_id", logs.digest("home_id", "away_id").alias("digest"))
-
-
-@query("j11_linked_texts", """with n as (select 'Player '||player_id txt, player_id from players where player_id%3>0), s as (select player_id, 'said #'||(player_id)||' and x' t from players) select player_id as id, [player_id] as entities from s where player_id%3>0""")
-def j11(s, d):
-    p = t.players(s, d)
-    names = p.where("player_id % 3 > 0").select(F.concat(F.lit("p"), "player_id").alias("name"), F.col("player_id").alias("entity"))
-    names = names.unionByName(p.where("player_id % 3 = 0").select(F.concat(F.lit("p"), "player_id").alias("name"), (-1 - F.col("player_id")).alias("entity"))).unionByName(p.where("player_id % 3 = 0").select(F.concat(F.lit("p"), "player_id").alias("name"), F.col("player_id").alias("entity")))
-    texts = p.select(F.col("player_id").alias("id"), F.concat(F.lit("Said P"), "player_id", F.lit(", and p")).alias("text"))
-    return logs.link(texts, names, "id", "text")

@@ -84,9 +84,3 @@ def test_material_and_resolution(spark):
     rows = [(1, 1, "c", 75, day(5), "a", 1), (2, 1, "c", 25, day(6), "b", 2), (3, 2, "c", 25, day(5), "a", 1), (4, 2, "c", 100, day(6), "b", 2), (5, 3, "c", 100, day(5), "a", 1), (6, 3, "c", 0, day(5), "b", 1)]
     got = {r["player_id"]: (r["value"], r["rule"]) for r in logs.resolve(spark.createDataFrame(rows, cols), F.lit(day(10))).collect()}
     assert got == {1: (25, "lowered"), 2: (25, "refused"), 3: (0, "cautious")}
-
-
-def test_linking_refuses_ambiguity(spark):
-    names = spark.createDataFrame([("Müller", 1), ("Smith", 2), ("Smith", 3)], "name string, entity int")
-    texts = spark.createDataFrame([(1, "MULLER and Smith play"), (2, "nobody")], "id int, text string")
-    assert [tuple(r) for r in logs.link(texts, names, "id", "text").collect()] == [(1, [1])]
