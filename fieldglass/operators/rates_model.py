@@ -48,46 +48,6 @@ def roles(rows: DataFrame, key: str, prior: float = 4) -> DataFrame:
     return out.select(key, "position", *[F.round((F.col(k) + prior * F.col(f"_{k}")) / (F.col("n") + prior), 6).alias(f"p_{k}") for k in ("full", "part", "on", "out")], F.round(F.col("n") / (F.col("n") + prior), 6).alias("evidence"))
 
 
-def market_rates(fair: DataFrame, rounds: int = 12) -> DataFrame:
-    """(match_id, total, ratio, home, away): expected goals that give the market's chances.
-
-    fair: match_id, p_h, p_d, p_a, p_over (more than 2.5 goals). The total is found by halving from the chance of
-    more than two goals of one Poisson variable; the log ratio by halving from the difference of home and away wins over a grid of scores.
-    """
-
-    def halve(lo: Column, hi: Column, higher, times: int) -> Column:
-        start = F.struct(lo.alias("lo"), hi.alias("hi"))
-
-        def step(s: Column, _: Column) -> Column:
-            mid = (s["lo"] + s["hi"]) / 2
-            up = higher(mid)
-            return F.struct(F.when(up, mid).otherwise(s["lo"]).alias("lo"), F.when(up, s["hi"]).otherwise(mid).alias("hi"))
-
-        end = F.aggregate(F.sequence(F.lit(1), F.lit(times)), start, step)
-        return (end["lo"] + end["hi"]) / 2
-
-    over = lambda r: 1 - F.exp(-r) * (1 + r + r * r / 2)
-    rows = fair.withColumn("total", halve(F.lit(0.2), F.lit(8.0), lambda r: over(r) < F.col("p_over"), 2 * rounds))
-    goals = 9
-
-    def lead(ratio: Column) -> Column:
-        """Home wins less away wins of independent scores."""
-        home = F.col("total") / (1 + F.exp(-ratio))
-        away = F.col("total") - home
-        # chance of k goals and of fewer
-        pmf = lambda rate: [F.exp(-rate) * F.pow(rate, F.lit(k)) / F.factorial(F.lit(k)) for k in range(goals)]
-        h, a = pmf(home), pmf(away)
-        out, below_h, below_a = F.lit(0.0), F.lit(0.0), F.lit(0.0)
-        for k in range(goals):
-            out = out + h[k] * below_a - a[k] * below_h
-            below_h, below_a = below_h + h[k], below_a + a[k]
-        return out
-
-    rows = rows.withColumn("ratio", halve(F.lit(-2.5), F.lit(2.5), lambda r: lead(r) < F.col("p_h") - F.col("p_a"), 2 * rounds))
-    home = F.col("total") / (1 + F.exp(-F.col("ratio")))
-    return rows.select("match_id", "total", "ratio", home.alias("home"), (F.col("total") - home).alias("away"))
-
-
 def level_correction(rows: DataFrame, ours: str, theirs: str, k: float = 20, most: float = 0.2) -> DataFrame:
     """One row: the mean log ratio of the market's rates to ours, shrunk by k rows to none and held within `most`."""
     ratio = F.log(F.col(theirs) / F.col(ours))

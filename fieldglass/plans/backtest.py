@@ -9,12 +9,12 @@ from .evaluation import SETTLED
 from .registry import query
 
 LOSS = "-(y*ln(greatest(least({p},1-1e-15::double),1e-15::double))+(1-y)*ln(1-greatest(least({p},1-1e-15::double),1e-15::double)))"
-BOOK = "b as (select match_id, max(1/price) filter (outcome='H') h, max(1/price) filter (outcome='D') dr, max(1/price) filter (outcome='A') a from prices where book=0 group by 1), f as (select match_id, h/(h+dr+a) p_h, dr/(h+dr+a) p_d, a/(h+dr+a) p_a from b)"
+BOOK = "b as (select match_id, avg(1/price) filter (outcome='H') h, avg(1/price) filter (outcome='D') dr, avg(1/price) filter (outcome='A') a from prices group by 1), f as (select match_id, h/(h+dr+a) p_h, dr/(h+dr+a) p_d, a/(h+dr+a) p_a from b)"
 
 
 def book_forecasts(s, d):
     share = F.col("H") + F.col("D") + F.col("A")
-    wide = t.prices(t.matches(s, d)).where("book = 0").groupBy("match_id").agg(*[F.max(F.when(F.col("outcome") == o, 1 / F.col("price"))).alias(o) for o in "HDA"])
+    wide = t.prices(t.matches(s, d)).groupBy("match_id").agg(*[F.avg(F.when(F.col("outcome") == o, 1 / F.col("price"))).alias(o) for o in "HDA"])
     return wide.select("match_id", *[(F.col(o) / share).alias(f"p_{o.lower()}") for o in "HDA"])
 
 
@@ -60,11 +60,13 @@ def e16(s, d):
     return bt.walk_forward(rows, "team", "month", "gf", 1.37171317).withColumn("forecast", F.round("forecast", 6))
 
 
-@query("e18_replay", f"""with {SETTLED}, r as (select case when row_id%50=0 then 'missing' when row_id%41=0 then 'one off' when row_id%37=0 then 'higher' when row_id%31=0 then 'lower' else 'exact' end as "class" from scored) select "class", count(*) n, round(count(*)/sum(count(*)) over (),6) as "share" from r group by 1""")
+@query("e18_replay", f"""with {SETTLED}, st as (select *, case when minutes>0 then 1+(minutes>=60)::int+5*goals+3*assists+case when minutes>=60 and conceded=0 and position in ('GKP','DEF') then 4 else 0 end-yellow-3*red end as stored from scored),
+r as (select case when stored is null then 'missing' when points=stored then 'exact' when abs(points-stored)=1 then 'one off' when points>stored then 'higher' else 'lower' end as "class" from st) select "class", count(*) n, round(count(*)/sum(count(*)) over (),6) as "share" from r group by 1""")
 def e18(s, d):
-    key = F.col("row_id")
-    off = F.when(key % 50 == 0, None).when(key % 41 == 0, 1).when(key % 37 == 0, -3).when(key % 31 == 0, 3).otherwise(0)
-    rows = pl.scored(t.appearances(s, d)).withColumn("stored", F.col("points") + off)
+    """Points under today's rules against those that simpler rules of before had stored for who played."""
+    sheet = F.when((F.col("minutes") >= 60) & (F.col("conceded") == 0) & F.col("position").isin("GKP", "DEF"), 4).otherwise(0)
+    before = 1 + (F.col("minutes") >= 60).cast("int") + 5 * F.col("goals") + 3 * F.col("assists") + sheet - F.col("yellow") - 3 * F.col("red")
+    rows = pl.scored(t.appearances(s, d)).withColumn("stored", F.when(F.col("minutes") > 0, before))
     return bt.replay(rows, pl.points(rows), "stored")
 
 

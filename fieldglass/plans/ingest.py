@@ -129,9 +129,9 @@ def v7(s, d):
     return good.agg(F.count("claim_id").alias("good")).crossJoin(s.read.json(path).agg(F.count("*").alias("bad")))
 
 
-@query("s12_sealed_log", "select round as gw, player_id, points from (select season, round, player_id, sum(goals) points from appearances where season=1995 group by all) where round<=3")
+@query("s12_sealed_log", "select season*100+round as gw, player_id, sum(goals)::bigint as points from appearances group by 1,2")
 def s12(s, d):
-    rows = t.appearances(s, d).where("season = 1995 and round <= 3").groupBy("round", "player_id").agg(F.sum("goals").alias("points"))
+    rows = t.appearances(s, d).withColumn("round", F.col("season") * 100 + F.col("round")).groupBy("round", "player_id").agg(F.sum("goals").alias("points"))
     path = scratch(s, "sealed")
     body = rows.select(F.to_json(F.struct(F.lit("row").alias("record"), F.col("round").alias("gw"), "player_id", "points")).alias("value"))
     head = rows.select("round").distinct().select(F.to_json(F.struct(F.lit("header").alias("record"), F.col("round").alias("gw"), F.lit(True).alias("sealed"))).alias("value"))
@@ -174,11 +174,11 @@ def k8(s, d):
     return s.read.schema("team int, gf long").json(path)
 
 
-@query("k7_bets_export", "select match_id, outcome, round(price,4) as price from prices where book=1 and price>3")
+@query("k7_bets_export", "select match_id, book, outcome, round(price,4) as price from prices where price>3")
 def k7(s, d):
     path = scratch(s, "bets")
-    t.prices(t.matches(s, d)).where("book = 1 and price > 3").select("match_id", "outcome", F.round("price", 4).alias("price")).write.csv(path, header=True)
-    return s.read.csv(path, header=True, schema="match_id long, outcome string, price double")
+    t.prices(t.matches(s, d)).where("price > 3").select("match_id", "book", "outcome", F.round("price", 4).alias("price")).write.csv(path, header=True)
+    return s.read.csv(path, header=True, schema="match_id long, book int, outcome string, price double")
 
 
 @query("k3_append_unseen", "select claim_id, value from claims")

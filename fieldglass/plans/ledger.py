@@ -103,7 +103,7 @@ def p12(s, d):
     return lg.recent(c, "ts", F.lit("2024-01-20").cast("timestamp_ntz")).select("claim_id")
 
 
-@query("l7_flips_reported", f"""with {CLAIMS}, a as (select player_id, claim_type, arg_max(value, ts) v from cl where ts<'2024-01-15' group by 1,2), b as (select player_id, claim_type, arg_max(value, ts) v from cl where player_id%9>0 group by 1,2),
+@query("l7_flips_reported", f"""with {CLAIMS}, a as (select player_id, claim_type, arg_max(value, ts) v from cl where ts<'2024-01-15' group by 1,2), b as (select player_id, claim_type, arg_max(value, ts) v from cl where ts>='2024-01-05' group by 1,2),
 c as (select player_id, claim_type, a.v va, b.v vb from a full join b using (player_id, claim_type) where a.v is distinct from b.v),
 r as (select *, (coalesce(va,100)>=50)<>(coalesce(vb,100)>=50) flip, case when va is null then vb<100 when vb is null then true else abs(va-vb)>=20 end m from c) select player_id, claim_type, flip, flip or m as reported from r""")
 def l7(s, d):

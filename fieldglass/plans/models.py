@@ -28,23 +28,12 @@ def m9(s, d):
     return rm.roles(t.appearances(s, d), "player_id")
 
 
-def fair(s, d):
-    return book_forecasts(s, d).withColumn("p_over", 0.3 + F.col("match_id") % 40 / 100.0)
-
-
-@query("m11_market_rates")
-def m11(s, d):
-    """No SQL: two nested halvings over a grid; held against a plain version in the tests."""
-    out = rm.market_rates(fair(s, d))
-    return out.select("match_id", *[F.round(c, 4).alias(c) for c in ("total", "ratio", "home", "away")])
-
-
 def market(s, d):
-    """Rates that a market might imply, for two matches of three."""
-    return t.matches(s, d).where("match_id % 3 > 0").select("match_id", (1.0 + F.col("match_id") % 13 / 10.0).alias("home"), (0.7 + F.col("match_id") % 11 / 10.0).alias("away"))
+    """Rates that a market might imply, from the shots, for matches with enough of them."""
+    return t.matches(s, d).where("hs > 50").select("match_id", (1.0 + F.col("hs") % 13 / 10.0).alias("home"), (0.7 + F.col("away_s") % 11 / 10.0).alias("away"))
 
 
-LEVEL = f"{RATES}, mk as (select match_id, 1.0::double+match_id%13/10.0::double mh, 0.7::double+match_id%11/10.0::double ma from matches where match_id%3>0), lv as (select count(*) n, greatest(-0.2, least(0.2, sum(ln(mh/home))/(count(*)+20))) l from rates join mk using (match_id))"
+LEVEL = f"{RATES}, mk as (select match_id, 1.0::double+hs%13/10.0::double mh, 0.7::double+away_s%11/10.0::double ma from matches where hs>50), lv as (select count(*) n, greatest(-0.2, least(0.2, sum(ln(mh/home))/(count(*)+20))) l from rates join mk using (match_id))"
 
 
 @query("f43_level_correction", f"with {LEVEL} select n, round(l,6) as level from lv")
@@ -53,28 +42,27 @@ def f43(s, d):
     return rm.level_correction(both, "home", "market_home").withColumn("level", F.round("level", 6))
 
 
-@query("m16_anchored_rates", f"""with {LEVEL}, j as (select r.match_id, r.home, r.away, mh, ma, l, ln(r.home)+l bh, ln(r.away)+l ba, (r.home+r.away)/2 mean from rates r left join mk using (match_id), lv),
+@query("m16_anchored_rates", f"""with {LEVEL}, j as (select r.match_id, mt.home_id, r.home, r.away, mh, ma, l, ln(r.home)+l bh, ln(r.away)+l ba, (r.home+r.away)/2 mean from rates r join matches mt using (match_id) left join mk using (match_id), lv),
 k as (select *, case when mh is not null then exp(bh+greatest(-0.5,least(0.5,0.5*(ln(mh)-bh)))) else home end h, case when ma is not null then exp(ba+greatest(-0.5,least(0.5,0.5*(ln(ma)-ba)))) else away end a from j)
-select match_id, round(case when match_id%20<3 then greatest(h,0.9*mean) else h end,6) home, round(a,6) away, case when mh is not null then 'market' else 'model' end as source from k""")
+select match_id, round(case when home_id%20<3 then greatest(h,0.9*mean) else h end,6) home, round(a,6) away, case when mh is not null then 'market' else 'model' end as source from k""")
 def m16(s, d):
-    own = rates(s, d).withColumn("home_promoted", F.col("match_id") % 20 < 3).withColumn("away_promoted", F.lit(False))
+    own = rates(s, d).join(t.matches(s, d).select("match_id", (F.col("home_id") % 20 < 3).alias("home_promoted")), "match_id").withColumn("away_promoted", F.lit(False))
     level = rm.level_correction(own.join(market(s, d).withColumnRenamed("home", "market_home").drop("away"), "match_id"), "home", "market_home")
     out = rm.anchored(own, market(s, d), level)
     return out.select("match_id", F.round("home", 6).alias("home"), F.round("away", 6).alias("away"), "source")
 
 
-@query("j21_preferred_rates", "select match_id, case when match_id%3=0 then 1.1::double+match_id%7 when match_id%2=0 then 0.5::double else 1.35 end as rate, case when match_id%3=0 then 'exported' when match_id%2=0 then 'fitted' else 'flat' end as source from matches")
+@query("j21_preferred_rates", "select match_id, case when hs>80 then hs/100.0::double when away_s>60 then away_s/100.0::double else 1.35 end as rate, case when hs>80 then 'exported' when away_s>60 then 'fitted' else 'flat' end as source from matches")
 def j21(s, d):
-    m, key = t.matches(s, d), F.col("match_id")
-    exported = m.where("match_id % 3 = 0").select("match_id", (1.1 + key % 7).alias("rate"))
-    fitted = m.select("match_id", F.when(key % 2 == 0, 0.5).alias("rate"))
+    m = t.matches(s, d)
+    exported = m.where("hs > 80").select("match_id", (F.col("hs") / 100.0).alias("rate"))
+    fitted = m.select("match_id", F.when(F.col("away_s") > 60, F.col("away_s") / 100.0).alias("rate"))
     return rm.preferred(exported, fitted, 1.35, "match_id")
 
 
-@query("m14_d3_blended_rates", "select match_id, round(case when match_id%4=0 then 1.2::double+match_id%5 when match_id%4=1 then (0.6*(1.2+match_id%5)+0.3*(match_id%3))/0.9::double else 0.6*(1.2+match_id%5)+0.3*(match_id%3)+0.1*2 end,6) as rate from matches")
+@query("m14_d3_blended_rates", "select match_id, round((0.6::double*hs/50.0::double+case when fthg is not null and hy>0 then 0.3::double*fthg else 0 end+case when ay>0 then 0.1::double*ftag else 0 end)/(0.6::double+case when hy>0 then 0.3::double else 0 end+case when ay>0 then 0.1::double else 0 end),6) as rate from matches where hs is not null")
 def m14(s, d):
-    key = F.col("match_id")
-    rows = t.matches(s, d).select("match_id", (1.2 + key % 5).alias("a"), F.when(key % 4 > 0, (key % 3).cast("double")).alias("b"), F.when(key % 4 > 1, 2.0).alias("c"))
+    rows = t.matches(s, d).where("hs is not null").select("match_id", (F.col("hs") / 50.0).alias("a"), F.when(F.col("hy") > 0, F.col("fthg").cast("double")).alias("b"), F.when(F.col("ay") > 0, F.col("ftag").cast("double")).alias("c"))
     return rows.select("match_id", F.round(rm.blend(rows, {"a": 0.6, "b": 0.3, "c": 0.1}), 6).alias("rate"))
 
 

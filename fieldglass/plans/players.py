@@ -74,12 +74,12 @@ def p18(s, d):
     return pl.universe(t.players(s, d)).select("player_id")
 
 
-POOL = """reasons as (select *, case when player_id%100=0 then null when status in ('u','n') then 'gone' when minutes<90 then 'minutes' when chance<25 then 'unlikely' when xp<=0 then 'no points' end reason from players)"""
+POOL = """reasons as (select *, case when selected_by>9.5 then null when status in ('u','n') then 'gone' when minutes<90 then 'minutes' when chance<25 then 'unlikely' when xp<=0 then 'no points' end reason from players)"""
 
 
 def pool(s, d):
     p = t.players(s, d)
-    return pl.pool(p, p.where("player_id % 100 = 0").select("player_id"))
+    return pl.pool(p, p.where("selected_by > 9.5").select("player_id"))
 
 
 @query("p19_candidate_pool", f"with {POOL} select player_id, team_id, position, price, xp from reasons where reason is null")

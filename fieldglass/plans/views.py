@@ -9,14 +9,13 @@ from .registry import query
 
 
 def bets(s, d):
-    key = F.col("match_id")
-    rows = t.prices(t.matches(s, d)).where("book = 0").withColumn("edge", (key * 7 + F.ascii("outcome")) % 23 / 100.0 - 0.05)
-    return rows.select("match_id", "outcome", F.lit("1x2").alias("market"), "edge", F.when(F.col("edge") >= 0.12, "high").when(F.col("edge") >= 0.05, "medium").otherwise("low").alias("tier"), (key % 3 > 0).alias("fair"), F.concat(F.lit("Match "), key, F.lit(" "), "outcome").alias("label"))
+    rows = t.prices(t.matches(s, d)).withColumn("edge", F.round(F.col("price") % 0.23 - 0.05, 6))
+    return rows.select("match_id", "book", "outcome", F.lit("1x2").alias("market"), "edge", F.when(F.col("edge") >= 0.12, "high").when(F.col("edge") >= 0.05, "medium").otherwise("low").alias("tier"), (F.col("price") > 2).alias("fair"), F.concat(F.lit("Match "), "match_id", F.lit(" "), "outcome").alias("label"))
 
 
-@query("p22_p23_bets_wanted", "select match_id, outcome from (select match_id, outcome, (match_id*7+ascii(outcome))%23/100.0::double-0.05::double e from prices where book=0) where e>=0.05 and match_id%3>0 and lower('Match '||match_id||' '||outcome) like '%1 h%'")
+@query("p22_p23_bets_wanted", "select match_id, book, outcome from (select *, round(price%0.23::double-0.05::double,6) e from prices) where e>=0.05 and price>2 and lower('Match '||match_id||' '||outcome) like '%1 h%'")
 def p22(s, d):
-    return vw.bets_wanted(bets(s, d), ["1x2"], ["high", "medium"], 0.05, True, "1 H ").select("match_id", "outcome")
+    return vw.bets_wanted(bets(s, d), ["1x2"], ["high", "medium"], 0.05, True, "1 H ").select("match_id", "book", "outcome")
 
 
 @query("t3_t5_leaderboards", """with m as (select player_id, unnest(['xp','goals','value','differential','involved']) category, unnest([xp, goals, xp/price, case when selected_by<=2 then xp end, goals+assists]) score from players where minutes>=45), r as (select *, row_number() over (partition by category order by score desc, player_id) rank from m where score is not null) select category, rank, player_id, round(score,6) as score from r where rank<=10""")
@@ -25,10 +24,10 @@ def t3(s, d):
     return vw.leaderboards(t.players(s, d), metrics).withColumn("score", F.round("score", 6))
 
 
-@query("j16_compared", "select coalesce(a.player_id, b.player_id) as player_id, a.xp, b.goals from (select player_id, xp from players where player_id%3>0) a full join (select player_id, goals from players where player_id%4>0) b using (player_id) where coalesce(a.player_id, b.player_id) in (select home_id from matches)")
+@query("j16_compared", "select coalesce(a.player_id, b.player_id) as player_id, a.xp, b.goals from (select player_id, xp from players where status in ('a','d')) a full join (select player_id, goals from players where minutes>=900) b using (player_id) where coalesce(a.player_id, b.player_id) in (select home_id from matches)")
 def j16(s, d):
     p = t.players(s, d)
-    return vw.compared(p.where("player_id % 3 > 0").select("player_id", "xp"), p.where("player_id % 4 > 0").select("player_id", "goals"), t.matches(s, d).select(F.col("home_id").cast("long").alias("player_id")).distinct())
+    return vw.compared(p.where("status in ('a', 'd')").select("player_id", "xp"), p.where("minutes >= 900").select("player_id", "goals"), t.matches(s, d).select(F.col("home_id").cast("long").alias("player_id")).distinct())
 
 
 @query("v4_leaders", "select 'goals' as metric, player_id from players where goals=(select max(goals) from players) union all select 'price', player_id from players where price=(select max(price) from players)")
@@ -36,10 +35,10 @@ def v4(s, d):
     return vw.leaders(t.players(s, d).withColumn("flat", F.lit(1)), ["goals", "price", "flat"])
 
 
-@query("j23_nearest", """with m as (select player_id mark_id, price+0.3::double x, goals*3+0.2::double y from players where player_id%10=0), p as (select player_id, price x, goals*3 y from players), d as (select mark_id, player_id, sqrt(power(p.x-m.x,2)+power(p.y-m.y,2)) far from m, p) select mark_id, arg_min(player_id, struct_pack(f:=far, p:=player_id)) as player_id, round(min(far),6) far from d where far<=4 group by 1""")
+@query("j23_nearest", """with m as (select player_id mark_id, price+0.3::double x, goals*3+0.2::double y from players), p as (select player_id, price x, goals*3 y from players), d as (select mark_id, player_id, sqrt(power(p.x-m.x,2)+power(p.y-m.y,2)) far from m, p) select mark_id, arg_min(player_id, struct_pack(f:=far, p:=player_id)) as player_id, round(min(far),6) far from d where far<=4 group by 1""")
 def j23(s, d):
     p = t.players(s, d)
-    marks = p.where("player_id % 10 = 0").select(F.col("player_id").alias("mark_id"), (F.col("price") + 0.3).alias("x"), (F.col("goals") * 3 + 0.2).alias("y"))
+    marks = p.select(F.col("player_id").alias("mark_id"), (F.col("price") + 0.3).alias("x"), (F.col("goals") * 3 + 0.2).alias("y"))
     return vw.nearest(p.select("player_id", F.col("price").alias("x"), (F.col("goals") * 3).alias("y")), marks, 4.0).withColumn("far", F.round("far", 6))
 
 
@@ -61,12 +60,10 @@ def p26(s, d):
     return ranked.select("season", "team", vw.zone(F.col("n")).alias("zone"))
 
 
-@query("a33_j24_fixture_stats", """with w as (select distinct season, round from appearances where round%5=0), l as (select season, round, player_id, unnest(['goals','assists','saves']) stat, unnest([goals,assists,saves]) v from appearances join w using (season, round)), r as (select *, row_number() over (partition by season, round, stat order by v desc, player_id) n from l where v>0)
+@query("a33_j24_fixture_stats", """with l as (select season, round, player_id, unnest(['goals','assists','saves']) stat, unnest([goals,assists,saves]) v from appearances), r as (select *, row_number() over (partition by season, round, stat order by v desc, player_id) n from l where v>0)
 select season, round, stat, string_agg(player_id||'='||v, ' ' order by n) as top from r where n<=5 group by 1,2,3""")
 def a33(s, d):
-    a = t.appearances(s, d)
-    wanted = a.where("round % 5 = 0").select("season", "round").distinct()
-    rows = vw.fixture_stats(a.join(wanted, ["season", "round"], "left_semi"), ["season", "round"], ["goals", "assists", "saves"])
+    rows = vw.fixture_stats(t.appearances(s, d), ["season", "round"], ["goals", "assists", "saves"])
     return rows.select("season", "round", "stat", F.array_join(F.transform("top", lambda r: F.concat_ws("=", r["player_id"].cast("string"), r["value"].cast("string"))), " ").alias("top"))
 
 
@@ -135,10 +132,10 @@ def v5(s, d):
     return vw.by_round(t.claims(s, d).select("claim_id", "ts", (F.col("k") % 10).alias("round"), (F.col("claim_type") == "error").alias("urgent")), "round")
 
 
-@query("v12_squad_at_week", "with m as (select player_id, k%6 w, case when claim_id%2=0 then 'in' else 'out' end a from claims where k%6<=3), l as (select player_id, arg_max(a, struct_pack(w:=w, a:=a)) a from m group by 1) select coalesce(p.player_id, l.player_id) as player_id from (select player_id from players where player_id%3=0) p full join l using (player_id) where case when l.a is null then true else l.a='in' end")
+@query("v12_squad_at_week", "with m as (select player_id, k%6 w, case when claim_id%2=0 then 'in' else 'out' end a from claims where k%6<=3), l as (select player_id, arg_max(a, struct_pack(w:=w, a:=a)) a from m group by 1) select coalesce(p.player_id, l.player_id) as player_id from (select player_id from players where status='a') p full join l using (player_id) where case when l.a is null then true else l.a='in' end")
 def v12(s, d):
     moves = t.claims(s, d).select("player_id", (F.col("k") % 6).alias("week"), F.when(F.col("claim_id") % 2 == 0, "in").otherwise("out").alias("action"))
-    return vw.squad_after(t.players(s, d).where("player_id % 3 = 0"), moves, F.lit(3))
+    return vw.squad_after(t.players(s, d).where("status = 'a'"), moves, F.lit(3))
 
 
 @query("v14_v9_horizon", "select match_id, team, round(sum(gf) over w,6) as total, max(gf) over w as best from team_rows window w as (partition by team order by match_date, match_id rows between current row and 5 following)")
