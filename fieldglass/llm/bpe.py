@@ -17,9 +17,9 @@ from pyspark.sql.functions import pandas_udf
 #: Mean words of a chunk, words of the rolling window, bounds of a chunk.
 MEAN, WINDOW, LEAST, MOST = 64, 4, 16, 256
 #: Entries of each generation of a worker's memory: pieces, chunks, joins.
-PIECES, CHUNKS, JOINS = 120_000, 12_000, 60_000
+PIECES, CHUNKS, JOINS = 60_000, 8_000, 30_000
 #: Bytes of texts that are encoded, and returned to Spark, together; a longer text stands alone.
-GROUP = 1 << 20
+GROUP = 1 << 18
 
 
 class Recent(dict):
