@@ -18,7 +18,7 @@ LOWERED = bytes(b + 32 if 65 <= b <= 90 else 46 if b in b".,;:!?\n\v\f\r" else b
 #: Distinct words counted, and words whose numbers are remembered, in a worker before it starts afresh.
 FLUSH, REMEMBERED = 200_000, 100_000
 #: Words, and bytes of text, taken at once.
-STEP, TEXT = 1 << 20, 8 << 20
+STEP, TEXT = 1 << 19, 4 << 20
 #: Bits of a filter for each group it holds, and at most (16 MB).
 BITS, MOST_BITS = 16, 1 << 27
 #: Parts that a language's ranking is cut into.
