@@ -17,7 +17,7 @@ from pyspark.sql.functions import pandas_udf
 #: Mean words of a chunk, words of the rolling window, bounds of a chunk.
 MEAN, WINDOW, LEAST, MOST = 64, 4, 16, 256
 #: Entries of each generation of a worker's memory: pieces, chunks, joins.
-PIECES, CHUNKS, JOINS = 60_000, 8_000, 30_000
+PIECES, CHUNKS, JOINS = 120_000, 12_000, 60_000
 #: Bytes of texts that are encoded, and returned to Spark, together; a longer text stands alone.
 GROUP = 1 << 18
 
@@ -100,6 +100,10 @@ class Coder:
         self.by_piece = breaks_at_space(config)
         self.spaced = config.get("decoder") is None  # then decoding puts a space between the tokens' strings
         self.names = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())] if self.spaced else []
+        self.forget()
+
+    def forget(self) -> None:
+        """At the end of a task: a worker that waits for its next one holds nothing."""
         self.pieces, self.chunks, self.joins, self.seen = Recent(PIECES), Recent(CHUNKS), Recent(JOINS), Recent(PIECES)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
@@ -241,6 +245,7 @@ def encoded(text: Column, path: str) -> Column:
         for texts in batches:
             for made in own.encode_all([t or b"" for t in texts]):
                 yield pd.DataFrame(made, columns=["ids", "decoded"])
+        own.forget()
 
     return run(text.cast("binary"))
 
