@@ -163,7 +163,7 @@ def p6(s, d):
 def s20(s, d):
     path = scratch(s, "quoted")
     t.players(s, d).select("player_id", F.concat(F.lit('He said "'), "name", F.lit('", then left')).alias("note")).write.csv(path, header=True, escape='"', quoteAll=True)
-    return files.read_csv(s, path, "UTF-8").select(F.col("player_id").cast("long").alias("player_id"), "note")
+    return files.read_csv(s, path, "UTF-8", line_breaks=True).select(F.col("player_id").cast("long").alias("player_id"), "note")
 
 
 @query("k1_k8_table_export", "select team, sum(gf)::bigint as gf from team_rows where gf is not null group by team")
@@ -184,16 +184,18 @@ def k7(s, d):
 @query("k3_append_unseen", "select claim_id, value from claims")
 def k3(s, d):
     """Two overlapping batches, the second twice."""
-    path, c = scratch(s, "evidence"), t.claims(s, d).select("claim_id", "value", "ts")
-    for part in (c.where("ts < timestamp_ntz'2024-01-20'"), c, c):
-        files.append_unseen(part.select("claim_id", "value"), path, "claim_id")
-    return s.read.schema("claim_id long, value double").parquet(path)
+    path, c = scratch(s, "evidence"), t.claims(s, d).select("claim_id", "value", F.to_date("ts").alias("day"))
+    for part in (c.where("day < date'2024-01-20'"), c, c):
+        files.append_unseen(part, path, "claim_id", "day")
+    return s.read.schema("claim_id long, value double").parquet(path).select("claim_id", "value")
 
 
 @query("k4_l3_sealed_once", "select claim_id from claims where ts<timestamp '2024-01-15'")
 def k4(s, d):
+    """What is still before its deadline is sealed; handing over the rest too would be an error."""
     path, c = scratch(s, "seal"), t.claims(s, d).select("claim_id", "ts")
-    files.seal(c, path, F.col("ts"), F.lit("2024-01-15").cast("timestamp_ntz"))
+    deadline = F.lit("2024-01-15").cast("timestamp_ntz")
+    files.seal(c.where(F.col("ts") < deadline), path, F.col("ts"), deadline)
     return s.read.parquet(path).select("claim_id")
 
 

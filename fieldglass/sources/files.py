@@ -8,9 +8,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
-    """A CSV with a header, quoted fields that may hold line breaks, and compression by file ending; all columns are strings."""
-    return spark.read.csv(path, header=True, encoding=encoding, quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=False)
+def read_csv(spark: SparkSession, path: str, encoding: str = "ISO-8859-1", line_breaks: bool = False) -> DataFrame:
+    """A CSV with a header, quoted fields, and compression by file ending; all columns are strings.
+
+    With `line_breaks` quoted fields may hold them, and a file is one task; without, large files are split.
+    """
+    return spark.read.csv(path, header=True, encoding=encoding, quote='"', escape='"', multiLine=line_breaks, ignoreLeadingWhiteSpace=False)
 
 
 def read_seasons(spark: SparkSession, paths: dict[str, str], strict: bool = False) -> DataFrame:
@@ -58,20 +61,33 @@ def write_one(df: DataFrame, path: str, kind: str = "json", **options: str) -> N
     getattr(df.coalesce(1).write.mode("overwrite"), kind)(path, **options)
 
 
-def append_unseen(new: DataFrame, path: str, key: str) -> None:
-    """Appends the rows whose key the table at `path` does not hold yet, one for each key; running it again adds nothing."""
-    spark = new.sparkSession
+def append_unseen(new: DataFrame, path: str, key: str, day: str | None = None, most_days: int = 400) -> None:
+    """Appends the rows whose key the table at `path` does not hold yet, one for each key; running it again adds nothing.
+
+    With `day`, a column that a key never changes, the table is partitioned by it and only the days that the new rows
+    have are read; rows of more than `most_days` days are held against the whole table.
+    """
+    spark, days = new.sparkSession, []
+    if day:
+        days = [r[0] for r in new.select(day).distinct().limit(most_days + 1).collect()]
     try:
-        new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
+        known = spark.read.parquet(path)
+        if days and len(days) <= most_days:
+            known = known.where(F.col(day).isin([d for d in days if d is not None]) | (F.col(day).isNull() if None in days else F.lit(False)))
+        new = new.join(known.select(key), key, "left_anti")
     except AnalysisException as gone:
         if gone.getCondition() != "PATH_NOT_FOUND":
             raise
-    new.dropDuplicates([key]).write.mode("append").parquet(path)
+    writer = new.dropDuplicates([key]).write.mode("append")
+    (writer.partitionBy(day) if day else writer).parquet(path)
 
 
 def seal(rows: DataFrame, path: str, now: Column, deadline: Column) -> None:
-    """Writes a forecast once: rows whose deadline has passed are refused, and a second seal at the same place is an error."""
-    rows.where(now < deadline).write.mode("errorifexists").parquet(path)
+    """Writes a forecast once: a row whose deadline has passed, or that has none, is an error, and so is a second seal at the same place."""
+    late = rows.where(~F.coalesce(now < deadline, F.lit(False))).count()
+    if late:
+        raise ValueError(f"{late} rows are past their deadline")
+    rows.write.mode("errorifexists").parquet(path)
 
 
 def keep_last(path_rows: DataFrame, by: str, k: int) -> DataFrame:
