@@ -64,14 +64,19 @@ def _total(columns) -> Column:
     return reduce(Column.__add__, found) if found else F.lit(0.0)
 
 
-def _cells(expected: DataFrame, rho: float, top: int) -> tuple[DataFrame, Column]:
-    """The rates with `total`, and an array of the scores' weights (i, j, p; by i, then j) that adds up to it."""
+def _weights(expected: DataFrame, rho: float, top: int) -> tuple[DataFrame, dict[tuple[int, int], Column]]:
+    """The rates with `total`, and the scores' weights by (i, j), in that order, that add up to it."""
     g, goals = _pmf(expected, 1.0, top, "_"), range(top + 1)
     cell = lambda i, j: F.col(f"_h{i}") * F.col(f"_a{j}")
     low = {(i, j): F.greatest(F.lit(0.0), cell(i, j) * pr.low_score_factor(F.lit(i), F.lit(j), F.col("home"), F.col("away"), F.lit(rho))) for i in (0, 1) for j in (0, 1)}
     whole = _total(F.col(f"_h{i}") for i in goals) * _total(F.col(f"_a{j}") for j in goals) + _total(low[c] - cell(*c) for c in low)
-    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), low.get((i, j), cell(i, j)).alias("p")) for i in goals for j in goals])
-    return g.withColumn("total", whole), cells
+    return g.withColumn("total", whole), {(i, j): low.get((i, j), cell(i, j)) for i in goals for j in goals}
+
+
+def _cells(expected: DataFrame, rho: float, top: int) -> tuple[DataFrame, Column]:
+    """The rates with `total`, and an array of the scores' weights (i, j, p; by i, then j)."""
+    g, weights = _weights(expected, rho, top)
+    return g, F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), p.alias("p")) for (i, j), p in weights.items()])
 
 
 def score_cells(expected: DataFrame, rho: float = -0.05, top: int = 7) -> DataFrame:
@@ -102,18 +107,20 @@ def markets(scores: DataFrame) -> DataFrame:
 
 def exact_markets(expected: DataFrame, rho: float = -0.05, top: int = 7) -> DataFrame:
     """What markets() makes of grid(), from the chances of either side's goals in the row itself: no rows a score, no shuffle."""
-    g, cells = _cells(expected, rho, top)
+    g, weights = _weights(expected, rho, top)
     goals = range(top + 1)
     h, a = [F.col(f"_h{i}") for i in goals], [F.col(f"_a{j}") for j in goals]
     extra = {(i, j): F.greatest(F.lit(0.0), h[i] * a[j] * pr.low_score_factor(F.lit(i), F.lit(j), F.col("home"), F.col("away"), F.lit(rho))) - h[i] * a[j] for i in (0, 1) for j in (0, 1)}
     of = lambda plain, rule: (plain + _total(x for c, x in extra.items() if rule(*c))) / F.col("total")
     lead = lambda x, y, by: _total(x[i] * _total(y[: i - by + 1]) for i in goals if i >= by)
     under = {n: of(_total(h[i] * a[k - i] for k in range(n + 1) for i in range(k + 1)), lambda i, j, n=n: i + j <= n) for n in (1, 2, 3)}
-    likeliest = F.array_max(F.transform(cells, lambda c: F.struct(c["p"].alias("p"), (-c["i"]).alias("i"), (-c["j"]).alias("j"))))
+    # of equal weights the first place, so fewer home goals, then fewer away goals
+    place = F.array_position("_weights", F.array_max("_weights")) - 1
+    g = g.withColumn("_weights", F.array(*weights.values())).withColumn("_place", place)
     return g.select(
         "match_id", of(lead(h, a, 1), lambda i, j: i > j).alias("home_win"), of(_total(h[i] * a[i] for i in goals), lambda i, j: i == j).alias("draw"), of(lead(a, h, 1), lambda i, j: i < j).alias("away_win"),
         *[(1 - p).alias(f"over_{n}_5") for n, p in under.items()], of(_total(h[1:]) * _total(a[1:]), lambda i, j: i > 0 and j > 0).alias("btts"), of(_total(h) * a[0], lambda i, j: j == 0).alias("home_clean_sheet"),
-        of(h[0] * _total(a), lambda i, j: i == 0).alias("away_clean_sheet"), of(lead(h, a, 2), lambda i, j: False).alias("handicap_home"), F.concat_ws("-", -likeliest["i"], -likeliest["j"]).alias("likeliest"),
+        of(h[0] * _total(a), lambda i, j: i == 0).alias("away_clean_sheet"), of(lead(h, a, 2), lambda i, j: False).alias("handicap_home"), F.concat_ws("-", F.expr(f"_place div {top + 1}"), F.col("_place") % (top + 1)).alias("likeliest"),
     )
 
 
