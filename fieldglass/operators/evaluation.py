@@ -145,3 +145,19 @@ def blend_search(rows: DataFrame, weights: list[float], block: str) -> DataFrame
     per = tried.groupBy("w", block).agg(F.avg(log_loss_of(p, F.col("y"))).alias("loss")).groupBy("w").agg(F.avg("loss").alias("loss"))
     best = per.agg(F.min_by("w", F.struct("loss", "w")).alias("best"))
     return per.crossJoin(F.broadcast(best)).select("w", F.round("loss", 6).alias("loss"), (F.col("w") == F.col("best")).alias("best"))
+
+
+def against_perfect(rows: DataFrame, p: str, variance: Column, y: str) -> DataFrame:
+    """One row: n, rmse, bias, and perfect, the root mean square error of a model that knows the truth: what chance alone leaves."""
+    off = F.col(p) - F.col(y)
+    return rows.agg(F.count("*").alias("n"), F.sqrt(F.avg(off * off)).alias("rmse"), F.avg(off).alias("bias"), F.sqrt(F.avg(variance)).alias("perfect"))
+
+
+def likelihoods(chances: DataFrame, matches: DataFrame) -> DataFrame:
+    """One row: n, and the mean negative log likelihoods of outcomes and of either side's clean sheets; chances: match_id, home_win, draw,
+    away_win, home_clean_sheet, away_clean_sheet. Unplayed matches are left out; a chance is 1e-15 at least."""
+    rows = chances.join(matches.where("fthg is not null and ftag is not null").select("match_id", "fthg", "ftag"), "match_id")
+    loss = lambda c: -F.log(F.greatest(c, F.lit(1e-15)))
+    outcome = F.when(F.col("fthg") > F.col("ftag"), F.col("home_win")).when(F.col("fthg") == F.col("ftag"), F.col("draw")).otherwise(F.col("away_win"))
+    sheet = lambda c, goals: F.when(F.col(goals) == 0, F.col(c)).otherwise(1 - F.col(c))
+    return rows.agg(F.count("*").alias("n"), F.avg(loss(outcome)).alias("outcome"), F.avg(loss(sheet("home_clean_sheet", "ftag"))).alias("home_sheet"), F.avg(loss(sheet("away_clean_sheet", "fthg"))).alias("away_sheet"))

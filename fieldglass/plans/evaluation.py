@@ -116,3 +116,16 @@ def a21(s, d):
 select w, round(loss,6) loss, w=(select arg_min(w, loss) from m) as best from m""")
 def e14(s, d):
     return ev.blend_search(t.forecasts(s, d).withColumn("q", F.lit(0.5)), [0.0, 0.25, 0.5, 0.75, 1.0], "round")
+
+
+@query("e10_against_perfect", "select count(*) n, round(sqrt(avg((p-y)*(p-y))),6) as rmse, round(avg(p-y),6) as bias, round(sqrt(avg(p*(1-p))),6) as perfect from forecasts")
+def e10_perfect(s, d):
+    out = ev.against_perfect(t.forecasts(s, d), "p", F.col("p") * (1 - F.col("p")), "y")
+    return out.select("n", *[F.round(c, 6).alias(c) for c in ("rmse", "bias", "perfect")])
+
+
+@query("e7_likelihoods", f"""with {RATES}, w as (select match_id, sum(p) filter (i>j) h, sum(p) filter (i=j) d, sum(p) filter (i<j) a, sum(p) filter (j=0) hs_, sum(p) filter (i=0) as_ from grid group by 1), k as (select w.*, fthg, ftag from w join matches using (match_id) where fthg is not null)
+select count(*) n, round(avg(-ln(case when fthg>ftag then h when fthg=ftag then d else a end)),6) as outcome, round(avg(-ln(case when ftag=0 then hs_ else 1-hs_ end)),6) as home_sheet, round(avg(-ln(case when fthg=0 then as_ else 1-as_ end)),6) as away_sheet from k""")
+def e7_likelihoods(s, d):
+    out = ev.likelihoods(markets.exact_markets(rates(s, d)), t.matches(s, d))
+    return out.select("n", *[F.round(c, 6).alias(c) for c in ("outcome", "home_sheet", "away_sheet")])
