@@ -111,7 +111,10 @@ def l7(s, d):
     return lg.reported(changed).select("player_id", "claim_type", "flip", "reported")
 
 
-@query("w17_free_transfers", """with recursive u as (select team_id, season w, (count(*)%4)::int used from appearances group by 1,2), f as (select team_id, min(w) w, 1 free from u group by 1 union all select u.team_id, n.w, least(5, greatest(0, f.free-u.used)+1) from f join u on u.team_id=f.team_id and u.w=f.w join u n on n.team_id=f.team_id and n.w=(select min(x.w) from u x where x.team_id=f.team_id and x.w>f.w)) select team_id, w as season, free from f""")
+FREE = """with recursive u as (select team_id, season w, (count(*)%4)::int used from appearances group by 1,2), f as (select team_id, min(w) w, 1 free from u group by 1 union all select u.team_id, n.w, least(5, greatest(0, f.free-u.used)+1) from f join u on u.team_id=f.team_id and u.w=f.w join u n on n.team_id=f.team_id and n.w=(select min(x.w) from u x where x.team_id=f.team_id and x.w>f.w))"""
+
+
+@query("w17_free_transfers", FREE + " select team_id, w as season, free from f")
 def w17(s, d):
     used = t.appearances(s, d).groupBy("team_id", "season").agg((F.count("*") % 4).cast("int").alias("used"))
     return lg.carried(used, "team_id", "season", "used")

@@ -6,6 +6,7 @@ from fieldglass.operators import rates_model as rm
 from fieldglass.sources import tables as t
 
 from .backtest import BOOK, book_forecasts
+from .ledger import FREE, w17
 from .markets import RATES, rates
 from .registry import query
 
@@ -16,10 +17,10 @@ def f42(s, d):
     return t.matches(s, d).select("match_id", F.round(rm.horizon_factor(k), 6).alias("factor"), F.round(rm.reversion(k), 6).alias("revert"), F.round(rm.return_ramp(k - 3), 6).alias("ramp"))
 
 
-@query("f49_saved_transfers", "select distinct k as free, ([0.0::double,1.75,3.1,4.1,4.7,5.0])[k+1] as worth from (select (match_id%6)::int k from matches)")
+@query("f49_saved_transfers", FREE + " select team_id, w as season, ([0.0::double,1.75,3.1,4.1,4.7,5.0])[free+1] as worth from f")
 def f49(s, d):
-    free = (F.col("match_id") % 6).cast("int")
-    return t.matches(s, d).select(free.alias("free")).distinct().select("free", F.round(rm.saved_value(F.col("free")), 6).alias("worth"))
+    """What each club's free transfers are worth in each season if it saves them."""
+    return w17(s, d).select("team_id", "season", F.round(rm.saved_value(F.col("free")), 6).alias("worth"))
 
 
 @query("m9_roles", """with k as (select player_id, position, count(*) filter (minutes>=85) f, count(*) filter (minutes>=45 and minutes<85) p, count(*) filter (minutes>0 and minutes<45) o, count(*) filter (minutes<=0) u, count(*) n from appearances group by 1,2), b as (select position, sum(f)/sum(n) bf, sum(p)/sum(n) bp, sum(o)/sum(n) bo, sum(u)/sum(n) bu from k group by 1)
