@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .common import PART, released
+
 #: Mean words of a chunk, words of the rolling window, bounds of a chunk.
 MEAN, WINDOW, LEAST, MOST = 64, 4, 16, 256
 #: Entries of each generation of a worker's memory: pieces, chunks, joins.
@@ -239,14 +241,19 @@ def encoded(text: Column, path: str) -> Column:
     path: the tokenizer's file, found at that path by every executor.
     """
 
-    @pandas_udf("ids binary, decoded string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @released
+    def made_of(batches):
         own = coder(path)
         for texts in batches:
-            for made in own.encode_all([t or b"" for t in texts]):
-                yield pd.DataFrame(made, columns=["ids", "decoded"])
+            for at in range(0, len(texts), PART):
+                for made in own.encode_all([t or b"" for t in texts.iloc[at : at + PART]]):
+                    yield pd.DataFrame(made, columns=["ids", "decoded"])
         own.forget()
 
+    @pandas_udf("ids binary, decoded string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from made_of(batches)
+
     return run(text.cast("binary"))
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .common import PART, released
 from .trees import Forest, fit
 
 #: Labelled rows that the trees are fitted on at most, by hash; every document is judged.
@@ -70,9 +73,15 @@ def measured(text: Column) -> Column:
     """struct of the statistics of a whole text; a null text has none."""
     names = [c.split()[0] for c in STATISTICS.split(", ")]
 
+    @released
+    def rows(batches):
+        for texts in batches:
+            for at in range(0, len(texts), PART):
+                yield pd.DataFrame([statistics(t) for t in texts.iloc[at : at + PART]], columns=names)
+
     @pandas_udf(STATISTICS)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([statistics(t) for t in texts], columns=names)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from rows(batches)
 
     return run(text.cast("binary"))
 

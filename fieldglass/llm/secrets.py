@@ -6,6 +6,7 @@ import base64
 import json
 import re
 import zlib
+from collections.abc import Iterator
 from functools import cache
 
 import ahocorasick
@@ -13,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .common import PART, released
+
 #: Kinds in the order in which spans of one start stand.
 KINDS = ("assign", "access", "hex", "github", "npm", "jwt")
 BASE_KINDS = KINDS[:3]
@@ -104,14 +107,20 @@ def joined(found: list[tuple[int, int, str]]) -> str:
 def scanned(text: Column) -> Column:
     """struct(n_assign, n_access, n_hex, base, spans): counts and kind:start:end lists."""
 
+    def row(text: str | None) -> tuple:
+        found = spans(text)
+        base = [s for s in found if s[2] in BASE_KINDS]
+        return (*[sum(s[2] == k for s in base) for k in BASE_KINDS], joined(base), joined(found))
+
+    @released
+    def counted(batches):
+        for texts in batches:
+            for at in range(0, len(texts), PART):
+                yield pd.DataFrame([row(t) for t in texts.iloc[at : at + PART]], columns=["n_assign", "n_access", "n_hex", "base", "spans"])
+
     @pandas_udf("n_assign long, n_access long, n_hex long, base string, spans string")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            found = spans(text)
-            base = [s for s in found if s[2] in BASE_KINDS]
-            rows.append((*[sum(s[2] == k for s in base) for k in BASE_KINDS], joined(base), joined(found)))
-        return pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base", "spans"])
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from counted(batches)
 
     return run(text)
 
@@ -133,19 +142,25 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     columns are passed on whatever their names.
     """
 
+    def clean(text: str | None) -> str | None:
+        if text is None or not (found := spans(text)):
+            return text
+        out, at = [], 0
+        for a, b, _ in found:
+            if a >= at:
+                out += [text[at:a], mark]
+            at = max(at, b)
+        return "".join(out) + text[at:]
+
+    @released
+    def cleaned_texts(batches):
+        for texts in batches:
+            for at in range(0, len(texts), PART):
+                yield texts.iloc[at : at + PART].map(clean, na_action=None)
+
     @pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        def clean(text):
-            if text is None:
-                return None
-            out, at = [], 0
-            for a, b, _ in spans(text):
-                if a >= at:
-                    out += [text[at:a], mark]
-                at = max(at, b)
-            return "".join(out) + text[at:]
-
-        return texts.map(clean, na_action=None)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from cleaned_texts(batches)
 
     cleaned = docs.withColumn("text", run("text"))
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else cleaned
