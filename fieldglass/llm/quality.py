@@ -69,17 +69,24 @@ def statistics(text: bytes | None) -> tuple:
     )
 
 
-def measured(text: Column) -> Column:
-    """struct of the statistics of a whole text; a null text has none."""
+def measured(text: Column, forest: Forest | None = None) -> Column:
+    """struct of the statistics of a whole text, and `score`, the trees' probability of good quality (1 without trees); a null text has no words.
+
+    Both come from one worker, so a stage holds one for each task, not two.
+    """
     names = [c.split()[0] for c in STATISTICS.split(", ")]
 
+    def judged(texts: pd.Series) -> pd.DataFrame:
+        found = pd.DataFrame([statistics(t) for t in texts], columns=names)
+        return found.assign(score=1.0 if forest is None or found.empty else forest.probability(found[list(FEATURES)].to_numpy(np.float64)))
+
     @released
     def rows(batches):
         for texts in batches:
             for at in range(0, len(texts), PART):
-                yield pd.DataFrame([statistics(t) for t in texts.iloc[at : at + PART]], columns=names)
+                yield judged(texts.iloc[at : at + PART])
 
-    @pandas_udf(STATISTICS)
+    @pandas_udf(f"{STATISTICS}, score double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield from rows(batches)
 
@@ -108,18 +115,6 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> F
     return fit(table[list(FEATURES)].to_numpy(np.float64), y, list(FEATURES.values()))
 
 
-def scored(stats: str, forest: Forest | None) -> Column:
-    """Probability of good quality; 1 without trees."""
-    if forest is None:
-        return F.lit(1.0)
-
-    @pandas_udf("double")
-    def run(s: pd.DataFrame) -> pd.Series:
-        return pd.Series(forest.probability(s[list(FEATURES)].to_numpy(np.float64)))
-
-    return run(F.col(stats))
-
-
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """A row for each row of docs: doc (struct of its columns), stats, base_failed, score, kept.
 
@@ -129,8 +124,8 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFra
     docs with the names of results stay apart inside the struct.
     """
     forest = train(docs, labels)
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), measured(F.col("text")).alias("stats"))
-    rows = rows.withColumn("base_failed", base_failed("stats")).withColumn("score", scored("stats", forest))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), measured(F.col("text"), forest).alias("stats"))
+    rows = rows.withColumn("base_failed", base_failed("stats")).withColumn("score", F.col("stats.score"))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
 
