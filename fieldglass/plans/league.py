@@ -69,15 +69,15 @@ def w2(s, d):
     return features.ewm_features(rows(s, d))
 
 
-@query("w1_elo", """with o as (select *, match_id%25 lg, row_number() over (partition by match_id%25 order by match_date, match_id) rn from matches),
+@query("w1_elo", """with o as (select *, home_id//20*25+match_id%25 lg, row_number() over (partition by home_id//20*25+match_id%25 order by match_date, match_id) rn from matches),
 e as (select distinct lg, 0::bigint rn, null::bigint match_id, null::double eh, null::double ea, list_transform(range(20), lambda x: 1500.0::double) st, null::int season from o union all
-select lg, rn, match_id, r[home_id+1], r[away_id+1], list_transform(r, lambda x, i: x + case i-1 when home_id then mv when away_id then -mv else 0 end), season from (select *, case when fthg is null or ftag is null then 0 else
- 20*ln(greatest(abs(fthg-ftag),1)+1)*(case when fthg>ftag then 1 when fthg=ftag then 0.5 else 0 end-1/(1+power(10::double,(r[away_id+1]-(r[home_id+1]+50))/400))) end mv
+select lg, rn, match_id, r[home_id%20+1], r[away_id%20+1], list_transform(r, lambda x, i: x + case i-1 when home_id%20 then mv when away_id%20 then -mv else 0 end), season from (select *, case when fthg is null or ftag is null then 0 else
+ 20*ln(greatest(abs(fthg-ftag),1)+1)*(case when fthg>ftag then 1 when fthg=ftag then 0.5 else 0 end-1/(1+power(10::double,(r[away_id%20+1]-(r[home_id%20+1]+50))/400))) end mv
  from (select o.*, case when e.season is not null and o.season<>e.season then list_transform(e.st, lambda x: 0.67::double*x+0.33::double*1500) else e.st end r from e join o on o.lg=e.lg and o.rn=e.rn+1)))
 select match_id, round(eh,6) elo_home, round(ea,6) elo_away from e where rn>0""")
 def w1(s, d):
-    """Twenty-five leagues, each with teams of its own."""
-    e = features.elo(M(s, d).withColumn("league", F.col("match_id") % 25))
+    """Each twenty clubs play twenty-five leagues, a rating of a club in each."""
+    e = features.elo(M(s, d).withColumn("league", F.expr("home_id div 20 * 25 + match_id % 25")))
     return e.select("match_id", F.round("elo_home", 6).alias("elo_home"), F.round("elo_away", 6).alias("elo_away"))
 
 
