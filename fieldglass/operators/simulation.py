@@ -2,42 +2,85 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import markets
 
+#: Matches drawn at once in a task.
+BLOCK = 256
+
+
+def uniform(texts: Iterable[bytes]) -> np.ndarray:
+    """A number in [0, 1) of each text: the first 52 bits of its MD5."""
+    digests = b"".join([hashlib.md5(t).digest() for t in texts])
+    return (np.frombuffer(digests, ">u8")[::2] >> np.uint64(12)) / float(1 << 52)
+
 
-def uniform(*parts: Column | str) -> Column:
-    """A number in [0, 1) from the MD5 of the parts (columns, or texts as they are), joined by colons."""
-    text = F.concat_ws(":", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+def _running(home: np.ndarray, away: np.ndarray, rho: float, top: int) -> np.ndarray:
+    """(match, cell): running sums of the chances of each score, by home goals, then away goals; low scores corrected."""
+    goals = np.arange(top + 1)
+    pmf = lambda r: np.exp(-r)[:, None] * r[:, None] ** goals / np.cumprod(np.maximum(goals, 1.0))
+    cells = pmf(home)[:, :, None] * pmf(away)[:, None, :]
+    for i, j, factor in ((0, 0, 1 - home * away * rho), (0, 1, 1 + home * rho), (1, 0, 1 + away * rho), (1, 1, 1 - rho)):
+        cells[:, i, j] = np.maximum(cells[:, i, j] * factor, 0.0)
+    flat = cells.reshape(len(home), -1)
+    return np.cumsum(flat / flat.sum(1, keepdims=True), 1)
 
 
-def scores(expected: DataFrame, draws: int, rho: float = -0.05, top: int = 7) -> DataFrame:
-    """(match_id, draw, i, j): `draws` scores of each match by the inverse of its joint distribution.
+def scores(expected: DataFrame, draws: int, rho: float = -0.05, top: int = 7, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(match_id, draw, i, j): `draws` scores of each match by the inverse of its joint distribution; columns `keep` are passed on.
 
     expected: match_id, home, away (expected goals). The running sums are made once a match and every draw looks its
-    place up in them; nothing is shuffled.
+    place up in them, by the number of the text match:draw:score. Nothing is shuffled: deal the matches out before (spread).
     """
-    size = top + 1
-    start = F.array().cast("array<double>")
-    add = lambda sums, c: F.concat(sums, F.array(F.coalesce(F.try_element_at(sums, F.lit(-1)), F.lit(0.0)) + c["p"]))
-    running = markets.score_cells(expected, rho, top).select("match_id", F.transform("cells", lambda c: F.struct((c["p"] / F.col("total")).alias("p"))).alias("cells"))
-    running = running.select("match_id", F.aggregate("cells", start, add).alias("sums"))
-    drawn = running.select("match_id", "sums", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    drawn = drawn.withColumn("u", uniform(F.col("match_id"), F.col("draw"), "score"))
-    cell = F.least(F.lit(size * size - 1), F.size(F.filter("sums", lambda x: x <= F.col("u"))))
-    return drawn.select("match_id", "draw", cell.alias("cell")).select("match_id", "draw", F.floor(F.col("cell") / size).cast("int").alias("i"), (F.col("cell") % size).cast("int").alias("j"))
+    size, kept = top + 1, ("match_id", *keep)
+    rows = expected.select(*kept, F.col("home").cast("double"), F.col("away").cast("double"))
+    ends = [f":{d}:score".encode() for d in range(draws)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                n = part.num_rows
+                sums = _running(*(part.column(c).to_numpy(zero_copy_only=False) for c in (-2, -1)), rho, top)
+                u = uniform(m + end for m in (str(m).encode() for m in part.column(0).to_pylist()) for end in ends).reshape(n, draws)
+                cell = np.zeros((n, draws), np.int32)
+                for k in range(size * size - 1):
+                    cell += sums[:, k, None] <= u
+                whose = pa.array(np.repeat(np.arange(n), draws))
+                made = np.tile(np.arange(draws, dtype=np.int32), n), cell.ravel() // size, cell.ravel() % size
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(whose) for c in range(len(kept))), *map(pa.array, made)], [*kept, "draw", "i", "j"])
+
+    types = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
+    return rows.mapInArrow(run, f"{types}, draw int, i int, j int")
+
+
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """rows dealt out by `by` over the session's shuffle partitions, a number that stays: few bytes here are many draws later."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
 def half_time(drawn: DataFrame, share: float = 0.45) -> DataFrame:
-    """Adds half_i, half_j: each goal falls in the first half by a draw of its own."""
+    """Adds half_i, half_j: each goal falls in the first half by a draw of its own, of the text match:draw:side:goal."""
+    names, schema = drawn.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in drawn.schema)
 
-    def first(goals: str, side: str) -> Column:
-        early = F.filter(F.sequence(F.lit(1), F.greatest(F.col(goals), F.lit(1))), lambda g: (g <= F.col(goals)) & (uniform(F.col("match_id"), F.col("draw"), side, g) < share))
-        return F.size(early)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts = [f"{m}:{d}:".encode() for m, d in zip(batch.column("match_id").to_pylist(), batch.column("draw").to_pylist())]
+            halves = []
+            for goals, side in (("i", b"home:"), ("j", b"away:")):
+                n = batch.column(goals).to_numpy(zero_copy_only=False)
+                ends = [side + str(g).encode() for g in range(1, int(n.max(initial=0)) + 1)]
+                early = uniform(s + end for s, k in zip(starts, n.tolist()) for end in ends[:k]) < share
+                halves.append(pa.array(np.bincount(np.repeat(np.arange(len(n)), n), early, len(n)).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *halves], [*names, "half_i", "half_j"])
 
-    return drawn.withColumns({"half_i": first("i", "home"), "half_j": first("j", "away")})
+    return drawn.mapInArrow(run, f"{schema}, half_i int, half_j int")
 
 
 def market_shares(drawn: DataFrame) -> DataFrame:
@@ -53,9 +96,28 @@ def round_points(drawn: DataFrame, fixtures: DataFrame) -> DataFrame:
     fixtures: match_id, round, home_id, away_id.
     """
     both = drawn.join(fixtures, "match_id")
-    points = lambda mine, other: F.when(F.col(mine) > F.col(other), 3).when(F.col(mine) == F.col(other), 1).otherwise(0)
-    sides = F.explode(F.array(F.struct(F.col("home_id").alias("team"), points("i", "j").alias("points")), F.struct(F.col("away_id").alias("team"), points("j", "i").alias("points"))))
-    per = both.select("round", "draw", sides.alias("s")).groupBy("round", "s.team", "draw").agg(F.sum("s.points").alias("points"), F.count("*").alias("matches"))
+    sides = F.explode(F.array(F.struct(F.col("home_id").alias("team"), _points("i", "j").alias("points")), F.struct(F.col("away_id").alias("team"), _points("j", "i").alias("points"))))
+    return _by_round(both.select("round", "draw", sides.alias("s")).select("round", "draw", "s.team", "s.points"))
+
+
+def simulated_rounds(expected: DataFrame, fixtures: DataFrame, draws: int) -> DataFrame:
+    """What round_points() makes of scores(): the matches of a team's round are brought together before they are drawn.
+
+    No draw is joined, and a team's draws of a round are added up in one task before they are shuffled: a row a team,
+    round and draw. Either side draws the match for itself, with the same scores, as they depend on keys alone.
+    """
+    sides = F.explode(F.array(F.struct(F.col("home_id").alias("team"), F.lit(True).alias("at_home")), F.struct(F.col("away_id").alias("team"), F.lit(False).alias("at_home"))))
+    rows = expected.join(fixtures, "match_id").select("match_id", "home", "away", "round", sides.alias("s")).select("match_id", "home", "away", "round", "s.*")
+    drawn = scores(spread(rows, "round", "team"), draws, keep=("round", "team", "at_home"))
+    return _by_round(drawn.select("round", "team", "draw", F.when(F.col("at_home"), _points("i", "j")).otherwise(_points("j", "i")).alias("points")))
+
+
+def _points(mine: str, other: str) -> Column:
+    return F.when(F.col(mine) > F.col(other), 3).when(F.col(mine) == F.col(other), 1).otherwise(0)
+
+
+def _by_round(sides: DataFrame) -> DataFrame:
+    per = sides.groupBy("round", "team", "draw").agg(F.sum("points").alias("points"), F.count("*").alias("matches"))
     return per.groupBy("round", "team").agg(
         F.max("matches").alias("matches"), F.round(F.avg("points"), 6).alias("mean"), F.round(F.stddev_pop("points"), 6).alias("sd"),
         F.round(F.avg((F.col("points") >= 3).cast("double")), 6).alias("p_ge_3"), F.round(F.percentile("points", F.lit(0.9)), 6).alias("q90"),

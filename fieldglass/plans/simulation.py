@@ -10,6 +10,7 @@ from .registry import query
 
 #: Draws of each match.
 DRAWS = 50
+QUERIES_OF_DRAWS = ("x5_a27_simulated_markets", "x2_half_time_scores", "x10_round_points")
 DRAWN = f"""{RATES}, cum as (select match_id, i, j, sum(p) over (partition by match_id order by i, j) hi, count(*) over (partition by match_id order by i, j) n, p from grid),
 u as (select match_id, draw, ('0x'||substr(md5(match_id||':'||draw||':score'),1,13))::bigint/4503599627370496.0::double u from rates, range({DRAWS}) d(draw)),
 band as (select match_id, i, j, coalesce(lag(hi) over (partition by match_id order by i, j),0) lo, case when n=64 then 2 else hi end hi from cum),
@@ -19,7 +20,7 @@ SHARE = lambda c: f"round(avg(case when {c} then 1.0::double else 0 end),6)"  #
 
 @query("x5_a27_simulated_markets", f"with {DRAWN} select match_id, count(*) draws, {SHARE('i>j')} home_win, {SHARE('i=j')} draw_share, {SHARE('i<j')} away_win, {SHARE('i+j>2')} over_2_5, {SHARE('i>0 and j>0')} btts, {SHARE('j=0')} home_clean_sheet from drawn group by match_id")
 def x5(s, d):
-    return simulation.market_shares(simulation.scores(rates(s, d), DRAWS))
+    return simulation.market_shares(simulation.scores(simulation.spread(rates(s, d), "match_id"), DRAWS))
 
 
 def _early(goals, side):
@@ -28,7 +29,7 @@ def _early(goals, side):
 
 @query("x2_half_time_scores", f"with {DRAWN}, h as (select *, {_early('i', 'home')} hi, {_early('j', 'away')} hj from drawn) select match_id, sum(hi)::bigint half_home, sum(hj)::bigint half_away, {SHARE('hi>hj and i<=j')} lead_lost from h group by match_id")
 def x2(s, d):
-    rows = simulation.half_time(simulation.scores(rates(s, d), DRAWS))
+    rows = simulation.half_time(simulation.scores(simulation.spread(rates(s, d), "match_id"), DRAWS))
     lost = (F.col("half_i") > F.col("half_j")) & (F.col("i") <= F.col("j"))
     return rows.groupBy("match_id").agg(F.sum("half_i").alias("half_home"), F.sum("half_j").alias("half_away"), F.round(F.avg(lost.cast("double")), 6).alias("lead_lost"))
 
@@ -39,7 +40,7 @@ p as (select round, team, draw, sum(pts)::bigint points, count(*) matches from s
 select round::int round, team, max(matches) matches, round(avg(points),6) mean, round(stddev_pop(points),6) sd, {SHARE('points>=3')} p_ge_3, round(quantile_cont(points,0.9),6) q90 from p group by 1,2""")
 def x10(s, d):
     fixtures = t.matches(s, d).select("match_id", (F.col("season") * 100 + F.weekofyear("match_date")).alias("round"), "home_id", "away_id")
-    return simulation.round_points(simulation.scores(rates(s, d), DRAWS), fixtures)
+    return simulation.simulated_rounds(rates(s, d), fixtures, DRAWS)
 
 
 @query("m2_pair_scores", "select season, home_id, away_id, count(*)::double n, sum(fthg)::double hg, sum(ftag)::double ag, sum((fthg=0 and ftag=0)::int)::double n00, sum((fthg=0 and ftag=1)::int)::double n01, sum((fthg=1 and ftag=0)::int)::double n10, sum((fthg=1 and ftag=1)::int)::double n11 from matches where fthg is not null group by 1,2,3")
