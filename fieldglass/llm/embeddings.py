@@ -12,8 +12,8 @@ from .common import components, cut
 
 #: Rows that the centroids are fitted on; every row is assigned and compared.
 SAMPLE = 20_000
-#: Vectors of a cell, on average, and of a block of one product.
-CELL, BLOCK = 4000, 1024
+#: Vectors of one label in a cell, on average; vectors, and components, that a block holds at most; vectors placed, and multiplied, at once.
+CELL, BLOCK, COMPONENTS, PLACED, STRIP = 32_768, 32_768, 1 << 21, 1024, 256
 
 
 def unit(rows: pd.Series) -> np.ndarray:
@@ -50,7 +50,7 @@ def _usable(vectors: DataFrame) -> DataFrame:
 
 
 def _assign(centres: np.ndarray, least: float):
-    """(label, size, id, embedding, n, home, cell, core, reach): a row for its own cell and for each cell of higher number that may
+    """(label, size, id, embedding, n, home, cell, core, near): a row for its own cell and for each cell of higher number that may
     hold a partner.
 
     A partner y of x has |x - y|^2 <= 2 - 2 least. If y's cell is j and x's is i, y lies on j's side of the plane
@@ -69,8 +69,8 @@ def _assign(centres: np.ndarray, least: float):
                     # of another length than the sample's: one cell, compared whole
                     yield part.assign(home=True, cell=-1, core=False, near=0.0)
                     continue
-                for at in range(0, len(part), BLOCK):
-                    rows = part.iloc[at : at + BLOCK]
+                for at in range(0, len(part), PLACED):
+                    rows = part.iloc[at : at + PLACED]
                     dots = unit(rows["embedding"]) @ centres.T
                     home, own = dots.argmax(1), dots.max(1)
                     reach = own[:, None] - dots <= far * gap[home]
@@ -81,33 +81,81 @@ def _assign(centres: np.ndarray, least: float):
     return run
 
 
+def _joined(hit: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The names that rows and columns bear, sorted, and the least name that each reaches by hits; equal names are one."""
+    old, place = np.unique(np.concatenate((rows, columns)), return_inverse=True)
+    least, far = old, np.iinfo(np.int64).max
+    while True:
+        r, c = least[place[: len(rows)]], least[place[len(rows) :]]
+        r = np.minimum(r, np.where(hit, c, far).min(1, initial=far))
+        c = np.minimum(c, np.where(hit, r[:, None], far).min(0, initial=far))
+        new = least.copy()
+        np.minimum.at(new, place, np.concatenate((r, c)))
+        if (new == least).all():
+            return old, least
+        least = new
+
+
 def _compare(least: float):
-    """Counts and links of one pair of blocks of a cell; pairs of two core rows are counted without a product."""
+    """Of one pair of blocks of a cell, each row with its number of links and the least id that links in the pair reach.
+    A block against itself comes once, as the right one."""
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"id": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64"), "to": pd.Series(dtype="int64")})
+        same = key[-1] == key[-2]
+        left = right if same else left
         if left.empty or right.empty:
-            return empty
+            return pd.DataFrame({"id": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64"), "to": pd.Series(dtype="int64")})
         x, y = unit(left["embedding"]), unit(right["embedding"])
-        hit = x @ y.T >= least
-        hit &= ~(left["core"].to_numpy()[:, None] & right["core"].to_numpy()[None])
-        hit &= left["home"].to_numpy()[:, None] | right["home"].to_numpy()[None]
-        a, b = left["id"].to_numpy(), right["id"].to_numpy()
-        same = key[-1] == key[-2]
-        if same:
-            hit &= a[:, None] != b[None]
-        out = []
-        for ids, others, got, n in ((a, b, hit, right["n"]), (b, a, hit.T, left["n"])):
-            rows = got.any(1)
-            if rows.any():
-                out.append(pd.DataFrame({"id": ids[rows], "n": (got[rows] * n.to_numpy()).sum(1), "to": np.where(got[rows], others, np.iinfo(np.int64).max).min(1)}))
+        ids, many = (np.concatenate([side[c].to_numpy() for side in ([right] if same else [right, left])]) for c in ("id", "n"))
+        first = 0 if same else len(y)  # of the left rows
+        links, names = np.zeros(len(ids), np.int64), ids.copy()
+        for at in range(0, len(x), STRIP):
+            hit = x[at : at + STRIP] @ y.T >= least
             if same:
-                break
-        return pd.concat(out) if out else empty
+                hit[np.arange(len(hit)), at + np.arange(len(hit))] = False
+            i, j = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
+            if not len(i):
+                continue
+            hit, i = hit[np.ix_(i, j)], i + at + first
+            links[i] += hit @ many[j]
+            if not same:
+                links[j] += many[i] @ hit
+            old, new = _joined(hit, names[i], names[j])
+            place = np.minimum(np.searchsorted(old, names), len(old) - 1)
+            names = np.where(old[place] == names, new[place], names)
+        return pd.DataFrame({"id": ids, "n": links, "to": names})[links > 0]
 
     return run
 
 
+def _blocks(placed: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the comparisons by (label, size, cell, i, j): a row is sent once for each block that its own is held against."""
+    cell = ["label", "size", "cell"]
+    # blocks: the cell's own rows outside the core against each other, and against them and the core all rows from other cells
+    own, visits = F.col("home") & ~F.col("core"), ~F.col("home")
+    room = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(COMPONENTS) / F.col("size"))))
+    blocks = lambda which: F.ceil(F.count_if(which) / F.max(room)).cast("int")
+    # a core row lies within `edge` of the centroid: nobody farther than that and the link's angle reaches it
+    about = placed.groupBy(*cell).agg(F.min(F.when(F.col("core"), F.col("near"))).alias("edge"), F.greatest(F.lit(1), blocks(own)).alias("own"), F.greatest(F.lit(1), blocks(F.col("core"))).alias("cores"), blocks(visits).alias("visits"))
+    rows = placed.join(about, cell)
+    angle = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("near"))))
+    edge = F.acos(F.least(F.lit(1.0), "edge"))
+    rows = rows.withColumn("meets", ~F.col("core") & F.coalesce(angle <= edge + float(np.arccos(least)) + 1e-6, F.lit(False)))
+    # own blocks are numbered from 0, the visitors' follow, the core's are below 0; rows are dealt by hash
+    dealt = lambda count: F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
+    rows = rows.withColumn("block", F.when(own, dealt("own")).when(visits, F.col("own") + dealt("visits")).otherwise(-1 - dealt("cores")))
+    none = F.array().cast("array<int>")
+    span = lambda first, last: F.when(first <= last, F.sequence(first, last)).otherwise(none)
+    outer = rows.where("not core")
+    fields = [*cell, "id", "embedding", "n"]
+    last, guests = F.col("own") - 1, span(F.col("own"), F.col("own") + F.col("visits") - 1)
+    core_blocks = F.when(F.col("meets"), F.transform(F.sequence(F.lit(1), "cores"), lambda v: -v)).otherwise(none)
+    left = outer.select(*fields, F.col("block").alias("i"), F.explode(F.concat(span(F.when(F.col("home"), F.col("block") + 1).otherwise(F.lit(0)), last), core_blocks)).alias("j"))
+    right = rows.where("home").select(*fields, F.explode(F.concat(span(F.lit(0), F.when(F.col("core"), last).otherwise(F.col("block"))), guests)).alias("i"), F.col("block").alias("j"))
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # both sides come from one table
+    return left, right
+
+
 def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     """One row per row of `vectors` (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
@@ -122,35 +170,21 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     total = usable.count()
     if total == 0:
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    size = usable.groupBy("size").count().orderBy(F.desc("count"), "size").first()["size"]
+    groups = usable.groupBy("label", "size").count().groupBy("size").agg(F.sum("count").alias("rows"), F.max("count").alias("most"))
+    size, _, most = groups.orderBy(F.desc("rows"), "size").first()
     sample = usable.where(F.col("size") == size).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("embedding").toPandas()
-    centres = spherical_kmeans(unit(sample["embedding"]), min(max(8, total // CELL), 1024, max(1, len(sample) // 8)))
+    # only vectors of one label meet: cells are as many as its largest label needs, and a label that fits in one block is sent once
+    centres = spherical_kmeans(unit(sample["embedding"]), min(max(1, most // CELL), 1024, max(1, len(sample) // 8)))
 
     kind = usable.schema["embedding"].dataType.simpleString()
     label = usable.schema["label"].dataType.simpleString()
     placed = cut(usable.select("label", "size", "id", "embedding", "n").mapInPandas(_assign(centres, least), f"label {label}, size int, id long, embedding {kind}, n long, home boolean, cell int, core boolean, near double"))
 
     cell = ["label", "size", "cell"]
-    cores = placed.where("core").groupBy(*cell).agg(F.sum("n").alias("all"), F.min("id").alias("to"), F.min("near").alias("edge"))
+    cores = placed.where("core").groupBy(*cell).agg(F.sum("n").alias("all"), F.min("id").alias("to"))
     core_links = placed.where("core").join(cores, cell).select("id", (F.col("all") - F.col("n")).alias("n"), "to")
 
-    # blocks: rows outside the core against all rows that may reach them
-    rows = placed.join(cores.select(*cell, "edge"), cell, "left")
-    # a core row lies within `edge` of the centroid: nobody farther than that and the link's angle reaches it
-    angle = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("near"))))
-    edge = F.acos(F.least(F.lit(1.0), "edge"))
-    rows = rows.withColumn("meets", ~F.col("core") & F.coalesce(angle <= edge + float(np.arccos(least)) + 1e-6, F.lit(False)))
-    counts = placed.groupBy(*cell).agg((F.floor(F.sum(F.when(~F.col("core"), 1).otherwise(0)) / BLOCK) + 1).cast("int").alias("blocks"), (F.floor(F.sum(F.when(F.col("core"), 1).otherwise(0)) / BLOCK) + 1).cast("int").alias("core_blocks"))
-    # one block in about BLOCK rows of a cell, by hash
-    rows = rows.join(counts, cell).withColumn("block", F.when(F.col("core"), -1 - F.pmod(F.xxhash64("id"), "core_blocks")).otherwise(F.pmod(F.xxhash64("id"), "blocks")).cast("int"))
-    outer = rows.where("not core")
-    fields = [*cell, "id", "embedding", "n", "home", "core"]
-    last = F.col("blocks") - 1
-    left = outer.select(*fields, F.col("block").alias("i"), F.explode(F.sequence("block", last)).alias("j"))
-    left = left.unionByName(outer.where("meets").select(*fields, F.col("block").alias("i"), F.explode(F.transform(F.sequence(F.lit(1), "core_blocks"), lambda v: -v)).alias("j")))
-    right = outer.select(*fields, F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"))
-    right = right.unionByName(rows.where("core").select(*fields, F.explode(F.sequence(F.lit(0), last)).alias("i"), F.col("block").alias("j")))
-    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # both sides come from one table
+    left, right = _blocks(placed, least)
     keys = [*cell, "i", "j"]
     crossed = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_compare(least), "id long, n long, to long")
     found = cut(crossed.unionByName(core_links))

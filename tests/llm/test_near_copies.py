@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from fieldglass.llm import embeddings, simhash
 from fieldglass.llm.queries import QUERIES
@@ -144,3 +145,40 @@ def test_embedding_dense_and_odd_rows(spark):
     assert sorted(map(tuple, embeddings.near_duplicates(df).collect())) == plain_links(rows)
     assert embeddings.near_duplicates(df.where("vec_id < 0")).collect() == []
     assert embeddings.near_duplicates(df.where("vec_id = 2000")).collect() == [(2000, 0, 2000, True)]
+
+
+@pytest.mark.parametrize("cell, block", [(30, 8), (30, 500), (1000, 500)])
+def test_visitors_of_cells_meet_their_own_rows(spark, monkeypatch, cell, block):
+    """Several cells of a label, with a dense core, rings and rows between them, in one block or in many."""
+    monkeypatch.setattr(embeddings, "CELL", cell)
+    monkeypatch.setattr(embeddings, "BLOCK", block)
+    rng, rows = np.random.default_rng(11), []
+    for centre, spread in [(c, s) for c in rng.normal(size=(3, 5)) for s in (0.02, 0.2, 0.5)]:
+        rows += [(len(rows) + k, (centre + spread * rng.normal(size=5)).astype(np.float32).tolist(), int(rng.integers(2))) for k in range(50)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert sorted(map(tuple, embeddings.near_duplicates(df).collect())) == plain_links(rows)
+
+
+def test_vectors_are_sent_once_while_a_label_fits_in_a_block(spark, monkeypatch):
+    """Vectors in all directions, which no cell leaves out: what is sent for comparison does not grow faster than the table."""
+    sent, blocks = [], embeddings._blocks
+
+    def counted(*args):
+        sides = blocks(*args)
+        sent.append(sum(side.count() for side in sides))
+        return sides
+
+    monkeypatch.setattr(embeddings, "_blocks", counted)
+    x = np.random.default_rng(3).normal(size=(12_000, 4)).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": x.tolist(), "label": np.arange(len(x)) % 4}), "vec_id long, embedding array<float>, label int")
+    for n in (3000, 12_000):
+        assert embeddings.near_duplicates(df.where(F.col("vec_id") < n)).count() == n
+    assert sent[0] <= 1.1 * 3000 and sent[1] <= 1.1 * 12_000
+
+
+def test_chain_whose_middle_link_is_neither_ends_least(spark):
+    """1-10, 5-10, 2-5: the link of 5 and 10 is the least of neither, and joins all four."""
+    angles = {1: 0, 10: 20, 5: 40, 2: 60}
+    rows = [(i, [float(np.cos(np.radians(a))), float(np.sin(np.radians(a)))], 1) for i, a in angles.items()]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert sorted(map(tuple, embeddings.near_duplicates(df).collect())) == plain_links(rows) == [(1, 1, 1, True), (2, 1, 1, False), (5, 2, 1, False), (10, 2, 1, False)]
