@@ -21,6 +21,8 @@ FLUSH, REMEMBERED = 200_000, 100_000
 STEP, TEXT = 1 << 19, 4 << 20
 #: Bits of a filter for each group it holds, and at most (16 MB).
 BITS, MOST_BITS = 16, 1 << 27
+#: Bits of a piece of the filter: the tasks make pieces, the driver only lays them side by side.
+PIECE = 1 << 17
 #: Parts that a language's ranking is cut into.
 PARTS = 64
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
@@ -127,12 +129,17 @@ class Filter:
                 g = batch.column(0)
                 if not len(g):
                     continue
-                at = np.concatenate(_places(g.flatten().to_numpy(zero_copy_only=False).reshape(len(g), -1), bits))
-                yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(5)).astype(np.int64)), pa.array(np.left_shift(1, (at & np.uint64(31)).astype(np.int64)))], ["slot", "mask"])
+                at = np.unique(np.concatenate(_places(g.flatten().to_numpy(zero_copy_only=False).reshape(len(g), -1), bits)))
+                yield pa.RecordBatch.from_arrays([pa.array((at // np.uint64(PIECE)).astype(np.int32)), pa.array((at % np.uint64(PIECE)).astype(np.int32))], ["piece", "bit"])
 
-        slots = frequent.select("g").mapInArrow(run, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toPandas()
-        self.bits, self.map = bits, np.zeros(bits // 32, np.uint32)
-        self.map[slots["slot"].to_numpy(np.int64)] = slots["mask"].to_numpy(np.int64).astype(np.uint32)
+        def pieces(key: tuple, part: pa.Table) -> pa.Table:
+            held = np.zeros(PIECE, bool)
+            held[part.column("bit").to_numpy()] = True
+            return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "map": pa.array([np.packbits(held, bitorder="little").tobytes()], pa.binary())})
+
+        self.bits, self.map = bits, np.zeros(max(bits, PIECE) // 32, np.uint32)
+        for piece, part in frequent.select("g").mapInArrow(run, "piece int, bit int").groupBy("piece").applyInArrow(pieces, "piece int, map binary").collect():
+            self.map[piece * (PIECE // 32) :][: PIECE // 32] = np.frombuffer(part, "<u4")
         self.session = frequent.sparkSession
         self.shared = self.session.sparkContext.broadcast(self.map)
 

@@ -114,3 +114,19 @@ def test_query_matches_sql(spark, medium):
     cols = "lang, rank, phrase, a, l, r, n, score"
     rows = QUERIES["op13_phrases"](spark, medium).select(*cols.split(", ")).collect()
     assert sorted(map(tuple, rows)) == sorted(con.execute(f"select {cols} from ({ORACLES['op13_phrases']})").fetchall())
+
+
+def test_filter_reaches_the_driver_in_whole_pieces(spark, monkeypatch):
+    """A few bytes for each piece of the map, not a row for each slot; every group passes, few others do."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    monkeypatch.setattr(ph, "PIECE", 1 << 8)
+    came, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "toPandas", lambda df: pytest.fail("slots sent one by one"))
+    monkeypatch.setattr(DataFrame, "collect", lambda df: came.extend(rows := collect(df)) or rows)
+    rng = np.random.default_rng(2)
+    groups = rng.integers(-(1 << 62), 1 << 62, (3000, 2))
+    frequent = spark.createDataFrame([("en", g) for g in groups.tolist()], "lang string, g array<bigint>")
+    made = ph.Filter(frequent)
+    assert len(came) == made.bits >> 8 and all(len(r["map"]) == 32 for r in came)
+    assert made.passes()(groups).all() and made.passes()(rng.integers(-(1 << 62), 1 << 62, (3000, 2))).mean() < 0.05
