@@ -64,6 +64,20 @@ def test_transfers_join_on_more_than_the_position(spark):
     assert any("out_xp" in line and "limit" in line for line in plan.splitlines() if line.lstrip("+- :").startswith("Join Inner"))
 
 
+def test_transfers_do_not_grow_with_the_clubs(spark):
+    """One ranking for all clubs with room; only full clubs are met by club. Of two a club at most, as by brute force."""
+    rows, owned, df = squad(spark)
+    plan = players.transfers(df.where("player_id < 12"), df, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "in_team" not in "".join(line for line in plan.splitlines() if line.lstrip("+- :").startswith("Window"))
+    held = {c: sum(r[2] == c for r in owned) for c in range(6)}
+    want = []
+    for o in owned:
+        found = [(-round(i[4] - o[4], 6), i[0]) for i in rows[12:] if i[1] == o[1] and i[3] <= o[3] + 2 and i[4] > o[4] and held[i[2]] - (i[2] == o[2]) < 2]
+        want += [(o[0], i, pytest.approx(-g), k + 1) for k, (g, i) in enumerate(sorted(found)[:3])]
+    got = players.transfers(df.where("player_id < 12"), df, 2, per_club=2).orderBy("out_id", "rank").collect()
+    assert want and 2 in held.values() and list(map(tuple, got)) == want
+
+
 def test_points_of_one_place_meet_once(spark):
     """3,000 points and marks on 12 places: 144 pairs of places at most meet, not 9 million."""
     rows = [(n, float(n % 4), float(n % 3)) for n in range(3000)]
