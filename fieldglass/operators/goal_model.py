@@ -21,10 +21,43 @@ def pair_scores(matches: DataFrame, by: str, decay: float = 0.0) -> DataFrame:
     return played.withColumn("w", w).groupBy(by, "home_id", "away_id").agg(*sums, at(0, 0), at(0, 1), at(1, 0), at(1, 1))
 
 
-def _likelihood(x: np.ndarray, theta: np.ndarray, rho: float, c: dict) -> tuple[float, np.ndarray, np.ndarray]:
+class Design:
+    """The matrix of the log rates, two rows a pair (the home side's, then the away side's), as places: a row holds its
+    side's attack, the other's defence turned, the level, and the home edge if at home. Never spelt out, so memory grows with the pairs."""
+
+    def __init__(self, h: np.ndarray, a: np.ndarray, teams: int):
+        self.attack, self.defence, self.t, self.half = np.concatenate((h, a)), np.concatenate((a, h)), teams, len(h)
+
+    def times(self, theta: np.ndarray) -> np.ndarray:
+        out = theta[self.attack] - theta[self.t + self.defence] + theta[-2]
+        out[: self.half] += theta[-1]
+        return out
+
+    def turned(self, v: np.ndarray) -> np.ndarray:
+        return np.concatenate((np.bincount(self.attack, v, self.t), -np.bincount(self.defence, v, self.t), [v.sum(), v[: self.half].sum()]))
+
+    def solve(self, weight: np.ndarray, gradient: np.ndarray) -> np.ndarray:
+        """The least x with X'WX x = gradient, by conjugate gradients from zero, which never leave the span of the rows."""
+        x, left = np.zeros(len(gradient)), gradient.copy()
+        way, now = left.copy(), left @ left
+        aim = max(now * 1e-22, (1e-14 * weight.sum()) ** 2)  # what rounding leaves
+        for _ in range(1000):
+            if not now > aim:
+                break
+            bent = self.turned(weight * self.times(way))
+            curve = way @ bent
+            if not curve > 0:
+                break
+            x, left = x + now / curve * way, left - now / curve * bent
+            now, last = left @ left, now
+            way = left + now / last * way
+        return x
+
+
+def _likelihood(x: Design, theta: np.ndarray, rho: float, c: dict) -> tuple[float, np.ndarray, np.ndarray]:
     """Log-likelihood (minus infinity where a correction is not positive) and both sides' rates."""
-    half = len(x) // 2
-    log_rate = x @ theta
+    half = x.half
+    log_rate = x.times(theta)
     h, a = np.exp(log_rate[:half]), np.exp(log_rate[half:])
     low = {"n00": 1 - h * a * rho, "n01": 1 + h * rho, "n10": 1 + a * rho, "n11": np.full(half, 1 - rho)}
     if any((v[c[k] > 0] <= 0).any() for k, v in low.items()):
@@ -43,24 +76,21 @@ def maximise(pairs: pd.DataFrame, steps: int = 200, tolerance: float = 1e-7) ->
     place, t, half = {k: i for i, k in enumerate(teams)}, len(teams), len(pairs)
     h, a = pairs["home_id"].map(place).to_numpy(), pairs["away_id"].map(place).to_numpy()
     c = {k: pairs[k].to_numpy(float) for k in COUNTS}
-    x, row = np.zeros((2 * half, 2 * t + 2)), np.arange(half)
-    x[row, h] = x[half + row, a] = 1
-    x[row, t + a] = x[half + row, t + h] = -1
-    x[:, -2], x[:half, -1] = 1, 1
+    x = Design(h, a, t)
     theta, rho = np.zeros(2 * t + 2), 0.0
     theta[-2] = np.log((c["hg"].sum() + c["ag"].sum()) / (2 * c["n"].sum()))
     best, lam, mu = _likelihood(x, theta, rho, c)
     for step in range(1, steps + 1):
         d00 = c["n00"] * lam * mu * rho / (1 - lam * mu * rho)
         slope = np.concatenate([c["hg"] - c["n"] * lam - d00 + c["n01"] * lam * rho / (1 + lam * rho), c["ag"] - c["n"] * mu - d00 + c["n10"] * mu * rho / (1 + mu * rho)])
-        gradient = x.T @ slope
+        gradient = x.turned(slope)
         weight = np.concatenate([c["n"] * lam, c["n"] * mu])
-        move = np.linalg.lstsq(x.T @ (weight[:, None] * x), gradient, rcond=None)[0]
         terms = [(c["n00"], -lam * mu), (c["n01"], lam), (c["n10"], mu), (c["n11"], -np.ones(half))]
         first = sum((n * k / (1 + k * rho)).sum() for n, k in terms)
         second = sum((n * k * k / (1 + k * rho) ** 2).sum() for n, k in terms)
         if max(np.abs(gradient).max(), abs(first)) < tolerance * max(1.0, c["n"].sum()):
             break
+        move = x.solve(weight, gradient)
         for d_theta, d_rho in ((move, 0.0), (0.0 * move, first / second if second > 0 else 0.0)):
             size = 1.0
             while size > 1e-8:

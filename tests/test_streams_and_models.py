@@ -64,3 +64,24 @@ def test_fit_refuses_a_team_without_goals(spark):
     rows = [(1, dt.date(2024, 1, 1), 1, 1, 2, 1, 0), (2, dt.date(2024, 1, 2), 1, 2, 1, 0, 2), (3, dt.date(2024, 1, 3), 1, 1, 2, None, None)]
     got = goal_model.fit(spark.createDataFrame(rows, "match_id long, match_date date, season int, home_id int, away_id int, fthg int, ftag int")).collect()
     assert {(r["team"], r["status"], r["attack"]) for r in got} == {(1, "separated", None), (2, "separated", None)}
+
+
+def test_many_leagues_fit_in_memory_of_their_pairs():
+    """100 leagues of 20: the spelt-out matrix would take 76,000 by 4,002 numbers (2.4 GB). A few of them fit as by least squares over the whole matrix."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    h, a = (x.ravel() for x in np.meshgrid(range(20), range(20)))
+    h, a = h[h != a], a[h != a]
+    one = lambda k: pd.DataFrame({"home_id": h + 20 * k, "away_id": a + 20 * k, "n": 3.0, "hg": rng.poisson(4, len(h)) + 0.0, "ag": rng.poisson(3, len(h)) + 0.0, "n00": 0.0, "n01": 0.0, "n10": 0.0, "n11": 0.0})
+    pairs = pd.concat([one(k) for k in range(100)], ignore_index=True)
+    tracemalloc.start()
+    teams, attack, *_ = goal_model.maximise(pairs)
+    assert len(teams) == 2000 and np.isfinite(attack).all() and tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    few = goal_model.Design(h, a, 20)
+    weight, theta = rng.random(2 * len(h)) + 1, rng.normal(size=42)
+    x = np.array([few.times(row) for row in np.eye(42)]).T
+    gradient = few.turned(weight * few.times(theta))
+    assert np.allclose(gradient, x.T @ (weight * (x @ theta)))
+    assert np.allclose(few.solve(weight, gradient), np.linalg.lstsq(x.T @ (weight[:, None] * x), gradient, rcond=None)[0], atol=1e-8)
