@@ -40,13 +40,27 @@ def _logit(p: np.ndarray) -> np.ndarray:
 
 
 def modelled(u: np.ndarray, v: np.ndarray, rho: np.ndarray, lines: np.ndarray) -> np.ndarray:
-    """(row, constraint): log odds of a home win, of an away win, and of more goals than each line."""
-    cells = scores(*split(u, v), rho)
-    i, j = np.indices(cells.shape[1:])
-    win, loss = (cells * (i > j)).sum((1, 2)), (cells * (i < j)).sum((1, 2))
-    by_total = np.stack([(cells * (i + j == n)).sum((1, 2)) for n in range(2 * TOP + 1)], 1)
-    over = (by_total[:, None, :] * (np.arange(2 * TOP + 1) > lines[:, :, None])).sum(2)
-    return _logit(np.concatenate((win[:, None], loss[:, None], over), 1))
+    """(row, constraint): log odds of a home win, of an away win, and of more goals than each line: as of scores(), by sums
+    along one side's goals, without the grid."""
+    home, away = split(u, v)
+    steps = np.arange(1, TOP + 1)
+    pmf = lambda r: np.exp(-r)[:, None] * np.cumprod(np.concatenate((np.ones((len(r), 1)), r[:, None] / steps), 1), 1)
+    p, q = pmf(home), pmf(away)
+    # q_tail[:, m]: the away side has m goals or more
+    q_tail = np.concatenate((np.cumsum(q[:, ::-1], 1)[:, ::-1], np.zeros((len(q), 1))), 1)
+    win = (p[:, 1:] * (q_tail[:, :1] - q_tail[:, 1 : TOP + 1])).sum(1)
+    loss = (p * q_tail[:, 1:]).sum(1)
+    total = p.sum(1) * q_tail[:, 0]
+    least = np.clip(np.floor(lines).astype(int) + 1, 0, 2 * TOP + 1)
+    over = np.zeros(lines.shape)
+    for i in range(TOP + 1):
+        over += p[:, i, None] * np.take_along_axis(q_tail, np.clip(least - i, 0, TOP + 1), 1)
+    # low scores corrected
+    for i, j, factor in ((0, 0, 1 - home * away * rho), (0, 1, 1 + home * rho), (1, 0, 1 + away * rho), (1, 1, 1 - rho)):
+        more = p[:, i] * q[:, j] * (np.maximum(factor, 0.0) - 1)
+        total, over = total + more, over + more[:, None] * (least <= i + j)
+        win, loss = win + more * (i > j), loss + more * (i < j)
+    return _logit(np.concatenate((win[:, None], loss[:, None], over), 1) / total[:, None])
 
 
 def _bisected(low: float, high: float, n: int, higher) -> np.ndarray:
@@ -82,10 +96,11 @@ def solve(target: np.ndarray, weight: np.ndarray, lines: np.ndarray, rho: np.nda
         return h / (h + a)
 
     v = _bisected(*V, n, lambda x: share(x) < win / (win + loss))
-    gap = lambda u, v: np.where(weight > 0, weight * (modelled(u, v, rho, lines) - target), 0.0)
-    now, damp, rest = gap(u, v), np.full(n, 1e-3), np.zeros(n, bool)
+    done, rest, live = (u.copy(), v.copy()), np.zeros(n, bool), at
+    gap = lambda u, v: np.where(weight[live] > 0, weight[live] * (modelled(u, v, rho[live], lines[live]) - target[live]), 0.0)
+    now, damp = gap(u, v), np.full(n, 1e-3)
     for _ in range(rounds):
-        if rest.all():
+        if not len(live):
             break
         e = 1e-5
         j = np.stack(((gap(u + e, v) - gap(u - e, v)) / (2 * e), (gap(u, v + e) - gap(u, v - e)) / (2 * e)), 2)
@@ -96,10 +111,13 @@ def solve(target: np.ndarray, weight: np.ndarray, lines: np.ndarray, rho: np.nda
         then = gap(nu, nv)
         better = (then * then).sum(1) <= (now * now).sum(1)
         moved = np.maximum(np.abs(nu - u), np.abs(nv - v))
-        rest |= (moved < 1e-10) | ((damp > 1e8) & ~better)
+        still = (moved < 1e-10) | ((damp > 1e8) & ~better)
         u, v, now = np.where(better, nu, u), np.where(better, nv, v), np.where(better[:, None], then, now)
         damp = np.where(better, np.maximum(damp / 10, 1e-12), damp * 10)
-    return *split(u, v), rest
+        done[0][live], done[1][live], rest[live] = u, v, still
+        # rows at rest are left alone
+        u, v, now, damp, live = u[~still], v[~still], now[~still], damp[~still], live[~still]
+    return *split(*done), rest
 
 
 def invert(rows: pd.DataFrame) -> pd.DataFrame:

@@ -88,3 +88,16 @@ def test_value_bets_are_those_of_a_plain_loop(spark):
         b, edge, stake, tier = want[r["match_id"], r["market"], r["line"], r["outcome"]]
         assert (r["book"], r["tier"]) == (b, tier) and (r["edge"], r["stake"], r["half_stake"]) == pytest.approx((edge, stake, stake / 2))
     assert any(r["market"] == "player_booked" for r in rows) and pd.Series([r["tier"] for r in rows]).nunique() == 3
+
+
+def test_log_odds_without_the_grid_are_those_of_the_grid(monkeypatch):
+    """Whole, half and quarter lines and lines out of reach; corrections that are cut at 0. No fit spells out a grid."""
+    rng = np.random.default_rng(6)
+    home, away, rho = rng.uniform(0.1, 6, 60), rng.uniform(0.1, 6, 60), rng.choice([-0.3, -0.05, 0.0, 0.4], 60)
+    lines = np.tile([-1.0, 0.5, 2.0, 2.25, 2.5, 7.5, 19.5, 25.0], (60, 1))
+    cells = iv.scores(home, away, rho)
+    i, j = np.indices(cells.shape[1:])
+    chances = [cells[:, i > j].sum(1), cells[:, i < j].sum(1), *[cells[:, i + j > line].sum(1) for line in lines[0]]]
+    monkeypatch.setattr(iv, "scores", lambda *_: pytest.fail("a grid a match"))
+    got = iv.modelled(np.log(home + away), np.log(home / away), rho, lines)
+    assert np.allclose(1 / (1 + np.exp(-got)), np.clip(np.stack(chances, 1), 1e-9, 1 - 1e-9), atol=1e-12)
