@@ -114,6 +114,16 @@ def test_plans_are_the_best_of_all(spark):
             ids = ids - {m["out_id"]} | {m["in_id"]}
 
 
+def test_plans_shuffle_a_row_a_squad(spark):
+    """Each level's states stay in the task: the plan is one job without written levels, and squads are dealt over all partitions."""
+    rows = [(s, s // 20, 100 * s + k, "DEF" if k % 2 else "FWD", 7 * s + k % 9, 50 + k, k / 7) for s in range(40) for k in range(6)]
+    own = spark.createDataFrame(rows, f"squad int, {PLAYER}")
+    market = spark.createDataFrame([(k % 2, 10_000 + k, "DEF" if k % 4 < 2 else "FWD", k, 50, k / 3) for k in range(60)], PLAYER)
+    out = sq.transfer_plans(own, market, own.select("squad").distinct().withColumn("bank", F.lit(20)), "squad", "league")
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert out.select("squad").distinct().count() == 40 and not any("parquet" in f for f in out.inputFiles())
+
+
 # --- gates
 
 
