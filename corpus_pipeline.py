@@ -17,7 +17,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (similarity of five-word shingles 0.8 or more) the document of least id stays.
+    """Of each group of near copies the document of least id stays: SimHash fingerprints find them, and MinHash those that are further apart; similarity of five-word shingles (0.8 or more) decides.
 
     Null and empty texts are copies of each other; rows of one id with unlike texts all stay, equal ones once; rows
     without id stay; an empty table stays empty; other columns are passed on, whatever their names and types.

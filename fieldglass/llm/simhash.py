@@ -17,6 +17,19 @@ BITS = 64
 BLOCK = 1 << 16
 
 
+def ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set, the highest first."""
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of hashed shingles, repeats included; of none 0."""
+    total = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        total += ones(hashes[at : at + BLOCK])
+    return int(np.packbits(2 * total > len(hashes)).view(">u8")[0])
+
+
 def fingerprint(text: bytes | None, words: int = 4) -> int:
     """The 64-bit SimHash of a text: A-Z lower-cased, `words`-word shingles with repeats; no word at all gives 0."""
     parts = (text or b"").lower().split()
@@ -29,8 +42,7 @@ def fingerprint(text: bytes | None, words: int = 4) -> int:
     starts, ends = starts[:n].tolist(), ends[min(words, len(parts)) - 1 :].tolist()
     digest, total = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
     for at in range(0, n, BLOCK):
-        hashes = np.array([digest(joined[i:j], 42) for i, j in zip(starts[at : at + BLOCK], ends[at : at + BLOCK])], ">u8")
-        total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        total += ones(np.array([digest(joined[i:j], 42) for i, j in zip(starts[at : at + BLOCK], ends[at : at + BLOCK])], np.uint64))
     return int(np.packbits(2 * total > n).view(">u8")[0])
 
 

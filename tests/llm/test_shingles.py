@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from fieldglass.llm import shingles
+from fieldglass.llm import shingles, simhash
+from tests.llm.test_near_copies import roots
 
 
 def plain_set(text, n=5):
@@ -108,3 +109,21 @@ def test_a_crowded_signature_of_sets_near_the_limit(spark):
 @pytest.mark.parametrize("text", ["", "one", "one two three four five", "x " * 9000])
 def test_shingle_sets(text):
     assert len(shingles.shingle_set(text.encode())) == len(plain_set(text))
+
+
+def test_fingerprints_find_pairs_before_signatures(spark):
+    """Without any signature in common the pairs come from SimHash: those within 4 bits that are similar enough, and no others."""
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+    texts = [" ".join(base), " ".join([*base, "more"]), " ".join(["first", *base]), " ".join(f"x{x}" for x in rng.integers(0, 5000, 400)), "a b c d e f", "a b c d e f a b c d e f"]
+    rows = [(i, i, t.encode()) for i, t in enumerate(texts)]
+    marked = shingles._mapped(spark.createDataFrame(rows, "id long, h long, t binary"), 5, shingles._signed, "key long, bands array<long>, fp long")
+    keys = {r["key"]: r["id"] for r in marked.collect()}
+    prints = {r["key"]: r["fp"] & (1 << 64) - 1 for r in marked.collect()}
+    assert prints == {k: simhash.fingerprint(texts[i].encode(), 5) for k, i in keys.items()}
+    near = shingles._near_prints(marked.select("key", "fp"))
+    close = [(a, b) for a, b in combinations(keys, 2) if (prints[a] ^ prints[b]).bit_count() <= 4]
+    assert close and roots(keys, [tuple(r) for r in near.collect()]) == roots(keys, close)
+    packed = spark.createDataFrame([(k, shingles.shingle_set(texts[i].encode()).tobytes()) for k, i in keys.items()], "key long, set binary")
+    got = {keys[r["node"]]: keys[r["root"]] for r in shingles._links(spark.createDataFrame([], "sig long, key long"), packed, near).collect()}
+    assert len(got) >= 2 and set(got) <= {0, 1, 2}
