@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.functions import pandas_udf
+
+from fieldglass.functions.folding import folded
+
+from .simulation import spread
 
-#: Equal under it: any case, any accents, letters with strokes, ligatures and their letters.
-COLLATION = "UNICODE_CI_AI"
 WORD = r"[\p{L}\p{M}\p{N}]+"
 #: Expected minutes under which a player is fringe, and above which he is sure to play. Fixed values.
 FRINGE, SURE = 45.0, 75.0
@@ -14,8 +18,8 @@ DOUBT = ("injury", "injured", "knock", "doubt", "strain", "surgery", "out for",
 
 
 def key(text: Column) -> Column:
-    """The text under a collation: joins, groups and comparisons take it without case and accents. The dotless i, a letter of its own there, is an i."""
-    return F.collate(F.replace(F.trim(text), F.lit("ı"), F.lit("i")), COLLATION)
+    """What joins, groups and comparisons take for the text without case and accents. The dotless i is an i."""
+    return folded(text)
 
 
 def words(text: Column) -> Column:
@@ -35,29 +39,42 @@ def mentions(texts: DataFrame, names: DataFrame, id_col: str, text_col: str) ->
 
     texts: one row for each id. names: name (any number of words), kind, entity. Only words that begin some name go on
     to be looked up, and then only as phrases of the lengths that names beginning so have: two equality joins,
-    whatever the number of names. Null texts and names have no words.
+    whatever the number of names. Null texts and names have no words. Texts are dealt out by id first, however few files
+    hold them: a text's words are looked up and its matches put together where it lies.
     """
     known = dictionary(names)
     longest = known.agg(F.max("n")).first()[0] or 1
-    spots = texts.select(id_col, words(F.col(text_col)).alias("w"))
+    spots = spread(texts.select(id_col, text_col), id_col).select(id_col, words(F.col(text_col)).alias("w"))
     spots = spots.select(id_col, F.posexplode(F.transform("w", lambda x, i: F.slice("w", i + 1, longest))).alias("start", "w"))
     begins = known.groupBy("first").agg(F.collect_set("n").alias("lengths"))  # few lengths
     spots = spots.withColumn("first", key(F.col("w")[0])).join(begins, "first").select(id_col, "start", "w", F.explode("lengths").alias("n")).where(F.size("w") >= F.col("n"))
     spots = spots.select(id_col, "start", "n", key(F.array_join(F.slice("w", F.lit(1), F.col("n")), " ")).alias("phrase"))
     found = spots.join(known.drop("first"), ["phrase", "n"]).select(id_col, F.struct("start", (-F.col("n")).alias("less"), "kind", "entity", "ambiguous").alias("m"))
-    listed = found.groupBy(id_col).agg(F.array_sort(F.collect_list("m")).alias("all"))  # a text's own matches
-    kind = listed.schema["all"].dataType.simpleString()
-    step = lambda a, m: F.when(m["start"] >= a["end"], F.struct((m["start"] - m["less"]).alias("end"), F.concat(a["kept"], F.array(m)).alias("kept"))).otherwise(a)
-    kept = F.aggregate("all", F.struct(F.lit(0).alias("end"), F.array().cast(kind).alias("kept")), step)["kept"]
-    return listed.select(id_col, F.explode(kept).alias("m")).select(id_col, "m.start", (-F.col("m.less")).alias("n"), "m.kind", "m.entity", "m.ambiguous")
+    listed = found.groupBy(id_col).agg(F.sort_array(F.collect_list("m")).alias("all"))  # a text's own matches
+
+    @pandas_udf("array<boolean>")
+    def apart(starts: pd.Series, less: pd.Series) -> pd.Series:
+        """Which matches are taken one after another, each from where the last one ends (its start minus `less`); a step a match."""
+        rows = []
+        for firsts, lengths in zip(starts, less):
+            kept, end = [], 0
+            for start, n in zip(firsts.tolist(), lengths.tolist()):
+                kept.append(start >= end)
+                end = start - n if start >= end else end
+            rows.append(kept)
+        return pd.Series(rows)
+
+    marked = listed.select(id_col, F.explode(F.arrays_zip("all", apart(F.col("all.start"), F.col("all.less")).alias("kept"))).alias("m")).where("m.kept")
+    return marked.select(id_col, "m.all.start", (-F.col("m.all.less")).alias("n"), "m.all.kind", "m.all.entity", "m.all.ambiguous")
 
 
 def linked(found: DataFrame, players: DataFrame, id_col: str) -> DataFrame:
     """(id_col, entity, club) of the players mentioned in texts that name their own club too; players: entity, club. Ambiguous names link nobody."""
-    sure = found.where(~F.col("ambiguous")).select(id_col, "kind", "entity").distinct()
+    of = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.col("entity")))
+    sure = found.where(~F.col("ambiguous")).groupBy(id_col).agg(of("player").alias("players"), of("club").alias("clubs"))
     own = players.select(F.col("entity").cast("string").alias("entity"), F.col("club").cast("string").alias("club"))
-    clubs = sure.where("kind = 'club'").select(id_col, F.col("entity").alias("club"))
-    return sure.where("kind = 'player'").join(own, "entity").join(clubs, [id_col, "club"]).select(id_col, "entity", "club")
+    said = sure.select(id_col, F.explode("players").alias("entity"), "clubs").where(F.size("clubs") > 0)
+    return said.join(own, "entity").where(F.array_contains("clubs", F.col("club"))).select(id_col, "entity", "club")
 
 
 def standing(texts: DataFrame, found: DataFrame, links: DataFrame, id_col: str) -> DataFrame:

@@ -7,6 +7,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from fieldglass.functions.folding import COLLATION, folded, letters
 from fieldglass.operators import linking as lk
 
 
@@ -78,3 +79,27 @@ def test_conflicts(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "name string, kind string, entity string")
     assert lk.mentions(spark.createDataFrame([(1, "a b")], "id long, text string"), none, "id", "text").collect() == []
+
+
+def test_plain_letters_are_those_of_the_collation(spark):
+    """Every character of the table equals its text under the collation; no other one equals a character of ASCII; texts of several are equal where the collation says so."""
+    known = {c: to for c, to in letters().items() if c != "ı"}
+    rows = spark.createDataFrame(list(known.items()), "c string, to string").repartition(8)
+    assert rows.where(F.collate("c", COLLATION) != F.collate("to", COLLATION)).count() == 0
+    others = [(chr(c),) for c in [*range(128, 0xD800), *range(0xE000, 0x20000)] if chr(c) not in known]
+    plain = [(chr(c),) for c in [9, 10, 11, 12, 13, *range(32, 127)]] + [("",)]
+    assert spark.createDataFrame(others, "c string").repartition(8).join(spark.createDataFrame(plain, "to string"), F.collate("c", COLLATION) == F.collate("to", COLLATION)).count() == 0
+    rng = random.Random(7)
+    pools = ["aeiosuAEIOSU", "éÈñßÆœŁøﬁ⑩", [c for c in known], "αΩйЖи汉ツ", "\u0301\u0306\u0308"]
+    text = lambda: "".join(rng.choice(rng.choice(pools)) for _ in range(rng.randint(0, 4)))
+    texts = [text() for _ in range(3000)]
+    pairs = [(a, rng.choice([text(), a.upper(), plain_key(a), unicodedata.normalize("NFD", a), "".join(known.get(c, c) for c in a)])) for a in texts]
+    same = lambda f: f(F.trim("a")) == f(F.trim("b"))
+    made = spark.createDataFrame(pairs, "a string, b string").select("a", "b", same(folded).alias("ours"), same(lambda c: F.collate(c, COLLATION)).alias("theirs"))
+    assert made.where("ours != theirs").limit(5).collect() == [] and made.where("theirs").count() > 500
+
+
+def test_texts_of_one_file_are_shared_out(spark):
+    texts = spark.range(40).select("id", F.lit("Da Silva van Dijk").alias("text")).coalesce(1)
+    found = lk.mentions(texts, spark.createDataFrame([("da silva", "player", "1"), ("Dijk", "player", "2")], "name string, kind string, entity string"), "id", "text")
+    assert found.count() == 80 and "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
