@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from fieldglass.operators import linking as lk
 from fieldglass.sources import tables as t
+from fieldglass.sources.scratch import stored
 
 from .registry import query
 
@@ -51,6 +52,7 @@ def j11_mentions(s, d):
 select doc_id, coalesce(clubs,0) clubs, coalesce(linked,0) linked, coalesce(refused,0) refused, case when linked>0 then 'player' when clubs>0 then 'club' else 'none' end as level from documents left join sd using (doc_id) left join wh using (doc_id)""")
 def j11_standing(s, d):
     docs, players, m = found(s, d)
+    m = stored(m, "mentions")  # read for the links and for the counts
     return lk.standing(docs, m, lk.linked(m, players, "doc_id"), "doc_id")
 
 
