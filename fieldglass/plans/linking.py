@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from fieldglass.operators import linking as lk
+from fieldglass.operators.simulation import spread
 from fieldglass.sources import tables as t
 from fieldglass.sources.scratch import stored
 
@@ -66,5 +67,7 @@ def j12(s, d):
 @query("f1_fold", r"select lang, count(distinct lower(w)) as spelt, count(distinct replace(lower(strip_accents(w)),'ß','ss')) as keys from (select lang, unnest(regexp_extract_all(text, '[\p{L}\p{M}\p{N}]+')) w from documents) group by 1")
 def f1(s, d):
     """Different words of each language, by their letters and by the key that ignores case and accents."""
-    w = t.table(s, d, "documents").select("lang", F.explode(F.array_distinct(lk.words(F.col("text")))).alias("w"))
+    docs = spread(t.table(s, d, "documents").select("doc_id", "lang", "text"), "doc_id")
+    # each spelling once: only those get a key
+    w = docs.select("lang", F.explode(F.array_distinct(lk.words(F.col("text")))).alias("w")).distinct()
     return w.select("lang", F.lower("w").alias("spelt"), lk.key(F.col("w")).alias("key")).groupBy("lang").agg(F.count_distinct("spelt").alias("spelt"), F.count_distinct("key").alias("keys"))
