@@ -103,3 +103,13 @@ def test_texts_of_one_file_are_shared_out(spark):
     texts = spark.range(40).select("id", F.lit("Da Silva van Dijk").alias("text")).coalesce(1)
     found = lk.mentions(texts, spark.createDataFrame([("da silva", "player", "1"), ("Dijk", "player", "2")], "name string, kind string, entity string"), "id", "text")
     assert found.count() == 80 and "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_documents_are_shared_out_and_spellings_folded_once(spark, small):
+    from fieldglass.plans.all_queries import QUERIES
+
+    found = QUERIES["f1_fold"](spark, small)
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    words = [(r["lang"], w) for r in spark.read.parquet(f"{small}/documents.parquet").collect() for w in re.findall(r"\w+", (r["text"] or "").replace("_", " "))]
+    keys = {(lang, plain_key(w).replace("ß", "ss")) for lang, w in words}
+    assert {r["lang"]: r["keys"] for r in found.collect()} == {lang: sum(k[0] == lang for k in keys) for lang in {k[0] for k in keys}}
