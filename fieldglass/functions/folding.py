@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from functools import cache
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 #: Equal under it: any case, any accents, letters with strokes, ligatures and their letters.
 COLLATION = "UNICODE_CI_AI"
 ASCII = r"^[\t-\r -~]*\z"
+PLAIN = re.compile(r"[\t-\r -~]*")
 
 
 @cache
@@ -41,3 +44,34 @@ def folded(text: Column) -> Column:
     plain = F.lower(F.when(trimmed.rlike(ASCII), trimmed).when(one.rlike(ASCII), one).when(two.rlike(ASCII), two))
     other = F.when(plain.isNull(), F.collate(F.replace(trimmed, F.lit("ı"), F.lit("i")), COLLATION))
     return F.when(text.isNotNull(), F.struct(plain.alias("plain"), other.alias("other")))
+
+
+def plain_of(text: str) -> str | None:
+    """What folded() has as `plain`, of one text."""
+    single, several = _places()
+    found = text.strip(" ")
+    for step in (lambda x: x, lambda x: x.translate(single), lambda x: "".join(several.get(c, c) for c in x.replace("ß", "ss"))):
+        found = step(found)
+        if PLAIN.fullmatch(found):
+            return found.lower()
+    return None
+
+
+@cache
+def _places() -> tuple[dict[int, str], dict[str, str]]:
+    known = letters()
+    return {ord(c): to for c, to in known.items() if len(to) < 2}, {c: to for c, to in known.items() if len(to) > 1}
+
+
+def folded_once(text: Column) -> Column:
+    """folded() for a column of rows: each different text of a batch is folded once, in the workers, and an expression that
+    names the key again and again does not make it again. Not for use inside lambdas of arrays."""
+
+    @F.arrow_udf("string")
+    def fold(texts: pa.Array) -> pa.Array:
+        found = texts.dictionary_encode()
+        return pa.array([plain_of(x) for x in found.dictionary.to_pylist()], pa.string()).take(found.indices)
+
+    plain = fold(text)
+    other = F.when(plain.isNull(), F.collate(F.replace(F.trim(text), F.lit("ı"), F.lit("i")), COLLATION))
+    return F.when(text.isNotNull(), F.struct(plain.alias("plain"), other.alias("other")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .linking import key
+from fieldglass.functions.folding import folded_once
 
 #: What a fixture of each difficulty, 1 to 5, does to a projection; a position's points to start from, and its cheapest price. Fixed values.
 DIFFICULTY = (1.28, 1.14, 1.0, 0.86, 0.72)
@@ -95,12 +95,13 @@ def last_share(rows: DataFrame, by: str, order: list, did: Column, last: int = 5
 def cards(forecasts: DataFrame, odds: DataFrame) -> DataFrame:
     """Forecasts (home, away, day, p) with the odds (home, away, day, book, price) of the same names, case and accents aside: price, books (once
     each, in order), edge, half_stake, matched; best edge first, and by stake those without one last. Forecasts without odds stay."""
-    named = lambda home, away: key(F.concat_ws("_vs_", home, away))
-    found = odds.groupBy(named("home", "away").alias("_key"), F.col("day").alias("_day")).agg(F.max("price").alias("price"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("price")).alias("less"), "book"))), lambda x: x["book"])).alias("books"))
-    rows = forecasts.join(found, (named(F.col("home"), F.col("away")) == F.col("_key")) & (F.col("day") == F.col("_day")), "left")
+    named = folded_once(F.concat_ws("_vs_", "home", "away"))
+    # keys are made before they are shuffled, once a row
+    found = odds.select(named.alias("_key"), F.col("day").alias("_day"), "price", "book").groupBy("_key", "_day").agg(F.max("price").alias("price"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("price")).alias("less"), "book"))), lambda x: x["book"])).alias("books"))
+    rows = forecasts.withColumn("_own", named).join(found, (F.col("_own") == F.col("_key")) & (F.col("day") == F.col("_day")), "left")
     stake = (F.col("p") * F.col("price") - 1) / (F.col("price") - 1) / 2
     rows = rows.withColumn("edge", F.col("p") - 1 / F.col("price")).withColumn("half_stake", F.when((F.col("price") > 1) & (stake > 0), stake)).withColumn("matched", F.col("_key").isNotNull())
-    return rows.drop("_key", "_day").orderBy(F.desc_nulls_last("edge"), F.desc_nulls_last("half_stake"))
+    return rows.drop("_own", "_key", "_day").orderBy(F.desc_nulls_last("edge"), F.desc_nulls_last("half_stake"))
 
 
 def ranked_news(items: DataFrame, touches: Column, at: str, digest: str) -> DataFrame:

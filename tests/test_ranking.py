@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from fieldglass.functions.folding import folded
 from fieldglass.operators import ranking as rk
 
 
@@ -56,3 +57,17 @@ def test_times(spark):
     assert [spark.range(1).select(rk.prices_changed(a, b)).first()[0] for a, b, _ in cases] == [c for *_, c in cases]
     labels = spark.createDataFrame([("2627",), ("0001",), ("1011",)], "s string").coalesce(1)
     assert [r[0] for r in labels.select(rk.season_before(F.col("s"))).collect()] == ["2526", "9900", "0910"]
+
+
+def test_cards_make_a_key_once_a_row(spark):
+    """Names of many spellings, equal as the collation has them; each side's keys are made in one place of the plan, before they are shuffled."""
+    day = dt.date(2024, 1, 1)
+    names = ["Cérclé", "CERCLE", " cercle ", "Straße", "STRASSE", "Æsir", "aesir", "Łódź", "lodz", "ığdır", "IGDIR", "Динамо", "ДИНАМО", "北京", "", "a b", "A b", "Oﬀen", "offen", " x", "x"]
+    f = spark.createDataFrame([(n, v, "B", day, 0.5) for n, v in enumerate(names)] + [(99, None, "B", day, 0.5)], "id int, home string, away string, day date, p double")
+    o = spark.createDataFrame([(v, "b", day, str(n), 2.0 + n) for n, v in enumerate(names)], "home string, away string, day date, book string, price double")
+    pairs = lambda key: {r["id"]: sorted(map(int, r["b"])) for r in f.withColumn("k", key("home", "away")).join(o.withColumn("k2", key("home", "away")), F.expr("k = k2")).groupBy("id").agg(F.collect_list("book").alias("b")).collect()}
+    want = pairs(lambda h, a: folded(F.concat_ws("_vs_", h, a)))
+    out = rk.cards(f, o)
+    assert {r["id"]: sorted(map(int, r["books"])) for r in out.collect() if r["books"]} == want and len(want) == len(names)
+    plan = rk.cards(f, o)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2 and "translate" not in plan
