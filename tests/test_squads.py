@@ -114,6 +114,24 @@ def test_plans_are_the_best_of_all(spark):
             ids = ids - {m["out_id"]} | {m["in_id"]}
 
 
+def test_plans_take_the_whole_market(spark):
+    """No player is too far down the market, and no plan's start too poor: 60 of a position, all but one of a club that is full, and a search that goes on from one state."""
+    rng = random.Random(7)
+    market = [(0, k, "DEF" if k % 2 else "FWD", 0 if k < 100 else k, rng.randrange(40, 60), 9 - k / 1e3 if k < 100 else rng.randrange(1, 800) / 100) for k in range(120)]
+    rows = [dict(zip(("league", "player_id", "position", "team_id", "price", "xp"), p)) for p in market]
+    team = [{**r, "xp": r["xp"] / 8} for r in (*rows[:3], *rows[110:113])]
+    own = spark.createDataFrame([(1, *p.values()) for p in team], f"squad int, {PLAYER}")
+    whole = [next((p for p in team if p["player_id"] == r["player_id"]), r) for r in rows]
+    banks = spark.createDataFrame([(1, 3)], "squad int, bank int")
+    for beam in (1, 140):
+        got = sq.transfer_plans(own, spark.createDataFrame([tuple(r.values()) for r in whole], PLAYER), banks, "squad", "league", beam=beam).collect()
+        want = exhaustive(team, whole, 3, 3)
+        for depth in (2, 3):
+            best = sorted(want[depth].values(), reverse=True)[: sq.PLANS]
+            mine = [(r["delta"], r["bank"]) for r in sorted(got, key=lambda r: r["rank"]) if r["depth"] == depth]
+            assert len(mine) == len(best) == sq.PLANS and np.allclose(mine, best, atol=1e-5)
+
+
 def test_plans_shuffle_a_row_a_squad(spark):
     """Each level's states stay in the task: the plan is one job without written levels, and squads are dealt over all partitions."""
     rows = [(s, s // 20, 100 * s + k, "DEF" if k % 2 else "FWD", 7 * s + k % 9, 50 + k, k / 7) for s in range(40) for k in range(6)]
