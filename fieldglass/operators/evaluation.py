@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fieldglass.functions.probability import anytime_radius
 
+from . import markets
+
 
 def clip(p: Column, eps: float = 1e-15) -> Column:
     return F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps))
@@ -130,12 +132,15 @@ def discrete_crps(scores: DataFrame, actual: DataFrame) -> DataFrame:
     return joined.groupBy("match_id").agg(F.round(F.sum(F.pow(F.col("c") - F.when(F.col("y") <= F.col("k"), 1.0).otherwise(0.0), 2)), 6).alias("crps"))
 
 
-def scoreline_loss(scores: DataFrame, matches: DataFrame, top: int = 7) -> DataFrame:
-    """-ln of the chance of the score that came, scores clipped to the grid's edge."""
+def scoreline_loss(expected: DataFrame, matches: DataFrame, rho: float = -0.05, top: int = 7) -> DataFrame:
+    """-ln of the chance of the score that came, scores clipped to the grid's edge. expected: match_id, home, away.
+
+    A match's rates meet its score, and only that score's chance is made: no rows a score are shuffled.
+    """
     edge = lambda c: F.least(F.col(c), F.lit(top)).alias(c)
     came = matches.where("fthg is not null").select("match_id", edge("fthg"), edge("ftag"))
-    hit = came.join(scores, (came["match_id"] == scores["match_id"]) & (came["fthg"] == scores["i"]) & (came["ftag"] == scores["j"]))
-    return hit.select(came["match_id"], F.round(-F.log(F.greatest("p", F.lit(1e-15))), 6).alias("loss"))
+    p = markets.score_chance(expected.join(came, "match_id"), F.col("fthg"), F.col("ftag"), rho, top)
+    return p.where("p is not null").select("match_id", F.round(-F.log(F.greatest("p", F.lit(1e-15))), 6).alias("loss"))
 
 
 def blend_search(rows: DataFrame, weights: list[float], block: str) -> DataFrame:

@@ -41,7 +41,7 @@ def e5(s, d):
 
 @query("e7_scoreline_loss", f"with {RATES} select match_id, round(-ln(greatest(p,1e-15::double)),6) loss from matches m join grid using (match_id) where fthg is not null and i=least(fthg,7) and j=least(ftag,7)")
 def e7(s, d):
-    return ev.scoreline_loss(markets.grid(rates(s, d)), t.matches(s, d))
+    return ev.scoreline_loss(rates(s, d), t.matches(s, d))
 
 
 @query("e8_crps", f"""with {RATES}, c as (select match_id, k, sum(p) over (partition by match_id order by k) c from (select match_id, i+j k, sum(p) p from grid group by 1,2))

@@ -4,8 +4,9 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from fieldglass.operators import players, views
+from fieldglass.operators import markets, players, views
 from fieldglass.plans.all_queries import QUERIES
 from fieldglass.sources import tables as t
 
@@ -95,3 +96,14 @@ def test_points_of_one_place_meet_once(spark):
 def test_plans_meet_their_draws_without_the_driver(spark, small):
     plan = QUERIES["o7_o8_plan_values"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+def test_scoreline_loss_makes_one_score_a_match(spark, small):
+    """No rows a score: the chance of each score is the grid's, and null beyond it."""
+    assert "Generate" not in QUERIES["e7_scoreline_loss"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    rates = spark.createDataFrame([(1, 1.4, 0.9), (2, 3.9, 3.8)], "match_id long, home double, away double")
+    want = {(r["match_id"], r["i"], r["j"]): r["p"] for r in markets.grid(rates).collect()}
+    goals = spark.createDataFrame([(i, j) for i in range(9) for j in range(9)], "i int, j int")
+    for r in markets.score_chance(rates.crossJoin(goals), F.col("i"), F.col("j")).collect():
+        found = want.get((r["match_id"], r["i"], r["j"]))
+        assert r["p"] is None if found is None else r["p"] == pytest.approx(found, rel=1e-12)
