@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldglass.operators import boosting, features as ft, folds, logs, walking
 from fieldglass.operators.folds import Base
 from fieldglass.sources import tables as t
+from fieldglass.sources.scratch import stored
 
 from .registry import query
 
@@ -16,8 +17,11 @@ MARKET = ("log_home", "log_away")
 
 
 def with_form(s, d):
-    """Matches with both sides' form before them, the books' mean log odds, and the outcome (0 home, 1 draw, 2 away)."""
-    m = t.matches(s, d)
+    """Matches with both sides' form before them, the books' mean log odds, and the outcome (0 home, 1 draw, 2 away).
+
+    What fits look at, written once: fits and forecasts read it several times, and each time would sort and shuffle all team rows again.
+    """
+    m = stored(t.matches(s, d), "matches")
     rows = t.team_rows(m)
     known = ft.ewm_features(rows, ("gf", "ga", "shots"), (5, 10)).join(ft.rest_days(rows), ["match_id", "team"])
     known = rows.select("match_id", "team", "is_home").join(known, ["match_id", "team"])
@@ -26,7 +30,7 @@ def with_form(s, d):
     inverse = lambda o: F.avg(F.when(F.col("outcome") == o, 1 / F.col("price")))
     market = t.prices(m).groupBy("match_id").agg(F.log(inverse("H") / inverse("D")).alias("log_home"), F.log(inverse("A") / inverse("D")).alias("log_away"))
     y = F.when(F.col("fthg") > F.col("ftag"), 0).when(F.col("fthg") == F.col("ftag"), 1).when(F.col("fthg") < F.col("ftag"), 2)
-    return m.join(form, "match_id").join(market, "match_id").withColumn("y", y)
+    return stored(m.join(form, "match_id").join(market, "match_id").select("match_id", "season", "fthg", "ftag", *FORM, *MARKET, y.alias("y")), "with_form")
 
 
 def sides(rows):

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from fieldglass.operators import boosting, folds, goal_model, walking
 from fieldglass.operators.folds import Base
+from fieldglass.plans import fitted
+from fieldglass.sources import tables as t
 
 A, B, Y, GOALS = ("a", "b"), ("c",), "y", "goals"
 
@@ -227,3 +229,12 @@ def test_trees_without_rows(spark):
     rows = spark.createDataFrame(curved(1, 20)).limit(0)
     model = boosting.fit(rows, ("a",), "goals", F.lit(False))
     assert not model.trees and boosting.rates(model, rows).collect() == []
+
+
+def test_form_is_made_once(spark, small):
+    """Fits and forecasts read rows that were written, and shuffle nothing to have them again; they are those of the views."""
+    rows = fitted.with_form(spark, small)
+    assert all("/with_form-" in f for f in rows.inputFiles()) and "Exchange" not in fitted.sides(rows)._jdf.queryExecution().executedPlan().toString()
+    m = {r["match_id"]: r for r in t.matches(spark, small).collect()}
+    got = rows.collect()
+    assert len(got) == len(m) and all((r["season"], r["fthg"], r["ftag"]) == (m[r["match_id"]]["season"], m[r["match_id"]]["fthg"], m[r["match_id"]]["ftag"]) for r in got)
