@@ -32,6 +32,16 @@ def _running(home: np.ndarray, away: np.ndarray, rho: float, top: int) -> np.nda
     return np.cumsum(flat / flat.sum(1, keepdims=True), 1)
 
 
+def _drawn(part: pa.RecordBatch, rho: float, top: int, ends: list[bytes]) -> np.ndarray:
+    """(match, draw): the place in the grid of each draw. part: match_id first, both sides' expected goals last; ends: what follows the id in a draw's text."""
+    sums = _running(*(part.column(c).to_numpy(zero_copy_only=False) for c in (-2, -1)), rho, top)
+    u = uniform(m + end for m in (str(m).encode() for m in part.column(0).to_pylist()) for end in ends).reshape(part.num_rows, len(ends))
+    cell = np.zeros(u.shape, np.int32)
+    for k in range((top + 1) ** 2 - 1):
+        cell += sums[:, k, None] <= u
+    return cell
+
+
 def scores(expected: DataFrame, draws: int, rho: float = -0.05, top: int = 7, keep: tuple[str, ...] = ()) -> DataFrame:
     """(match_id, draw, i, j): `draws` scores of each match by the inverse of its joint distribution; columns `keep` are passed on.
 
@@ -47,11 +57,7 @@ def scores(expected: DataFrame, draws: int, rho: float = -0.05, top: int = 7, ke
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
                 n = part.num_rows
-                sums = _running(*(part.column(c).to_numpy(zero_copy_only=False) for c in (-2, -1)), rho, top)
-                u = uniform(m + end for m in (str(m).encode() for m in part.column(0).to_pylist()) for end in ends).reshape(n, draws)
-                cell = np.zeros((n, draws), np.int32)
-                for k in range(size * size - 1):
-                    cell += sums[:, k, None] <= u
+                cell = _drawn(part, rho, top, ends)
                 whose = pa.array(np.repeat(np.arange(n), draws))
                 made = np.tile(np.arange(draws, dtype=np.int32), n), cell.ravel() // size, cell.ravel() % size
                 yield pa.RecordBatch.from_arrays([*(part.column(c).take(whose) for c in range(len(kept))), *map(pa.array, made)], [*kept, "draw", "i", "j"])
@@ -100,16 +106,49 @@ def round_points(drawn: DataFrame, fixtures: DataFrame) -> DataFrame:
     return _by_round(both.select("round", "draw", sides.alias("s")).select("round", "draw", "s.team", "s.points"))
 
 
-def simulated_rounds(expected: DataFrame, fixtures: DataFrame, draws: int) -> DataFrame:
+def simulated_rounds(expected: DataFrame, fixtures: DataFrame, draws: int, rho: float = -0.05, top: int = 7) -> DataFrame:
     """What round_points() makes of scores(): the matches of a team's round are brought together before they are drawn.
 
-    No draw is joined, and a team's draws of a round are added up in one task before they are shuffled: a row a team,
-    round and draw. Either side draws the match for itself, with the same scores, as they depend on keys alone.
+    No draw is joined or shuffled: a team's matches of a round lie next to each other in one task, which adds up their
+    draws and gives one row a team and round. Either side draws the match for itself, with the same scores, as they
+    depend on keys alone.
     """
     sides = F.explode(F.array(F.struct(F.col("home_id").alias("team"), F.lit(True).alias("at_home")), F.struct(F.col("away_id").alias("team"), F.lit(False).alias("at_home"))))
-    rows = expected.join(fixtures, "match_id").select("match_id", "home", "away", "round", sides.alias("s")).select("match_id", "home", "away", "round", "s.*")
-    drawn = scores(spread(rows, "round", "team"), draws, keep=("round", "team", "at_home"))
-    return _by_round(drawn.select("round", "team", "draw", F.when(F.col("at_home"), _points("i", "j")).otherwise(_points("j", "i")).alias("points")))
+    rows = expected.join(fixtures, "match_id").select("match_id", "round", sides.alias("s"), F.col("home").cast("double"), F.col("away").cast("double")).select("match_id", "round", "s.*", "home", "away")
+    size, ends = top + 1, [f":{d}:score".encode() for d in range(draws)]
+    names = ("round", "team", "matches", "mean", "sd", "p_ge_3", "q90")
+
+    def summed(keys: list[tuple], counts: np.ndarray, points: np.ndarray, kinds: list[pa.DataType]) -> pa.RecordBatch:
+        points = np.sort(points, 1)
+        at = 0.9 * (draws - 1)
+        low, high = points[:, int(np.floor(at))], points[:, int(np.ceil(at))]
+        made = counts, points.mean(1), points.std(1), (points >= 3).mean(1), low + (high - low) * (at - np.floor(at))
+        return pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], kinds[i]) for i in (0, 1)), *map(pa.array, made)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None  # key, matches and points of the team and round that may go on
+        for part in (batch.slice(at, BLOCK) for batch in batches for at in range(0, batch.num_rows, BLOCK)):
+            kinds = [part.column(c).type for c in (1, 2)]
+            cell, here = _drawn(part, rho, top, ends), part.column(3).to_numpy(zero_copy_only=False).astype(bool)[:, None]
+            i, j = cell // size, cell % size
+            mine, other = np.where(here, i, j), np.where(here, j, i)
+            keys = list(zip(part.column(1).to_pylist(), part.column(2).to_pylist()))
+            starts = [n for n, key in enumerate(keys) if not n or key != keys[n - 1]]
+            points = np.add.reduceat(np.where(mine > other, 3, (mine == other).astype(np.int64)), starts, 0)
+            counts, keys = np.diff([*starts, len(keys)]).astype(np.int64), [keys[n] for n in starts]
+            if last and last[0] == keys[0]:
+                counts[0] += last[1]
+                points[0] += last[2]
+            elif last:
+                keys, counts, points = [last[0], *keys], np.append(last[1], counts), np.vstack((last[2], points))
+            last = keys[-1], counts[-1], points[-1]
+            yield summed(keys[:-1], counts[:-1], points[:-1], kinds)
+        if last:
+            yield summed([last[0]], np.array([last[1]]), last[2][None, :], kinds)
+
+    types = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("round", "team"))
+    out = spread(rows, "round", "team").sortWithinPartitions("round", "team").mapInArrow(run, f"{types}, matches long, mean double, sd double, p_ge_3 double, q90 double")
+    return out.select("round", "team", "matches", *[F.round(c, 6).alias(c) for c in names[3:]])
 
 
 def _points(mine: str, other: str) -> Column:
